@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, mixing, quality, sharding, simhash
+from . import decontamination, licenses, mixing, quality, sharding, simhash, token_files
 from .common import read
 
 
@@ -22,6 +23,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(read(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_mixing, op4_quality, op6_sharding, op8_licenses, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_mixing, op4_quality, op5_token_files, op6_sharding, op8_licenses, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
