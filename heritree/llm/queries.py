@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, mixing, quality, sharding, simhash, substrings, token_counts, token_files
+from . import decontamination, licenses, mixing, pii, quality, sharding, simhash, substrings, token_counts, token_files
 from .common import read
 
 
@@ -35,6 +35,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_report(read(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(read(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_token_counts, op4_quality, op5_token_files, op6_sharding, op8_licenses, op9_substrings, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_token_counts, op4_quality, op5_token_files, op6_sharding, op7_personal_data, op8_licenses, op9_substrings, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
