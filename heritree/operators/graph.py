@@ -191,12 +191,15 @@ def generations(persons: DataFrame, seed: str, position: str = "id") -> DataFram
     takes the least of these. Persons never reached have their own generation, or 0. Then the least becomes 0.
     The driver sees one number a level.
     """
+    persons = stored(persons.select("wiki_id", "father_wiki_id", "mother_wiki_id", "generation", F.col(position).cast("long").alias("at")), "graph")
     e = present_edges(persons)
-    at = persons.select(F.col("wiki_id").alias("b"), F.col(position).cast("long").alias("at"))
-    kinds = [spouses(persons).select("a", "b", F.lit(0).alias("kind"), F.lit(0).alias("step")), e.select(F.col("parent").alias("a"), F.col("child").alias("b"), F.lit(1).alias("kind"), F.lit(1).alias("step"))]
-    links = stored(kinds[0].unionByName(kinds[1]).distinct().join(at, "b").unionByName(e.select(F.col("child").alias("a"), F.col("parent").alias("b"), F.lit(2).alias("kind"), F.lit(-1).alias("step"), F.col("role").cast("long").alias("at"))), "links")
+    at = persons.select(F.col("wiki_id").alias("b"), "at")
+    mates = spouses(persons).select("a", "b", F.lit(0).alias("kind"), F.lit(0).alias("step"))
+    down = e.select(F.col("parent").alias("a"), F.col("child").alias("b"), F.lit(1).alias("kind"), F.lit(1).alias("step")).distinct()
+    up = e.select(F.col("child").alias("a"), F.col("parent").alias("b"), F.lit(2).alias("kind"), F.lit(-1).alias("step"), F.col("role").cast("long").alias("at"))
+    links = stored(mates.unionByName(down).join(at, "b").unionByName(up), "links")
     level = stored(persons.where(F.col("wiki_id") == seed).select("wiki_id", F.lit(0).alias("gen"), F.lit(0).cast("long").alias("rank")), "level")
-    seen = level
+    seen = level  # the union of the levels' tables; each is written once
     while True:
         best = F.min(F.struct("rank", "kind", "at", (F.col("gen") + F.col("step")).alias("gen")))
         found = level.join(links, level["wiki_id"] == links["a"]).join(seen.select(F.col("wiki_id").alias("b")), "b", "left_anti").groupBy("b").agg(best.alias("o"))
@@ -205,7 +208,7 @@ def generations(persons: DataFrame, seed: str, position: str = "id") -> DataFram
         level = stored(found, "level")
         if level.isEmpty():
             break
-        seen = stored(seen.unionByName(level), "seen")
+        seen = seen.unionByName(level)
     out = persons.select("wiki_id", "generation").join(seen.select("wiki_id", "gen"), "wiki_id", "left").select("wiki_id", F.coalesce("gen", "generation", F.lit(0)).cast("int").alias("gen"))
     least = out.agg(F.min("gen").alias("least"))
     return out.crossJoin(F.broadcast(least)).select("wiki_id", (F.col("gen") - F.col("least")).alias("gen"))

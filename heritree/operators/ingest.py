@@ -97,5 +97,6 @@ def backfill_keys(persons: DataFrame) -> DataFrame:
 def backfill_location_keys(locations: DataFrame) -> DataFrame:
     """Keys of all locations; of those with the same key the first id keeps it, the others get null."""
     keyed = locations.withColumn("location_key", location_key(F.col("raw_location")))
-    first = keyed.groupBy("location_key").agg(F.min("id").alias("__first"))
-    return keyed.join(first, keyed["location_key"].eqNullSafe(first["location_key"])).select(*[F.when(F.col("id") == F.col("__first"), keyed["location_key"]).alias(c) if c == "location_key" else keyed[c] for c in locations.columns])
+    first = keyed.groupBy(F.col("location_key").alias("__key")).agg(F.min("id").alias("__first"))
+    joined = keyed.join(first, F.col("location_key").eqNullSafe(F.col("__key")))
+    return joined.withColumn("location_key", F.when(F.col("id") == F.col("__first"), F.col("location_key"))).select(*locations.columns)

@@ -80,20 +80,24 @@ def centre_parents(rows: DataFrame, links: DataFrame, pairs: DataFrame, config:
     not yet moved count where they stand. rows: gen, wiki_id, pos, unit, x, y; links: child, parent.
     """
     columns, half = ["gen", "wiki_id", "pos", "unit", "x", "y"], config.node_width / 2
+    gens = sorted((r[0] for r in rows.select("gen").distinct().collect()), reverse=True)
     out = rows.select(*columns)
-    for g in sorted((r[0] for r in rows.select("gen").distinct().collect()), reverse=True)[1:]:
+    moved = out.where(F.col("gen") == gens[0]) if gens else out
+    for g in gens[1:]:
         level = out.where(F.col("gen") == g)
-        child = links.join(out.select(F.col("wiki_id").alias("child"), (F.col("x") + half).alias("centre")), "child")
+        now = moved.unionByName(out.where(F.col("gen") <= g))
+        child = links.join(now.select(F.col("wiki_id").alias("child"), (F.col("x") + half).alias("centre")), "child")
         goal = child.join(level.select(F.col("wiki_id").alias("parent"), "unit"), "parent").groupBy("unit").agg(F.avg("centre").alias("goal"))
         own = level.groupBy("unit").agg(((F.min("x") + F.max("x") + config.node_width) / 2).alias("centre"))
         shift = own.join(goal, "unit").select("unit", (F.col("goal") - F.col("centre")).alias("shift"))
         level = level.join(shift, "unit", "left").withColumn("x", F.col("x") + F.coalesce("shift", F.lit(0.0))).drop("shift")
-        out = stored(out.where(F.col("gen") != g).unionByName(resolve_overlaps(level, pairs, config).select(*columns)), "layout")
-    return out
+        moved = moved.unionByName(stored(resolve_overlaps(level, pairs, config).select(*columns), "layout"))  # a generation is written once
+    return moved
 
 
 def layout(persons: DataFrame, seed: str, config: Config = DEFAULT) -> DataFrame:
     """gen, wiki_id, pos, unit, x, y of every person; an empty table gives an empty layout."""
+    persons = stored(persons.select("id", "wiki_id", "name", "generation", "father_wiki_id", "mother_wiki_id"), "layout-persons")
     pairs = stored(spouses(persons), "pairs")
     nodes = generations(persons, seed).join(persons.select("wiki_id", "name"), "wiki_id").join(child_counts(persons), "wiki_id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     placed = stored(linear_x(ordered_families(nodes, pairs), pairs, config), "placed")
