@@ -16,6 +16,7 @@ text or identifier, 0.9 for a base phrase or a named license, 0.5 for a loose me
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ ACRONYMS = ["gpl", "gnu gpl", "lgpl", "gnu lgpl", "agpl", "mpl", "epl", "cddl",
 #: Phrasings with {name} and {version}; priority; score. The last is for acronyms only.
 PHRASINGS = [
     ("spdx license identifier {name}{version}", 4, 1.0),
-    ("(?:licensed|released|distributed|published|available|provided|covered) under (?:the |a |an )?(?:terms of the )?{name}(?: licen[cs]e)?{version}", 3, 0.9),
+    ("licensed under (?:the |a |an )?(?:terms of the )?{name}(?: licen[cs]e)?{version}", 3, 0.9),
     ("{name} licen[cs]e{version}", 2, 0.9),
     ("{name} licensed{version}", 1, 0.5),
     ("{name}{version}", 1, 0.9),
@@ -94,8 +95,9 @@ SENTENCES = [
     ("proprietary", "this software is the (?:proprietary|confidential) (?:information|property) of", 3, 1.0),
 ]
 _SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Texts without any of these have no detection: every rule's text holds one of them.
-GATE = "(?i)licen[cs]|permission|redistribut|unencumbered|proprietary|warranty|under|" + "|".join(w.replace(" ", _SEP) for w in ("public domain", "rights reserved", "cc by")) + r"|cc0|gpl|\b(?:mpl|epl|cddl|eupl|ofl|odbl|sspl|wtfpl)"
+#: Every rule's text holds one of these; parts of words in the first list, whole words in the second.
+GATE = ["licen", "permission", "redistribut", "unencumbered", "proprietary", "warranty", "public domain", "rights reserved", "gpl", "cc0"]
+GATE_WORDS = ["mpl", "epl", "cddl", "eupl", "ofl", "odbl", "sspl", "wtfpl", "cc by"]
 MAX_PRIORITY = 8
 
 
@@ -138,8 +140,12 @@ def _line(text: Column) -> Column:
 
 def _detections(line: Column) -> Column:
     """Array of (start, last, priority, rule's place, label, score), sorted: longer first where they start together."""
-    table = F.from_json(F.lit(json.dumps([dict(zip(("label", "keyword", "regex", "priority", "score", "nth"), (*r[:2], _bounded(r[2]), *r[3:], k))) for k, r in enumerate(rules())])), "array<struct<label:string,keyword:string,regex:string,priority:int,score:double,nth:int>>")
-    tried = F.filter(table, lambda r: F.contains(line, r["keyword"]))
+    by_keyword: dict[str, list[dict]] = {}
+    for k, (label, keyword, regex, priority, score) in enumerate(rules()):
+        by_keyword.setdefault(" " + keyword, []).append({"label": label, "regex": _bounded(regex), "priority": priority, "score": score, "nth": k})
+    table = F.from_json(F.lit(json.dumps([{"keyword": k, "rules": r} for k, r in by_keyword.items()])), "array<struct<keyword:string,rules:array<struct<label:string,regex:string,priority:int,score:double,nth:int>>>>")
+    # a keyword starts with a blank: the start of a word
+    tried = F.flatten(F.transform(F.filter(table, lambda r: F.contains(line, r["keyword"])), lambda r: r["rules"]))
     each = F.transform(tried, lambda r: F.transform(_places(line, r["regex"]), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("minus_end"), (-r["priority"]).alias("minus_priority"), r["nth"].alias("nth"), r["label"].alias("label"), r["score"].alias("score"))))
     return F.sort_array(F.flatten(each))
 
@@ -164,15 +170,32 @@ def _kept(found: Column) -> Column:
     return let(first, lambda f: let(F.reverse(second), lambda s: F.filter(found, lambda d, k: ~F.get(f, k) & ~F.get(s, k))))
 
 
+def _n_words(text: Column) -> Column:
+    """The pieces between separators, less the empty ones that a separator at either end leaves."""
+    edge = lambda c: F.rlike(c, F.lit(_SEP)).cast("int")
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(F.split(text, _SEP, -1)) - edge(F.left(text, F.lit(1))) - edge(F.right(text, F.lit(1)))).cast("long")
+
+
+def _gate(text: Column) -> Column:
+    """Whether the text holds a keyword. Plain searches come first; a regex looks at texts that hold a short word's letters."""
+
+    def opened(low: Column) -> Column:
+        has = lambda w: F.rlike(low, F.lit(w.replace(" ", _SEP))) if " " in w else F.lit(True)
+        part = [F.contains(low, F.lit(w.split()[0])) & has(w) for w in GATE]
+        whole = [F.contains(low, F.lit(w.split()[0])) & F.rlike(low, F.lit(r"\b" + w.replace(" ", _SEP))) for w in GATE_WORDS]
+        return reduce(Column.__or__, part + whole)
+
+    return let(F.lower(text), opened)
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base (array of (start, end, label) of the base phrases), found (array of the kept detections)."""
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     def places(line: Column, phrase: str) -> Column:
         return F.transform(_places(line, _bounded(phrase)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(BASE[phrase]).alias("label")))
 
     base = lambda line: F.flatten(F.array(*[places(line, p) for p in BASE]))
     scan = let(_line(F.col("text")), lambda line: F.struct(base(line).alias("base"), let(_detections(line), _kept).alias("found")))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", n_words.alias("n_words"), F.when(F.rlike("text", F.lit(GATE)), scan).alias("s")).select("doc_id", "n_words", "s.base", "s.found")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", _n_words(F.col("text")).alias("n_words"), F.when(_gate(F.col("text")), scan).alias("s")).select("doc_id", "n_words", "s.base", "s.found")
 
 
 def license_report(docs: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import wavelet
 from .common import ship, stored
 
-END_ID, SHARD_TOKENS, PART_BYTES, WORDS_KEPT = 1, 1 << 21, 16 << 20, 400_000
-_AT_ONCE = 100_000  # words whose ids are gathered at a time
+END_ID, SHARD_TOKENS, PART_BYTES, WORDS_KEPT = 1, 1 << 21, 16 << 20, 1_000_000
+GROUP_CHARS = 500_000  # characters that are encoded at a time
 _PUNCTUATION = string.punctuation
 _ODD = "\x1c\x1d\x1e\x1f"  # str.split() parts words at these, the tokenizer doesn't
 
@@ -49,48 +49,59 @@ class Encoder:
     def clear(self) -> None:
         self.index = _Index()
         self.index[None] = 0  # stands for the end of a document
-        self.cores: dict[str, list[int]] = {}
-        self.tails: dict[str, list[int]] = {"": []}
-        self.lens, self.starts, self.flat = np.array([1]), np.array([0]), np.array([self.end_id], np.uint32)
+        self.cores: dict[str, bytes] = {}  # ids as bytes
+        self.tails: dict[str, bytes] = {"": b""}
+        self.lens, self.starts, self.flat, self.used = np.array([1], np.int32), np.array([0], np.int32), np.array([self.end_id], np.uint32), 1
 
-    def _plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _learn(self, words: list[str]) -> None:
         """Encodes new words: letters, then punctuation, are encoded apart (as pre-tokens); other words as they are."""
+        cores, tails, low = self.cores, self.tails, []
         split: list[tuple[str, str] | None] = []
-        asked = {}
         for w in words:
             core = w.rstrip(_PUNCTUATION)
-            low = core.lower()
-            if not core or low.isalpha() and core.isalpha() and "Σ" not in core:
-                split.append((low, w[len(core) :]))
-                if low and low not in self.cores:
-                    asked[low] = None
+            lower = core.lower()
+            if not core or lower.isalpha() and core.isalpha() and "Σ" not in core:
+                split.append((lower, w[len(core) :]))
+                if lower and lower not in cores:
+                    low.append(lower)
             else:
                 split.append(None)
-        asked = list(asked)
+        asked = list(dict.fromkeys(low))
         for k in range(0, len(asked), 200):
             part = asked[k : k + 200]
-            ids = np.array(self._plain(" ".join(part)))
+            ids = np.frombuffer(self._plain(" ".join(part)), np.uint32)
             ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
-                self.cores.update(zip(part, (x.tolist() for x in np.split(ids, ends[:-1]))))
+                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                cores.update((w, raw[s:e]) for w, s, e in zip(part, at, at[1:]))
             else:
-                self.cores.update((w, self._plain(w)) for w in part)
+                cores.update((w, self._plain(w)) for w in part)
         found = []
         for w, s in zip(words, split):
             if s is None:
                 found.append(self._plain(w))
                 continue
             core, tail = s
-            if tail not in self.tails:
-                self.tails[tail] = self._plain(tail)
-            found.append(self.cores[core] + self.tails[tail] if core else self.tails[tail])
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lens.sum()))
-        starts = len(self.flat) + np.cumsum(lens) - lens
-        self.lens, self.starts, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.starts, starts]), np.concatenate([self.flat, flat])
+            if tail not in tails:
+                tails[tail] = self._plain(tail)
+            found.append((cores[core] + tails[tail] if tail else cores[core]) if core else tails[tail])
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = self.used + np.cumsum(lens) - lens
+        self._append(lens, starts, np.frombuffer(b"".join(found), np.uint32))
+
+    def _append(self, lens: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> None:
+        """The arrays grow by doubling."""
+        known, n = len(self.index) - len(lens), len(lens)
+        if known + n > len(self.lens):
+            self.lens, self.starts = (np.resize(x, 2 * (known + n)) for x in (self.lens, self.starts))
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(flat)))
+        self.lens[known : known + n], self.starts[known : known + n] = lens, starts
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with the end id after each text, and where each text's ids end."""
@@ -104,12 +115,13 @@ class Encoder:
                 t = ""
             words = t.split()
             words.append(None)
-            places.append(np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)))
+            places.append(np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)))
         if len(self.index) > known:
             self._learn(list(self.index.new))
             self.index.new.clear()
         if odd:
-            parts = [np.array([*self._plain(odd[k]), self.end_id], np.uint32) if k in odd else self._gather(p) for k, p in enumerate(places)]
+            end = np.array([self.end_id], np.uint32).tobytes()
+            parts = [np.frombuffer(self._plain(odd[k]) + end, np.uint32) if k in odd else self._gather(p) for k, p in enumerate(places)]
             return np.concatenate(parts), np.cumsum([len(p) for p in parts])
         every = np.concatenate(places) if places else np.empty(0, np.int64)
         ends = np.cumsum(self.lens[every])[np.flatnonzero(every == 0)]
@@ -117,8 +129,9 @@ class Encoder:
 
     def _gather(self, places: np.ndarray) -> np.ndarray:
         lens = self.lens[places]
-        before = np.cumsum(lens) - lens
-        return self.flat[np.repeat(self.starts[places] - before, lens) + np.arange(int(lens.sum()))]
+        upto = np.cumsum(lens, dtype=np.int32)
+        n = int(upto[-1]) if len(upto) else 0
+        return self.flat[np.repeat(self.starts[places] - (upto - lens), lens) + np.arange(n, dtype=np.int32)]
 
 
 class _Index(dict):
@@ -160,7 +173,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_to
             doc_ids = b.column("doc_id").to_pylist()
             while at < len(doc_ids):
                 group, size, low = [], 0, at
-                while at < len(doc_ids) and size < 5 * _AT_ONCE:
+                while at < len(doc_ids) and size < min(GROUP_CHARS, shard_tokens):
                     group.append(texts[at].as_py())
                     size += len(group[-1] or "")
                     at += 1

@@ -228,10 +228,29 @@ def test_simhash(request, rows, which):
     least = [min((rows[b][0] for b in range(len(rows)) if group[b] == group[a] and rows[b][0] is not None), default=None) for a in range(len(rows))]
     out = simhash.near_duplicate_report(docs).collect()
     assert bag(out) == bag((r[0], f"{p:016x}", c) for r, p, c in zip(rows, prints, least))
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    kept = kept.collect()
-    assert len(kept) == len(set(group)) and {r.doc_id for r in kept} >= {1, 3, 6}
+    for similarity in (None, 0.8):
+        kept = simhash.one_of_each(docs, similarity)
+        assert kept.columns == docs.columns
+        kept = kept.collect()
+        assert len(kept) == len(set(group)) and {r.doc_id for r in kept} >= {1, 3, 6}
+
+
+def test_similar_texts_are_grouped(spark):
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(r.randrange(2, 8)))
+    rows = []
+    for k in range(120):
+        words = [word() for _ in range(r.randrange(60, 300))]
+        rows.append((3 * k, " ".join(words)))
+        for j in (1, 2):
+            copy = list(words)
+            for at in r.sample(range(len(words)), max(1, len(words) * j // 100)):  # one or two of a hundred words: similarity about 0.9 and 0.82
+                copy[at] = word()
+            rows.append((3 * k + j, " ".join(copy)))
+    kept = {x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {3 * k for k in range(120)} <= kept and len(kept) <= 120 + 0.1 * 240
 
 
 def test_ball_links_reach_all_pairs(spark):
