@@ -9,8 +9,9 @@ Words are runs of anything but ASCII white space, A-Z lowered; shingles are thre
 (fewer words: the whole sequence; none: fingerprint zero). A bit is set if it is set in over half of the XXH64 (seed 42)
 values. These are the contract's three words; other widths are a parameter.
 
-Two bits are few: texts of a similarity of 0.8 differ in about ten of 64. `near_groups` therefore cuts the job to many
-short fingerprints, in one of which a similar pair is at most two bits apart, and verifies by all of their bits.
+Two bits are few: texts of a similarity of 0.8 differ in about ten of 64. `near_links` therefore cuts the job to
+many short fingerprints, in one of which a similar pair is at most two bits apart, and verifies by
+all of their bits and then by the shingles themselves.
 
 Defined results: a null text is a text without words; null ids keep their row and do not name a component unless all of
 it has null ids; equal rows are separate rows of one component; an empty table gives no rows; other columns are ignored.
@@ -33,8 +34,9 @@ from .graph import components
 
 WIDTH, SEED, RADIUS = 3, 42, 2
 #: For groups by similarity: shingles of five words, 16 short fingerprints of 32 bits.
-SIMILARITY, SIMILAR_WIDTH, TABLES = 0.8, 5, 16
+SIMILARITY, SIMILAR_WIDTH, TABLES, MINIMA = 0.8, 5, 16, 8
 _AT_ONCE = 1 << 16  # hashes whose bits are spread out at a time
+_GROUP_CHARS = 500_000  # characters that are sketched at a time
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -118,33 +120,62 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 # --- by similarity: several short fingerprints -----------------------------------------------------------------------
 
 
-def sketch(text: str | None, width: int, tables: int) -> list[int]:
-    """tables fingerprints of 32 bits over the distinct shingles, from independent mixings of their hashes; zeros without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return [0] * tables
-    hashes = np.unique(shingle_hashes(words, width))
-    ones = np.zeros((tables // 2, 64), dtype=np.int64)
-    for k in range(0, len(hashes), _AT_ONCE):
-        part = hashes[k : k + _AT_ONCE]
+def mixed_hashes(hashes: np.ndarray, j: int) -> np.ndarray:
+    """The j-th of a family of independent mixings."""
+    x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ x >> np.uint64(29)
+
+
+def bit_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many values of each stretch (from one start to the next) have each of 64 bits. Bytes count up to 255 values at a time."""
+    lens = np.diff([*starts, len(values)])
+    n_parts = -(-lens // 255)
+    first = np.cumsum(n_parts) - n_parts
+    parts = np.repeat(starts, n_parts) + 255 * (np.arange(n_parts.sum()) - np.repeat(first, n_parts))
+    out = np.empty((len(starts), 8, 8), np.int64)
+    for k in range(8):
+        lanes = values >> np.uint64(k) & np.uint64(0x0101010101010101)
+        out[:, :, k] = np.add.reduceat(np.add.reduceat(lanes, parts).astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), first)
+    return out.reshape(len(starts), 64)
+
+
+def sketch_all(texts: list[str | None], width: int, tables: int, minima: int) -> tuple[np.ndarray, list[list[int]]]:
+    """For each text: tables fingerprints of 32 bits over its distinct shingles, two in a long (zeros without words); its least hashes."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode("utf-8", "surrogatepass").lower().split()
+        sets.append(np.unique(shingle_hashes(w, width)) if w else np.empty(0, np.uint64))
+    lens = np.array([len(x) for x in sets])
+    some, out = np.flatnonzero(lens), np.zeros((len(texts), tables // 2), np.uint64)
+    if len(some):
+        every, ends = np.concatenate(sets), np.cumsum(lens[some])
         for j in range(tables // 2):
-            mixed = (part ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
-            mixed = ((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)).astype("<u8")
-            mixed ^= mixed >> np.uint64(29)
-            ones[j] += np.unpackbits(mixed.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view("<i4").reshape(-1).tolist()
+            sums = bit_sums(mixed_hashes(every, j), ends - lens[some])
+            out[some, j] = np.packbits(2 * sums > lens[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out.view(np.int64), [x[:minima].view(np.int64).tolist() for x in sets]
 
 
-def sketches(docs: DataFrame, width: int, tables: int) -> DataFrame:
-    """doc_id, text_md5, sketch."""
+def sketches(docs: DataFrame, width: int, tables: int, minima: int) -> DataFrame:
+    """doc_id, text_md5, sketch, minima."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sketch(t.as_py(), width, tables) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_md5"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "text_md5", "sketch"])
-
-    return _narrow(docs).mapInArrow(run, "doc_id long, text_md5 string, sketch array<int>")
+            texts, at, found, least = b.column("text"), 0, [], []
+            while at < len(texts):
+                group, size = [], 0
+                while at < len(texts) and size < _GROUP_CHARS:
+                    group.append(texts[at].as_py())
+                    size += len(group[-1] or "")
+                    at += 1
+                sketch, low = sketch_all(group, width, tables, minima)
+                found += sketch.tolist()
+                least += low
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_md5"), pa.array(found, longs), pa.array(least, longs)], names=["doc_id", "text_md5", "sketch", "minima"])
+
+    return _narrow(docs).mapInArrow(run, "doc_id long, text_md5 string, sketch array<long>, minima array<long>")
 
 
 def most_bits(similarity: float, bits: int) -> int:
@@ -153,38 +184,81 @@ def most_bits(similarity: float, bits: int) -> int:
     return int(bits * p + 2 * sqrt(bits * p * (1 - p)))
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, tables: int = TABLES) -> DataFrame:
-    """doc_id, text_md5, component (a number): groups of texts of about that similarity, by the same ball hashing in each of the tables.
+def near_links(nodes: DataFrame, similarity: float, tables: int) -> DataFrame:
+    """Links (leaf, centre) between nodes (node, sketch, minima) whose sketches are near.
+
+    A text with a partner of that similarity shares one of its least shingles with it (all but 0.2 ** 8 of such pairs),
+    so only texts that share one emit balls. Those that meet on a value in one of the tables link to two of them, the
+    smallest and the greatest, and links are verified by all bits. (Short fingerprints also meet by chance; a link goes
+    missing only if both centres are such strangers in all tables that have it.)
+    """
+    least = nodes.select("node", F.explode("minima").alias("h"))
+    shared = least.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    able = stored(nodes.join(least.join(shared, "h").select("node").distinct(), "node", "left_semi").select("node", "sketch"), "sharing")
+    one = lambda x: F.lit(x).cast("long")
+    masks = F.array(*map(one, [0, *(1 << k for k in range(32))]))
+    parts = F.flatten(F.transform("sketch", lambda s, j: F.array(*[(F.shiftrightunsigned(s, 32 * half)).bitwiseAND(one(0xFFFFFFFF)) + F.shiftleft((2 * j + half).cast("long"), 32) for half in (0, 1)])))
+    variants = able.select("node", F.explode(parts).alias("part")).select("node", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("part")))).alias("variant"))
+    met = stored(variants.groupBy("variant").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("n > 1"), "met-parts")
+    centres = F.explode(F.array("low", "high")).alias("centre")
+    more = variants.join(met.where("n > 2"), "variant").select(F.col("node").alias("leaf"), centres)
+    pairs = met.select(F.col("high").alias("leaf"), F.col("low").alias("centre")).unionByName(more).where("leaf <> centre").distinct()
+    side = lambda c: able.select(F.col("node").alias(c), F.col("sketch").alias(f"of_{c}"))
+    apart = F.aggregate(F.zip_with("of_leaf", "of_centre", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return pairs.join(side("leaf"), "leaf").join(side("centre"), "centre").where(apart <= most_bits(similarity, 32 * tables)).select("leaf", "centre")
+
+
+def similar_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The links (leaf, centre) whose texts have that Jaccard similarity of distinct shingles, counted exactly.
+
+    Shingles are joined one by one, so that neither a long text nor a centre with many links is one task's work.
+    """
+    ends = links.select(F.explode(F.array("leaf", "centre")).alias("node")).distinct()
+    wanted = nodes.join(ends, "node").select("node", F.col("best.doc_id").alias("__id"), F.col("best.text_md5").alias("__md5"))
+    rows = _narrow(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_md5") == F.col("__md5")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, text in zip(b.column("node"), b.column("text")):
+                h = np.unique(shingle_hashes(text.as_py().encode("utf-8", "surrogatepass").lower().split(), width)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(node, len(h)), pa.array(h), pa.repeat(pa.scalar(len(h), pa.int64()), len(h))], names=["node", "h", "n"])
+
+    each = stored(rows.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node long, h long, n long"), "link-shingles")
+    leaf = links.join(each.select(F.col("node").alias("leaf"), "h", F.col("n").alias("n_leaf")), "leaf")
+    both = leaf.join(each.select(F.col("node").alias("centre"), "h", F.col("n").alias("n_centre")), ["centre", "h"])
+    counted = both.groupBy("leaf", "centre", "n_leaf", "n_centre").agg(F.count("*").alias("common"))
+    return counted.where(F.col("common") >= similarity * (F.col("n_leaf") + F.col("n_centre") - F.col("common"))).select("leaf", "centre")
+
+
+def _rank():
+    """Ascending in the order in which rows of a group are preferred."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.coalesce("text_md5", F.lit("")).alias("text_md5"))
+
+
+def winners_by_similarity(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, tables: int = TABLES) -> DataFrame:
+    """best: (none, doc_id, text_md5) of the row that stays of each group of texts linked by a Jaccard similarity of at least `similarity`.
 
     At 0.8 a short fingerprint of both texts differs in two bits or fewer in one table of eight, so one of 16 tables
-    finds nearly nine of ten such pairs, and 97 % at 0.85. Pairs found are verified by all bits together.
+    finds nearly nine of ten such pairs, and 97 % at 0.85.
     """
-    found = stored(sketches(docs, width, tables), "sketches")
-    nodes = stored(found.select("sketch").distinct().withColumn("node", F.monotonically_increasing_id()), "distinct-sketches")
-    parts = nodes.select("node", F.posexplode("sketch").alias("t", "part"))
-    first = stored(parts.groupBy("t", "part").agg(F.min("node").alias("b")), "parts")
-    same = parts.join(first, ["t", "part"]).select(F.col("node").alias("a"), "b").where("a <> b")
-    masks = F.array(F.lit(0), *[F.lit(m - (1 << 32) if m >> 31 else m) for m in (1 << k for k in range(32))])
-    variants = first.select("b", "t", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("part")))).alias("variant"))
-    met = stored(variants.groupBy("t", "variant").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count("*").alias("n")).where("n > 1"), "met-parts")
-    more = variants.join(met.where("n > 2"), ["t", "variant"]).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-    pairs = same.unionByName(met.select(F.col("high").alias("a"), F.col("low").alias("b"))).unionByName(more).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"of_{c}"))
-    apart = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    linked = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most_bits(similarity, 32 * tables)).select("a", "b")
-    member = components(linked).withColumnRenamed("node", "member")
-    named = stored(nodes.join(member, F.col("node") == F.col("member"), "left").select("sketch", F.coalesce("component", "node").alias("component")), "groups")
-    return found.join(named, "sketch").select("doc_id", "text_md5", "component")
+    found = sketches(docs, width, tables, MINIMA).groupBy("sketch").agg(F.min(_rank()).alias("best"), F.min("minima").alias("minima"))
+    nodes = stored(found.withColumn("node", F.monotonically_increasing_id()), "distinct-sketches")
+    links = similar_links(stored(near_links(nodes, similarity, tables), "near-links"), nodes, docs, similarity, width)
+    member = components(links.select(F.greatest("leaf", "centre").alias("a"), F.least("leaf", "centre").alias("b"))).withColumnRenamed("node", "member")
+    named = nodes.join(member, F.col("node") == F.col("member"), "left").select("best", F.coalesce("component", "node").alias("component"))
+    return named.groupBy("component").agg(F.min("best").alias("best"))
 
 
 def one_of_each(docs: DataFrame, similarity: float | None = SIMILARITY, radius: int = RADIUS, width: int | None = None) -> DataFrame:
     """docs with one row of each group: that of the smallest id (null ids last), of equal ids the smallest digest of the text.
 
-    Groups: of texts of about `similarity`; None: of fingerprints within the radius.
+    Groups: of texts linked by that similarity; None: of fingerprints within the radius.
     """
-    found = near_duplicates(docs, radius, width or WIDTH) if similarity is None else near_groups(docs, similarity, width or SIMILAR_WIDTH)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.coalesce("text_md5", F.lit("")).alias("text_md5")))
-    kept = found.groupBy("component").agg(best.alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.text_md5").alias("__md5"))
+    if similarity is None:
+        best = near_duplicates(docs, radius, width or WIDTH).groupBy("component").agg(F.min(_rank()).alias("best"))
+    else:
+        best = winners_by_similarity(docs, similarity, width or SIMILAR_WIDTH)
+    kept = best.select(F.col("best.doc_id").alias("__id"), F.col("best.text_md5").alias("__md5"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("md5"))
     won = row.join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("md5") == F.col("__md5")), "left_semi")
     return won.groupBy("id", "md5").agg(F.first("row").alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
