@@ -178,14 +178,14 @@ def sketches(docs: DataFrame, width: int, tables: int, minima: int) -> DataFrame
     return _narrow(docs).mapInArrow(run, "doc_id long, text_md5 string, sketch array<long>, minima array<long>")
 
 
-def most_bits(similarity: float, bits: int) -> int:
-    """Differing bits that sketches of sets of that Jaccard similarity (and like size) hardly exceed: expectation and two deviations."""
+def most_bits(similarity: float, bits: int, deviations: float = 2) -> int:
+    """Differing bits that sketches of sets of that Jaccard similarity (and like size) hardly exceed, or with -2 hardly fall short of."""
     p = acos(2 * similarity / (1 + similarity)) / pi
-    return int(bits * p + 2 * sqrt(bits * p * (1 - p)))
+    return int(bits * p + deviations * sqrt(bits * p * (1 - p)))
 
 
 def near_links(nodes: DataFrame, similarity: float, tables: int) -> DataFrame:
-    """Links (leaf, centre) between nodes (node, sketch, minima) whose sketches are near.
+    """Links (leaf, centre, apart: differing bits) between nodes (node, sketch, minima) whose sketches are near.
 
     A text with a partner of that similarity shares one of its least shingles with it (all but 0.2 ** 8 of such pairs),
     so only texts that share one emit balls. Those that meet on a value in one of the tables link to two of them, the
@@ -198,14 +198,17 @@ def near_links(nodes: DataFrame, similarity: float, tables: int) -> DataFrame:
     one = lambda x: F.lit(x).cast("long")
     masks = F.array(*map(one, [0, *(1 << k for k in range(32))]))
     parts = F.flatten(F.transform("sketch", lambda s, j: F.array(*[(F.shiftrightunsigned(s, 32 * half)).bitwiseAND(one(0xFFFFFFFF)) + F.shiftleft((2 * j + half).cast("long"), 32) for half in (0, 1)])))
-    variants = able.select("node", F.explode(parts).alias("part")).select("node", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("part")))).alias("variant"))
-    met = stored(variants.groupBy("variant").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("n > 1"), "met-parts")
-    centres = F.explode(F.array("low", "high")).alias("centre")
-    more = variants.join(met.where("n > 2"), "variant").select(F.col("node").alias("leaf"), centres)
-    pairs = met.select(F.col("high").alias("leaf"), F.col("low").alias("centre")).unionByName(more).where("leaf <> centre").distinct()
+    parts = able.select("node", F.explode(parts).alias("part"))
+    # equal parts are merged, so that at most 33 different ones meet on a value, however many copies there are
+    first = stored(parts.groupBy("part").agg(F.min("node").alias("least")), "parts")
+    same = parts.join(first, "part").select(F.col("node").alias("leaf"), F.col("least").alias("centre"))
+    variants = first.select("least", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("part")))).alias("variant"))
+    met = stored(variants.groupBy("variant").agg(F.min("least").alias("low"), F.max("least").alias("high"), F.count("*").alias("n")).where("n > 1"), "met-parts")
+    more = variants.join(met.where("n > 2"), "variant").select(F.col("least").alias("leaf"), F.explode(F.array("low", "high")).alias("centre"))
+    pairs = same.unionByName(met.select(F.col("high").alias("leaf"), F.col("low").alias("centre"))).unionByName(more).where("leaf <> centre").distinct()
     side = lambda c: able.select(F.col("node").alias(c), F.col("sketch").alias(f"of_{c}"))
     apart = F.aggregate(F.zip_with("of_leaf", "of_centre", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return pairs.join(side("leaf"), "leaf").join(side("centre"), "centre").where(apart <= most_bits(similarity, 32 * tables)).select("leaf", "centre")
+    return pairs.join(side("leaf"), "leaf").join(side("centre"), "centre").withColumn("apart", apart).where(F.col("apart") <= most_bits(similarity, 32 * tables)).select("leaf", "centre", "apart")
 
 
 def similar_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -238,13 +241,21 @@ def _rank():
 def winners_by_similarity(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, tables: int = TABLES) -> DataFrame:
     """best: (none, doc_id, text_md5) of the row that stays of each group of texts linked by a Jaccard similarity of at least `similarity`.
 
-    At 0.8 a short fingerprint of both texts differs in two bits or fewer in one table of eight, so one of 16 tables
-    finds nearly nine of ten such pairs, and 97 % at 0.85.
+    Links whose sketches are clearly near enough make groups at once; of the others, those that would join two groups
+    have their shingles compared. At 0.8 a short fingerprint of both texts differs in two bits or fewer in one table of
+    eight, so one of 16 tables finds nearly nine of ten such pairs, and 97 % at 0.85.
     """
     found = sketches(docs, width, tables, MINIMA).groupBy("sketch").agg(F.min(_rank()).alias("best"), F.min("minima").alias("minima"))
     nodes = stored(found.withColumn("node", F.monotonically_increasing_id()), "distinct-sketches")
-    links = similar_links(stored(near_links(nodes, similarity, tables), "near-links"), nodes, docs, similarity, width)
-    member = components(links.select(F.greatest("leaf", "centre").alias("a"), F.least("leaf", "centre").alias("b"))).withColumnRenamed("node", "member")
+    links = stored(near_links(nodes, similarity, tables), "near-links")
+    edge = lambda df: df.select(F.greatest("leaf", "centre").alias("a"), F.least("leaf", "centre").alias("b"))
+    clear = edge(links.where(F.col("apart") <= most_bits(similarity, 32 * tables, -2)))
+    known = stored(components(clear), "clear-groups")
+    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    apart = links.join(of("leaf"), "leaf", "left").join(of("centre"), "centre", "left").where(F.coalesce("of_leaf", "leaf") != F.coalesce("of_centre", "centre"))
+    doubtful = stored(apart.select("leaf", "centre"), "doubtful-links")
+    found = edge(similar_links(doubtful, nodes, docs, similarity, width))
+    member = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)).withColumnRenamed("node", "member")
     named = nodes.join(member, F.col("node") == F.col("member"), "left").select("best", F.coalesce("component", "node").alias("component"))
     return named.groupBy("component").agg(F.min("best").alias("best"))
 
