@@ -20,13 +20,14 @@ it has null ids; equal rows are separate rows of one component; an empty table g
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, stored
@@ -37,6 +38,7 @@ WIDTH, SEED, RADIUS = 3, 42, 2
 SIMILARITY, SIMILAR_WIDTH, TABLES, MINIMA = 0.8, 5, 16, 8
 _AT_ONCE = 1 << 16  # hashes whose bits are spread out at a time
 _GROUP_CHARS = 500_000  # characters that are sketched at a time
+_BLOCK = 1000  # texts with one short fingerprint that one row of blocks stands for
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -188,9 +190,10 @@ def near_links(nodes: DataFrame, similarity: float, tables: int) -> DataFrame:
     """Links (leaf, centre, apart: differing bits) between nodes (node, sketch, minima) whose sketches are near.
 
     A text with a partner of that similarity shares one of its least shingles with it (all but 0.2 ** 8 of such pairs),
-    so only texts that share one emit balls. Those that meet on a value in one of the tables link to two of them, the
-    smallest and the greatest, and links are verified by all bits. (Short fingerprints also meet by chance; a link goes
-    missing only if both centres are such strangers in all tables that have it.)
+    so only texts that share one emit balls. All pairs of parts that meet on a value (at most 33 by geometry) are made,
+    and all pairs of their texts compared by all bits: in a family of texts on one template, most that meet are
+    strangers, so no one of them can stand for the others. Texts of a part are dealt to blocks, so that no task has a
+    hot part's pairs alone; a pair counts in the first table that has it only.
     """
     least = nodes.select("node", F.explode("minima").alias("h"))
     shared = least.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -198,17 +201,24 @@ def near_links(nodes: DataFrame, similarity: float, tables: int) -> DataFrame:
     one = lambda x: F.lit(x).cast("long")
     masks = F.array(*map(one, [0, *(1 << k for k in range(32))]))
     parts = F.flatten(F.transform("sketch", lambda s, j: F.array(*[(F.shiftrightunsigned(s, 32 * half)).bitwiseAND(one(0xFFFFFFFF)) + F.shiftleft((2 * j + half).cast("long"), 32) for half in (0, 1)])))
-    parts = able.select("node", F.explode(parts).alias("part"))
-    # equal parts are merged, so that at most 33 different ones meet on a value, however many copies there are
-    first = stored(parts.groupBy("part").agg(F.min("node").alias("least")), "parts")
-    same = parts.join(first, "part").select(F.col("node").alias("leaf"), F.col("least").alias("centre"))
-    variants = first.select("least", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("part")))).alias("variant"))
-    met = stored(variants.groupBy("variant").agg(F.min("least").alias("low"), F.max("least").alias("high"), F.count("*").alias("n")).where("n > 1"), "met-parts")
-    more = variants.join(met.where("n > 2"), "variant").select(F.col("least").alias("leaf"), F.explode(F.array("low", "high")).alias("centre"))
-    pairs = same.unionByName(met.select(F.col("high").alias("leaf"), F.col("low").alias("centre"))).unionByName(more).where("leaf <> centre").distinct()
-    side = lambda c: able.select(F.col("node").alias(c), F.col("sketch").alias(f"of_{c}"))
-    apart = F.aggregate(F.zip_with("of_leaf", "of_centre", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return pairs.join(side("leaf"), "leaf").join(side("centre"), "centre").withColumn("apart", apart).where(F.col("apart") <= most_bits(similarity, 32 * tables)).select("leaf", "centre", "apart")
+    parts = able.select("node", "sketch", F.explode(parts).alias("part"))
+    blocks = stored(parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("n_blocks", F.ceil(F.col("n") / _BLOCK)), "parts")
+    variants = blocks.select("part", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("part")))).alias("variant"))
+    met = stored(variants.groupBy("variant").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("n > 1"), "met-parts")
+    many = variants.join(met.where("n > 2").select("variant"), "variant").groupBy("variant").agg(F.collect_list("part").alias("all"))
+    every = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: y > x), lambda y: F.struct(x.alias("low"), y.alias("high")))))
+    close = met.where("n = 2").select("low", "high").unionByName(many.select(F.inline(every))).distinct()
+    close = close.unionByName(blocks.where("n > 1").select(F.col("part").alias("low"), F.col("part").alias("high")))
+    for c in ("low", "high"):
+        close = close.join(blocks.select(F.col("part").alias(c), "n_blocks"), c).select("*", F.explode(F.sequence(one(0), F.col("n_blocks") - 1)).alias(f"{c}_block")).drop("n_blocks")
+    dealt = parts.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks"))
+    side = lambda c, end: dealt.select(F.col("part").alias(c), F.col("block").alias(f"{c}_block"), F.col("node").alias(end), F.col("sketch").alias(f"of_{end}"))
+    pairs = close.join(side("low", "leaf"), ["low", "low_block"]).join(side("high", "centre"), ["high", "high_block"]).where("low <> high or leaf > centre")
+    differ = [F.col("of_leaf")[k].bitwiseXOR(F.col("of_centre")[k]) for k in range(tables // 2)]
+    apart = reduce(Column.__add__, map(F.bit_count, differ))
+    table = F.shiftright("low", 32)
+    first = [(table <= t) | (F.bit_count(F.shiftrightunsigned(differ[t // 2], 32 * (t % 2)).bitwiseAND(one(0xFFFFFFFF))) > RADIUS) for t in range(tables - 1)]
+    return pairs.withColumn("apart", apart).where(F.col("apart") <= most_bits(similarity, 32 * tables)).where(reduce(Column.__and__, first)).select("leaf", "centre", "apart")
 
 
 def similar_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
