@@ -221,11 +221,8 @@ def near_links(nodes: DataFrame, similarity: float, tables: int) -> DataFrame:
     return pairs.withColumn("apart", apart).where(F.col("apart") <= most_bits(similarity, 32 * tables)).where(reduce(Column.__and__, first)).select("leaf", "centre", "apart")
 
 
-def similar_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The links (leaf, centre) whose texts have that Jaccard similarity of distinct shingles, counted exactly.
-
-    Shingles are joined one by one, so that neither a long text nor a centre with many links is one task's work.
-    """
+def link_shingles(links: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """node, h, n: the distinct shingles of the links' ends, one a row, with their number."""
     ends = links.select(F.explode(F.array("leaf", "centre")).alias("node")).distinct()
     wanted = nodes.join(ends, "node").select("node", F.col("best.doc_id").alias("__id"), F.col("best.text_md5").alias("__md5"))
     rows = _narrow(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_md5") == F.col("__md5")))
@@ -236,13 +233,46 @@ def similar_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, similarit
                 h = np.unique(shingle_hashes(text.as_py().encode("utf-8", "surrogatepass").lower().split(), width)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.repeat(node, len(h)), pa.array(h), pa.repeat(pa.scalar(len(h), pa.int64()), len(h))], names=["node", "h", "n"])
 
-    each = stored(rows.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node long, h long, n long"), "link-shingles")
+    return rows.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node long, h long, n long")
+
+
+def similar_links(links: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
+    """The links (leaf, centre) whose texts have that Jaccard similarity of distinct shingles, counted exactly.
+
+    Shingles are joined one by one, so that neither a long text nor a centre with many links is one task's work.
+    """
     leaf = links.join(each.select(F.col("node").alias("leaf"), "h", F.col("n").alias("n_leaf")), "leaf")
     both = leaf.join(each.select(F.col("node").alias("centre"), "h", F.col("n").alias("n_centre")), ["centre", "h"])
     counted = both.groupBy("leaf", "centre", "n_leaf", "n_centre").agg(F.count("*").alias("common"))
     return counted.where(F.col("common") >= similarity * (F.col("n_leaf") + F.col("n_centre") - F.col("common"))).select("leaf", "centre")
 
 
+def similar_groups(links: DataFrame, each: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """node, component: of the graph of all links (leaf, centre, apart) that shingles confirm.
+
+    A link goes without comparison only if links that were compared join its ends already. While links are many, one of
+    each group is compared at a time, clear ones first; once that settles too few, all that are left are.
+    """
+    edges, before = None, None
+    links = links.withColumn("of_leaf", F.col("leaf")).withColumn("of_centre", F.col("centre"))
+    while True:
+        n, n_groups = links.agg(F.count("*"), F.countDistinct("of_leaf")).first()
+        many = n > 4 * n_groups and (before is None or 2 * n <= before)
+        some, before = links, n
+        if many:
+            order = F.struct((F.col("apart") > most_bits(similarity, bits, -2)).alias("doubtful"), "of_centre", "apart", "leaf", "centre")
+            some = stored(links.groupBy("of_leaf").agg(F.min(order).alias("link")).select("link.leaf", "link.centre"), "first-links")
+        good = similar_links(some.select("leaf", "centre"), each, similarity).select(F.greatest("leaf", "centre").alias("a"), F.least("leaf", "centre").alias("b"))
+        edges = stored(good if edges is None else edges.unionByName(good), "similar-links")
+        member = stored(components(edges), "groups")
+        if not many:
+            return member
+        of = lambda c: member.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: E731,B023
+        named = links.drop("of_leaf", "of_centre").join(some, ["leaf", "centre"], "left_anti").join(of("leaf"), "leaf", "left").join(of("centre"), "centre", "left")
+        named = named.withColumn("of_leaf", F.coalesce("of_leaf", "leaf")).withColumn("of_centre", F.coalesce("of_centre", "centre"))
+        links = stored(named.where("of_leaf <> of_centre"), "links-left")
+
+
 def _rank():
     """Ascending in the order in which rows of a group are preferred."""
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.coalesce("text_md5", F.lit("")).alias("text_md5"))
@@ -251,21 +281,15 @@ def _rank():
 def winners_by_similarity(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, tables: int = TABLES) -> DataFrame:
     """best: (none, doc_id, text_md5) of the row that stays of each group of texts linked by a Jaccard similarity of at least `similarity`.
 
-    Links whose sketches are clearly near enough make groups at once; of the others, those that would join two groups
-    have their shingles compared. At 0.8 a short fingerprint of both texts differs in two bits or fewer in one table of
-    eight, so one of 16 tables finds nearly nine of ten such pairs, and 97 % at 0.85.
+    Links have their shingles compared, unless compared ones join their ends already. At 0.8 a short fingerprint of both
+    texts differs in two bits or fewer in one table of eight, so one of 16 tables finds nearly nine of ten such pairs,
+    and 97 % at 0.85.
     """
     found = sketches(docs, width, tables, MINIMA).groupBy("sketch").agg(F.min(_rank()).alias("best"), F.min("minima").alias("minima"))
     nodes = stored(found.withColumn("node", F.monotonically_increasing_id()), "distinct-sketches")
     links = stored(near_links(nodes, similarity, tables), "near-links")
-    edge = lambda df: df.select(F.greatest("leaf", "centre").alias("a"), F.least("leaf", "centre").alias("b"))
-    clear = edge(links.where(F.col("apart") <= most_bits(similarity, 32 * tables, -2)))
-    known = stored(components(clear), "clear-groups")
-    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    apart = links.join(of("leaf"), "leaf", "left").join(of("centre"), "centre", "left").where(F.coalesce("of_leaf", "leaf") != F.coalesce("of_centre", "centre"))
-    doubtful = stored(apart.select("leaf", "centre"), "doubtful-links")
-    found = edge(similar_links(doubtful, nodes, docs, similarity, width))
-    member = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)).withColumnRenamed("node", "member")
+    each = stored(link_shingles(links, nodes, docs, width), "link-shingles")
+    member = similar_groups(links, each, similarity, 32 * tables).withColumnRenamed("node", "member")
     named = nodes.join(member, F.col("node") == F.col("member"), "left").select("best", F.coalesce("component", "node").alias("component"))
     return named.groupBy("component").agg(F.min("best").alias("best"))
 

@@ -39,3 +39,52 @@ def test_links_of_a_template_family_are_brute_force(spark, monkeypatch):
         found = simhash.near_links(nodes_of(spark, bits), simhash.SIMILARITY, simhash.TABLES).collect()
         assert len(found) == len(expected) > 60
         assert {(max(r.leaf, r.centre), min(r.leaf, r.centre)): r.apart for r in found} == expected
+
+
+def jaccard(a, b, width=simhash.SIMILAR_WIDTH):
+    x, y = ({tuple(t.split()[k : k + width]) for k in range(len(t.split()) - width + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def clear_strangers():
+    """Two texts of a family below the similarity whose sketches are as near as those of a clear pair and meet in a table."""
+    r = random.Random(11)
+    template = [f"word{k}" for k in range(125)]
+    family = []
+    for k in range(150):
+        t = list(template)
+        for at in (20, 60, 100):
+            t[at] = f"own{k}at{at}"
+        family.append(" ".join(t))
+    bits = np.array([np.unpackbits(np.array(s, "<i8").view(np.uint8), bitorder="little") for s in simhash.sketch_all(family, simhash.SIMILAR_WIDTH, simhash.TABLES, simhash.MINIMA)[0]])
+    return min((n, family[a], family[b]) for (a, b), n in brute_links(bits).items())
+
+
+def test_clear_links_have_their_shingles_compared(spark):
+    apart, a, b = clear_strangers()
+    assert apart <= simhash.most_bits(simhash.SIMILARITY, 512, -2) and jaccard(a, b) < simhash.SIMILARITY
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert simhash.one_of_each(docs).count() == 2
+
+
+def test_groups_of_many_links_are_those_of_all(spark):
+    """Links by the dozen: the rounds leave the groups that comparing every link gives."""
+    r = random.Random(12)
+    texts = []
+    for g in range(3):
+        base = [f"g{g % 2}w{k}" if k < 100 else f"g{g}v{k}" for k in range(130)]
+        for _ in range(9):
+            t = list(base)
+            t[r.randrange(130)] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(t))
+    similar = [(a, b) for a in range(27) for b in range(a) if jaccard(texts[a], texts[b]) >= simhash.SIMILARITY]
+    group = list(range(27))
+    for _ in range(27):
+        for a, b in similar:
+            group[a] = group[b] = min(group[a], group[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = docs.selectExpr("doc_id as node", "struct(false as none, doc_id, md5(text) as text_md5) as best")
+    links = spark.createDataFrame([(a, b, 50) for a in range(27) for b in range(a)], "leaf long, centre long, apart int")
+    each = simhash.link_shingles(links, nodes, docs, simhash.SIMILAR_WIDTH)
+    found = dict(map(tuple, simhash.similar_groups(links, each, simhash.SIMILARITY, 512).collect()))
+    assert [found.get(k, k) for k in range(27)] == group and len(set(group)) < 27
