@@ -95,8 +95,8 @@ SENTENCES = [
     ("proprietary", "this software is the (?:proprietary|confidential) (?:information|property) of", 3, 1.0),
 ]
 _SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Every rule's text holds one of these; parts of words in the first list, whole words in the second.
-GATE = ["licen", "permission", "redistribut", "unencumbered", "proprietary", "warranty", "public domain", "rights reserved", "gpl", "cc0"]
+#: Every rule's text holds one of these (a test tries each rule); parts of words in the first list, starts of words in the second.
+GATE = ["licen", "permission", "redistribut", "unencumbered", "proprietary", "confidential", "warranty", "public domain", "rights reserved", "gpl", "cc0"]
 GATE_WORDS = ["mpl", "epl", "cddl", "eupl", "ofl", "odbl", "sspl", "wtfpl", "cc by"]
 MAX_PRIORITY = 8
 
@@ -182,7 +182,7 @@ def _gate(text: Column) -> Column:
     def opened(low: Column) -> Column:
         has = lambda w: F.rlike(low, F.lit(w.replace(" ", _SEP))) if " " in w else F.lit(True)
         part = [F.contains(low, F.lit(w.split()[0])) & has(w) for w in GATE]
-        whole = [F.contains(low, F.lit(w.split()[0])) & F.rlike(low, F.lit(r"\b" + w.replace(" ", _SEP))) for w in GATE_WORDS]
+        whole = [F.contains(low, F.lit(w.split()[0])) & F.rlike(low, F.lit(rf"(?:^|{_SEP})" + w.replace(" ", _SEP))) for w in GATE_WORDS]
         return reduce(Column.__or__, part + whole)
 
     return let(F.lower(text), opened)
