@@ -5,8 +5,9 @@ features look at the whole span (its shape, digits, Luhn sum, alphabet, the word
 chooses boundaries and kinds together. Tokens without a digit, @, = or + can't begin or end a candidate, so only
 stretches near such characters need the program; everywhere else the best path is known to be outside.
 
-Weights are trained on a sample of at most TRAIN_ROWS texts (TRAIN_STRETCHES stretches) by an averaged structured
-perceptron. Its labels are the base spans and, for secrets, a few strict forms; whole-span features let it go beyond
+Weights are trained by an averaged structured perceptron on at most TRAIN_STRETCHES stretches of all texts: those of the
+lowest hashes, kind by kind, and as many without a label. Tasks keep their lowest ones, so the sample depends on neither
+row order nor partitions, copies count once, and only bounded pieces reach the driver. The labels are the base spans and, for secrets, a few strict forms; whole-span features let it go beyond
 them, to other spellings of numbers, keys and passwords. Base spans always stay; the field's spans are added where they
 don't touch one.
 
@@ -23,7 +24,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship
@@ -31,7 +33,7 @@ from .common import ship
 KINDS, EXTRA = ("email", "ip", "card", "phone"), ("secret",)
 LABELS = KINDS + EXTRA
 MAX_TOKENS, NEAR = 6, 3
-TRAIN_ROWS, TRAIN_STRETCHES, EPOCHS = 4000, 800, 4
+TRAIN_STRETCHES, EPOCHS, MAX_PIECE, SEED = 800, 4, 2000, 42
 
 Span = tuple[str, int, int]  # kind, start, end
 
@@ -240,18 +242,82 @@ def _gold(text: str, found: list[list[tuple[int, int, int, list[str]]]]) -> list
     return [(k, s, e, at[s, e]) for k, s, e in [*base, *secret] if (s, e) in at]
 
 
+Piece = tuple[int, str, list[int]]  # hash, text, the tokens' offsets
+
+
+def pieces(text: str) -> Iterator[tuple[list[str], Piece]]:
+    """The stretches that training may use, with the kinds of their labels ("none" without one)."""
+    for tokens in stretches(text):
+        low, high = max(0, tokens[0][0] - 40), tokens[-1][1]
+        if len(tokens) <= 60 and high - low <= MAX_PIECE:
+            piece = text[low:high]
+            kinds = {k for k, *_ in base_spans(piece)} | ({"secret"} if _STRICT_SECRET.search(piece) else set())
+            yield sorted(kinds) or ["none"], (xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass"), SEED) >> 1, piece, [x - low for t in tokens for x in t])
+
+
+class Lowest:
+    """For each kind, the TRAIN_STRETCHES distinct pieces of the lowest hashes."""
+
+    def __init__(self) -> None:
+        self.kinds: dict[str, dict[int, Piece]] = {}
+        self.limits: dict[str, int] = {}
+
+    def add(self, kinds: list[str], piece: Piece) -> None:
+        for kind in kinds:
+            held = self.kinds.setdefault(kind, {})
+            if piece[0] < self.limits.get(kind, 1 << 63) and piece[0] not in held and any(SemiMarkov().candidates(piece[1], _tokens(piece))):
+                held[piece[0]] = piece
+                if len(held) >= 2 * TRAIN_STRETCHES:
+                    self._cut(kind)
+
+    def _cut(self, kind: str) -> None:
+        kept = sorted(self.kinds[kind].items())[:TRAIN_STRETCHES]
+        self.kinds[kind] = dict(kept)
+        if len(kept) == TRAIN_STRETCHES:
+            self.limits[kind] = kept[-1][0]
+
+    def rows(self) -> Iterator[tuple[str, Piece]]:
+        for kind in sorted(self.kinds):
+            self._cut(kind)
+            yield from ((kind, p) for p in self.kinds[kind].values())
+
+    def sample(self) -> list[Piece]:
+        """At most TRAIN_STRETCHES, in order of their hashes: the kinds take turns, and after each one without a label."""
+        by_kind: dict[str, list[Piece]] = {}
+        for kind, piece in self.rows():
+            by_kind.setdefault(kind, []).append(piece)
+        queues = {k: iter(by_kind.get(k, [])) for k in (*LABELS, "none")}
+        chosen: dict[int, Piece] = {}
+        while len(chosen) < TRAIN_STRETCHES and queues:
+            for kind in [x for k in LABELS for x in (k, "none")]:
+                if kind in queues and len(chosen) < TRAIN_STRETCHES:
+                    piece = next((p for p in queues[kind] if p[0] not in chosen), None)
+                    if piece:
+                        chosen[piece[0]] = piece
+                    else:
+                        del queues[kind]
+        return [chosen[k] for k in sorted(chosen)]
+
+
+def _tokens(piece: Piece) -> list[tuple[int, int]]:
+    return list(zip(piece[2][::2], piece[2][1::2]))
+
+
 def train(texts: list[str]) -> SemiMarkov:
+    lowest = Lowest()
+    for text in texts:
+        for kinds, piece in pieces(text or ""):
+            lowest.add(kinds, piece)
+    return fit(lowest.sample())
+
+
+def fit(sample: list[Piece]) -> SemiMarkov:
     """Averaged structured perceptron."""
     model = SemiMarkov()
     data = []
-    for text in texts:
-        for tokens in stretches(text or ""):
-            if len(data) < TRAIN_STRETCHES and len(tokens) <= 60:
-                low, high = max(0, tokens[0][0] - 40), tokens[-1][1]
-                piece = text[low:high]
-                found = model.candidates(piece, [(a - low, b - low) for a, b in tokens])
-                if any(found):
-                    data.append((found, _gold(piece, found)))
+    for piece in sample:
+        found = model.candidates(piece[1], _tokens(piece))
+        data.append((found, _gold(piece[1], found)))
     total: Counter = Counter()
     step = 1
     for _ in range(EPOCHS):
@@ -286,12 +352,28 @@ def all_spans(text: str | None, model: SemiMarkov) -> tuple[list[Span], list[Spa
     return base, sorted([*base, *added], key=_order)
 
 
-def fitted(docs: DataFrame, rows: int = TRAIN_ROWS, seed: int = 42) -> SemiMarkov:
-    """Trained on at most `rows` texts, drawn by the seed from those with a trigger."""
-    total = docs.count()
-    narrow = docs.select(F.col("text").cast("string").alias("text"))
-    drawn = narrow.sample(min(1.0, 2 * rows / total), seed) if total else narrow
-    return train([r.text for r in drawn.where(F.rlike("text", F.lit("[0-9@=+]"))).limit(rows).collect()])
+def fitted(docs: DataFrame) -> SemiMarkov:
+    """Trained on a sample of all texts. The driver gets TRAIN_STRETCHES pieces a kind at most."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lowest = Lowest()
+        for b in batches:
+            for t in b.column("text"):
+                for kinds, piece in pieces(t.as_py()):
+                    lowest.add(kinds, piece)
+        rows = list(lowest.rows())
+        columns = ([k for k, _ in rows], *[[p[x] for _, p in rows] for x in range(3)])
+        types = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "hash", "piece", "tokens"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.rlike("text", F.lit("[0-9@=+]")))
+    found = texts.mapInArrow(run, "kind string, hash long, piece string, tokens array<int>").groupBy("kind", "hash").agg(F.first("piece").alias("piece"), F.first("tokens").alias("tokens"))
+    ranked = found.withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy("hash"))).where(F.col("nth") <= TRAIN_STRETCHES)
+    lowest = Lowest()
+    for r in ranked.collect():
+        lowest.add([r.kind], (r.hash, r.piece, list(r.tokens)))
+    return fit(lowest.sample())
 
 
 def personal_data(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame:
