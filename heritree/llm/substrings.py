@@ -1,8 +1,10 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 A text's words (lower-cased) are one line of bytes. The gear hash at a byte depends on the 32 bytes up to it; a chunk
-ends where the hash at a word's end is greater than those at the REACH words before and after. So a cut depends on a
-few words around it alone: an insertion moves the cuts near it and no others, and a passage is cut alike in all texts
+ends where the hash at a word's end is greater than those at the REACH words before and after. Where words repeat with
+a period of REACH or fewer, the greatest hashes tie; such a run is cut at the first of them and then at every next one
+more than REACH words on, so its chunks are whole periods from the same word, wherever the run starts. So a cut depends
+on a few words around it alone: an insertion moves the cuts near it and no others, and a passage is cut alike in all texts
 that hold it. Chunks have more than REACH words, about twice that on average; regions without cuts are cut every
 MAX_WORDS words. Chunks are deduplicated by a 128-bit digest: the smallest document that has one keeps it, and in the
 other documents neighbouring chunks that are kept elsewhere make up a repeated passage if they have MIN_WORDS words
@@ -50,11 +52,19 @@ def cuts(words: list[bytes]) -> np.ndarray:
     ends = np.fromiter(accumulate(len(w) + 1 for w in words), np.int64, len(words)) - 2
     line = np.frombuffer(b" ".join(words), np.uint8)
     h = np.concatenate([gear(line[max(0, k - 31) : k + _AT_ONCE])[min(k, 31) :] for k in range(0, len(line), _AT_ONCE)])[ends]
-    top = np.ones(len(h), bool)
+    top, tied = np.ones(len(h), bool), np.zeros(len(h), bool)
     for k in range(1, min(REACH, len(h) - 1) + 1):
-        higher = h[k:] > h[:-k]
-        top[k:] &= higher
-        top[:-k] &= h[:-k] > h[k:]
+        top[k:] &= h[k:] >= h[:-k]
+        top[:-k] &= h[:-k] >= h[k:]
+        same = h[k:] == h[:-k]
+        tied[k:] |= same
+        tied[:-k] |= same
+    last = -MAX_WORDS
+    for k in np.flatnonzero(top & tied).tolist():
+        if k - last > REACH:
+            last = k
+        else:
+            top[k] = False
     found = np.flatnonzero(top)
     if not len(found) or found[-1] != len(words) - 1:
         found = np.append(found, len(words) - 1)
