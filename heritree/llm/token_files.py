@@ -16,6 +16,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -63,7 +64,7 @@ class Encoder:
         for w in words:
             core = w.rstrip(_PUNCTUATION)
             lower = core.lower()
-            if not core or lower.isalpha() and core.isalpha() and "Σ" not in core:
+            if not core or _letters(core) and _letters(lower) and "Σ" not in core:
                 split.append((lower, w[len(core) :]))
                 if lower and lower not in cores:
                     low.append(lower)
@@ -134,6 +135,11 @@ class Encoder:
         return self.flat[np.repeat(self.starts[places] - (upto - lens), lens) + np.arange(n, dtype=np.int32)]
 
 
+def _letters(word: str) -> bool:
+    """Letters only, and still so when composed: some letters come apart into a letter and a mark, which goes with punctuation."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).isalpha())
+
+
 class _Index(dict):
     """Numbers its keys in the order in which they are first asked for."""
 
