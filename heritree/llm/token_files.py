@@ -3,7 +3,11 @@
 Documents are range-partitioned by (doc_id, hash of the text), so that an id with a third of all rows is still many
 tasks' work, and sorted within. A task encodes its documents as they come and closes a shard file when it holds
 SHARD_TOKENS ids, so its memory is that of one shard (or one longer document). Shard files are the binary column of a
-table that Spark writes and commits, so a lost task leaves no half files; `blob` is the whole file.
+table that Spark writes and commits, so a lost task leaves no half files; `blob` is the whole file. A file knows how many
+ids of its part come before it, so only the parts' totals, MAX_PARTS at most, are summed up and sent to the executors.
+
+Texts are shuffled, not ids: 16-bit ids take about 0.7 bytes for each byte of text, so ids would spare little, and the
+ranges' bounds are found by reading the table twice, which would encode twice or need a stored copy of all ids.
 
 The tokenizer works word by word (its pre-tokenizer never crosses white space), so each distinct word is encoded once
 per worker; the store of words is emptied when it holds WORDS_KEPT.
@@ -18,7 +22,7 @@ from __future__ import annotations
 import string
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from . import wavelet
 from .common import ship, stored
 
 END_ID, SHARD_TOKENS, PART_BYTES, WORDS_KEPT = 1, 1 << 21, 16 << 20, 1_000_000
+MAX_PARTS = 50_000  # tasks; beyond PART_BYTES times that, parts grow with the table
 GROUP_CHARS = 500_000  # characters that are encoded at a time
 _PUNCTUATION = string.punctuation
 _ODD = "\x1c\x1d\x1e\x1f"  # str.split() parts words at these, the tokenizer doesn't
@@ -41,115 +46,91 @@ class Encoder:
     def __init__(self, path: str, end_id: int = END_ID) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        greatest = max(end_id, *vocabulary.values())
+        self.width = np.dtype("<u2" if greatest < 1 << 16 else "<u4")
+        self.end = np.array([end_id], self.width).tobytes()
+        self.word_end = np.zeros(greatest + 1, bool)
         self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index = _Index()
-        self.index[None] = 0  # stands for the end of a document
-        self.cores: dict[str, bytes] = {}  # ids as bytes
+        self.words = _Words()
+        self.cores: dict[str, bytes] = {"": b""}
         self.tails: dict[str, bytes] = {"": b""}
-        self.lens, self.starts, self.flat, self.used = np.array([1], np.int32), np.array([0], np.int32), np.array([self.end_id], np.uint32), 1
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new words: letters, then punctuation, are encoded apart (as pre-tokens); other words as they are."""
-        cores, tails, low = self.cores, self.tails, []
-        split: list[tuple[str, str] | None] = []
-        for w in words:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width).tobytes()
+
+    def _learn(self) -> None:
+        """The ids of new words: letters, then punctuation, are encoded apart (as pre-tokens); other words as they are."""
+        words, cores, tails = self.words, self.cores, self.tails
+        new, words.new = words.new, []
+        split, asked = [], {}
+        for w in new:
             core = w.rstrip(_PUNCTUATION)
-            lower = core.lower()
-            if not core or _letters(core) and _letters(lower) and "Σ" not in core:
-                split.append((lower, w[len(core) :]))
-                if lower and lower not in cores:
-                    low.append(lower)
+            if core.isascii() and core.isalpha() or not core or _letters(core):
+                lower = core.lower()
+                if lower not in cores:
+                    asked[lower] = True
             else:
-                split.append(None)
-        asked = list(dict.fromkeys(low))
+                lower = None
+            split.append(lower)
+        asked = list(asked)
         for k in range(0, len(asked), 200):
             part = asked[k : k + 200]
-            ids = np.frombuffer(self._plain(" ".join(part)), np.uint32)
+            raw = self._plain(" ".join(part))
+            ids = np.frombuffer(raw, self.width)
             ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
-                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                at = [0, *(self.width.itemsize * ends).tolist()]
                 cores.update((w, raw[s:e]) for w, s, e in zip(part, at, at[1:]))
             else:
                 cores.update((w, self._plain(w)) for w in part)
-        found = []
-        for w, s in zip(words, split):
-            if s is None:
-                found.append(self._plain(w))
-                continue
-            core, tail = s
-            if tail not in tails:
-                tails[tail] = self._plain(tail)
-            found.append((cores[core] + tails[tail] if tail else cores[core]) if core else tails[tail])
-        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = self.used + np.cumsum(lens) - lens
-        self._append(lens, starts, np.frombuffer(b"".join(found), np.uint32))
-
-    def _append(self, lens: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> None:
-        """The arrays grow by doubling."""
-        known, n = len(self.index) - len(lens), len(lens)
-        if known + n > len(self.lens):
-            self.lens, self.starts = (np.resize(x, 2 * (known + n)) for x in (self.lens, self.starts))
-        if self.used + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + len(flat)))
-        self.lens[known : known + n], self.starts[known : known + n] = lens, starts
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, with the end id after each text, and where each text's ids end."""
-        if len(self.index) > WORDS_KEPT:
+        for w, lower in zip(new, split):
+            if lower is None:
+                ids = self._plain(w)
+            else:
+                tail = w[len(lower) :]
+                if tail not in tails:
+                    tails[tail] = self._plain(tail)
+                ids = cores[lower] + tails[tail]
+            words[w].extend(ids)  # where texts at hand have it
+            words[w] = ids
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, with the end id after them."""
+        if len(self.words) > WORDS_KEPT:
             self.clear()
-        known, places, odd = len(self.index), [], {}
-        for k, t in enumerate(texts):
+        of_word, parts = self.words.__getitem__, []
+        for t in texts:
             t = t or ""
             if any(c in t for c in _ODD):
-                odd[k] = t
-                t = ""
-            words = t.split()
-            words.append(None)
-            places.append(np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)))
-        if len(self.index) > known:
-            self._learn(list(self.index.new))
-            self.index.new.clear()
-        if odd:
-            end = np.array([self.end_id], np.uint32).tobytes()
-            parts = [np.frombuffer(self._plain(odd[k]) + end, np.uint32) if k in odd else self._gather(p) for k, p in enumerate(places)]
-            return np.concatenate(parts), np.cumsum([len(p) for p in parts])
-        every = np.concatenate(places) if places else np.empty(0, np.int64)
-        ends = np.cumsum(self.lens[every])[np.flatnonzero(every == 0)]
-        return self._gather(every), ends
-
-    def _gather(self, places: np.ndarray) -> np.ndarray:
-        lens = self.lens[places]
-        upto = np.cumsum(lens, dtype=np.int32)
-        n = int(upto[-1]) if len(upto) else 0
-        return self.flat[np.repeat(self.starts[places] - (upto - lens), lens) + np.arange(n, dtype=np.int32)]
+                parts.append([self._plain(t)])
+            else:
+                # upper case makes no difference, but in the special tokens' strings
+                parts.append(list(map(of_word, (t.lower() if t.isascii() and "<|" not in t else t).split())))
+        self._learn()
+        return [b"".join(p) + self.end for p in parts]
 
 
 def _letters(word: str) -> bool:
-    """Letters only, and still so when composed: some letters come apart into a letter and a mark, which goes with punctuation."""
-    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).isalpha())
+    """Letters only, as they are, in lower case and when composed: some come apart into a letter and a mark, which goes with punctuation."""
+    lower = word.lower()
+    return word.isalpha() and lower.isalpha() and "Σ" not in word and all(unicodedata.normalize("NFC", w).isalpha() for w in (word, lower))
 
 
-class _Index(dict):
-    """Numbers its keys in the order in which they are first asked for."""
+class _Words(dict):
+    """Word to ids. A word not known yet gets an empty place, which is filled when its ids have been found."""
 
     def __init__(self) -> None:
-        self.new: list = []
+        self.new: list[str] = []
 
-    def __missing__(self, key: str) -> int:
-        self[key] = k = len(self)
-        self.new.append(key)
-        return k
+    def __missing__(self, word: str) -> bytearray:
+        self[word] = place = bytearray()
+        self.new.append(word)
+        return place
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -163,69 +144,76 @@ def encoder(path: str, end_id: int = END_ID) -> Encoder:
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, part_bytes: int = PART_BYTES) -> DataFrame:
-    """The written table of shard files: part, nth, n_tokens, blob; ascending (part, nth) is ascending document order."""
+    """The written table of shard files: part, nth, at (ids of the part before it), n_tokens, blob; ascending (part, nth) is ascending document order."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, nth = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        ids, tokens, ends, held = [], [], [], 0
+        coder, part, nth, at_part = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0, 0
+        size = coder.width.itemsize
+        ids, found, held = [], [], 0
 
         def shard() -> pa.RecordBatch:
-            blob = wavelet.build(np.concatenate(tokens), np.concatenate(ends), ids)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([held], pa.int64()), pa.array([blob], pa.large_binary()).cast(pa.binary())], names=["part", "nth", "n_tokens", "blob"])
+            ends = np.cumsum([len(f) for f in found]) // size
+            blob = wavelet.build(np.frombuffer(b"".join(found), coder.width), ends, ids)
+            row = [pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([at_part], pa.int64()), pa.array([held], pa.int64()), pa.array([blob], pa.large_binary()).cast(pa.binary())]
+            return pa.RecordBatch.from_arrays(row, names=["part", "nth", "at", "n_tokens", "blob"])
 
         for b in batches:
-            texts, at = b.column("text"), 0
+            texts, k = b.column("text"), 0
             doc_ids = b.column("doc_id").to_pylist()
-            while at < len(doc_ids):
-                group, size, low = [], 0, at
-                while at < len(doc_ids) and size < min(GROUP_CHARS, shard_tokens):
-                    group.append(texts[at].as_py())
-                    size += len(group[-1] or "")
-                    at += 1
-                found, upto = coder.encode(group)
-                ids += doc_ids[low:at]
-                tokens.append(found), ends.append(upto + held)
-                held += len(found)
+            while k < len(doc_ids):
+                group, chars, low = [], 0, k
+                while k < len(doc_ids) and chars < min(GROUP_CHARS, shard_tokens):
+                    group.append(texts[k].as_py())
+                    chars += len(group[-1] or "")
+                    k += 1
+                ids += doc_ids[low:k]
+                more = coder.encode(group)
+                found += more
+                held += sum(map(len, more)) // size
                 if held >= shard_tokens:
                     yield shard()
-                    nth += 1
-                    ids, tokens, ends, held = [], [], [], 0
+                    nth, at_part = nth + 1, at_part + held
+                    ids, found, held = [], [], 0
         if ids:
             yield shard()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
     total = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
-    ranged = narrow.repartitionByRange(max(1, -(-total // part_bytes)), *order).sortWithinPartitions(*order).drop("tie")
-    return stored(ranged.mapInArrow(run, "part int, nth int, n_tokens long, blob binary"), "token-shards")
+    ranged = narrow.repartitionByRange(min(MAX_PARTS, max(1, -(-total // part_bytes))), *order).sortWithinPartitions(*order).drop("tie")
+    return stored(ranged.mapInArrow(run, "part int, nth int, at long, n_tokens long, blob binary"), "token-shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids (array) of every document, from the files."""
-    return _read(shards, lambda x: pa.array([x], pa.list_(pa.uint32())).cast(pa.list_(pa.int64())), "array<long>", "ids")
+    return _read(shards, lambda tokens, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens, pa.int64())), "array<long>", "ids")
+
+
+def _crc32(tokens: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Of each document's ids as little-endian unsigned 32-bit integers."""
+    raw, at = memoryview(tokens.astype("<u4", copy=False).tobytes()), (4 * at).tolist()
+    return pa.array([zlib.crc32(raw[s:e]) for s, e in zip(at, at[1:])], pa.int64())
 
 
-def _read(shards: DataFrame, value, kind: str, name: str) -> DataFrame:
+def _read(shards: DataFrame, values: Callable[[np.ndarray, np.ndarray], pa.Array], kind: str, name: str) -> DataFrame:
+    """values: of all ids of a shard and where its documents start and end."""
     ship(shards.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, nth, blob in zip(b.column("part"), b.column("nth"), b.column("blob")):
+            for part, at_part, blob in zip(b.column("part").to_pylist(), b.column("at").to_pylist(), b.column("blob")):
                 w = wavelet.WaveletMatrix(blob.as_py())
-                tokens, starts = w.tokens().astype("<u4"), np.concatenate([[0], w.ends[:-1]]).astype(np.int64)
-                n = len(w.ends)
-                values = pa.concat_arrays([value(tokens[s:e]) for s, e in zip(starts.tolist(), w.ends.tolist())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.as_py()] * n, pa.int32()), pa.array([nth.as_py()] * n, pa.int32()), pa.array(w.doc_ids, pa.int64()), pa.array(starts), pa.array(w.ends - starts), values],
-                    names=["part", "nth", "doc_id", "at", "n_tokens", name],
-                )
+                at = np.concatenate([[0], w.ends]).astype(np.int64)
+                columns = [pa.array([part] * len(w.ends), pa.int32()), pa.array(w.doc_ids, pa.int64()), pa.array(at_part + at[:-1]), pa.array(np.diff(at)), values(w.tokens(), at)]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "at", "n_tokens", name])
 
-    # one row for each shard, read without the files
-    before = shards.select("part", "nth", F.coalesce(F.sum("n_tokens").over(Window.partitionBy(F.lit(0)).orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rows = shards.select("part", "nth", "blob").mapInArrow(run, f"part int, nth int, doc_id long, at long, n_tokens long, {name} {kind}")
-    return rows.join(before, ["part", "nth"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", name)
+    # a row for each part, MAX_PARTS at most, whose ids are added up; files aren't read for it
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rows = shards.select("part", "at", "blob").mapInArrow(run, f"part int, doc_id long, at long, n_tokens long, {name} {kind}")
+    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", name)
 
 
 def token_file_report(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return _read(write_shards(docs, tokenizer), lambda x: pa.array([zlib.crc32(x)], pa.int64()), "long", "ids_crc32")
+    return _read(write_shards(docs, tokenizer), _crc32, "long", "ids_crc32")

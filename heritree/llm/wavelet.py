@@ -33,15 +33,20 @@ def build(tokens: np.ndarray, ends: np.ndarray, doc_ids: list[int | None]) -> by
     for k in range(planes - 1, -1, -1):
         ones = (symbols >> width(k)) & width(1) != 0
         bits = np.packbits(ones, bitorder="little")
+        low, high = _places(ones)
         ranks = np.zeros(n // BLOCK + 1, np.int64)
         if n >= BLOCK:
             np.cumsum(np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), BLOCK // 8), dtype=np.int64)[: n // BLOCK], out=ranks[1:])
-        zeros = symbols[~ones]
-        out += [struct.pack("<Q", len(zeros)), ranks.astype("<u4").tobytes(), bits.tobytes()]
-        symbols = np.concatenate([zeros, symbols[ones]])
+        out += [struct.pack("<Q", len(low)), ranks.astype("<u4").tobytes(), bits.tobytes()]
+        symbols = np.concatenate([symbols.take(low), symbols.take(high)])
     return b"".join(out)
 
 
+def _places(ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the zeros and the ones are: taking by places is several times faster than by masks, whose bits are like random ones."""
+    return np.flatnonzero(~ones), np.flatnonzero(ones)
+
+
 class WaveletMatrix:
     """Reads one file."""
 
@@ -133,8 +138,9 @@ class WaveletMatrix:
         for k, (zeros, _, bits) in enumerate(reversed(self.planes)):
             ones = np.unpackbits(bits, count=self.n, bitorder="little").view(bool)
             before = np.empty_like(symbols)
-            before[~ones] = symbols[:zeros]
-            before[ones] = symbols[zeros:] | width(1 << k)
+            low, high = _places(ones)
+            before[low] = symbols[:zeros]
+            before[high] = symbols[zeros:] | width(1 << k)
             symbols = before
         return self.ids[symbols]
 
