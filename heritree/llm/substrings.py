@@ -11,23 +11,26 @@ other documents neighbouring chunks that are kept elsewhere make up a repeated p
 together. A passage of more than 50 words always has about 35 in whose cuts nothing else takes part, so MIN_WORDS is
 well below that.
 
-A digest's documents are never gathered: the smallest and the greatest are aggregated (before the shuffle, too), and
-the chunks are joined with them by a join whose large partitions Spark splits.
-
-Defined results: a null or blank text has no chunks and no row; rows with a null id are told apart by their text and
-keep nothing for rows with an id; equal rows are one document; repeats within one document stay; an empty table gives
-no rows; other columns are ignored by the report and pass through `without_repeats`.
+A digest's documents are never gathered: the first one is aggregated (before the shuffle, too), and the chunks are joined
+with it by a join whose large partitions Spark splits.
+
+Defined results: a null or blank text has no chunks and no row. A document is an id and a text: rows equal in both are
+one, and an id with several texts is several documents, the one whose text has the smallest digest first. Rows with a
+null id are told apart by their text and come after all with an id; what they keep first has first_doc_id null. Ids may
+be negative. Repeats within one document stay; an empty table gives no rows; other columns, whatever their names, are
+ignored by the report and pass through `without_repeats`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_TABLE, ship, stored
@@ -87,58 +90,65 @@ def text_chunks(text: str | None) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with `key`: the id, or for null ids a number below all likely ids, of the text."""
-    unnamed = -(F.shiftrightunsigned(F.xxhash64("text"), 2)) - F.lit(1 << 62)
-    return docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), unnamed))
+def _narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, tie, text: id and digest of the text together name a document, as an id may have several texts."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """key, doc_id, start, words, d1, d2."""
+    """doc_id, tie, start, words, d1, d2."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ids, rows = [], [], []
-            for key, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            ids, ties, rows = [], [], []
+            for doc_id, tie, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 found = text_chunks(text.as_py())
-                keys += [key] * len(found)
                 ids += [doc_id] * len(found)
+                ties += [tie] * len(found)
                 rows += found
             columns = list(zip(*rows)) or [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((keys, ids, *columns), kinds)], names=["key", "doc_id", "start", "words", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, ties, *columns), kinds)], names=["doc_id", "tie", "start", "words", "d1", "d2"])
 
-    narrow = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("key", "doc_id", "text")
-    return narrow.mapInArrow(run, "key long, doc_id long, start int, words int, d1 long, d2 long")
+    return _narrow(docs).mapInArrow(run, "doc_id long, tie long, start int, words int, d1 long, d2 long")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """key, doc_id, start, n_words, first_key: the passages that a document with a smaller key keeps (of their first chunk)."""
+    """doc_id, tie, start, n_words, first_doc_id: the passages that an earlier document keeps (of their first chunk).
+
+    Documents are ordered by id, those without one last, and then by the digest of the text.
+    """
     cut = stored(chunks(docs), "chunks")
-    # those with ids keep chunks before those without
-    order = F.when(F.col("doc_id").isNull(), F.col("key") + F.lit((1 << 63) - 1)).otherwise(F.col("key"))
-    held = cut.groupBy("d1", "d2").agg(F.min(order).alias("least"), F.max(order).alias("most")).where("least <> most").drop("most")
-    later = cut.withColumn("order", order).join(held, ["d1", "d2"]).where(F.col("order") != F.col("least"))
+    # most digests are in one document: these go by aggregates of plain numbers, before anything is ordered
+    several = [F.min(c) != F.max(c) for c in ("doc_id", "tie")] + [F.count("doc_id").between(1, F.count("*") - 1)]
+    held = cut.groupBy("d1", "d2").agg(reduce(Column.__or__, [F.coalesce(c, F.lit(False)) for c in several]).alias("several")).where("several").drop("several")
+    shared = stored(cut.join(held, ["d1", "d2"]), "shared-chunks")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    first = shared.groupBy("d1", "d2").agg(F.min(name).alias("first"))
+    later = shared.join(first, ["d1", "d2"]).where(name != F.col("first"))
     # neighbours: a chunk starts where the one before it in the document ended
-    by_doc = Window.partitionBy("key").orderBy("start")
-    rows = later.groupBy("key", "start").agg(F.first("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("least").alias("first_key"))
+    by_doc = Window.partitionBy("doc_id", "tie").orderBy("start")
+    rows = later.groupBy("doc_id", "tie", "start").agg(F.first("words").alias("words"), F.first("first.doc_id").alias("first_doc_id"))
     head = F.coalesce(F.lag(F.col("start") + F.col("words")).over(by_doc) != F.col("start"), F.lit(True))
     runs = rows.withColumn("head", head).withColumn("run", F.sum(F.col("head").cast("int")).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("key", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("words").alias("n_words"), F.min_by("first_key", "start").alias("first_key"))
+    out = runs.groupBy("doc_id", "tie", "run").agg(F.min("start").alias("start"), F.sum("words").alias("n_words"), F.min_by("first_doc_id", "start").alias("first_doc_id"))
     return out.where(F.col("n_words") >= min_words).drop("run")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
-    """doc_id, first_doc_id, start (word), n_words of each repeated passage."""
-    return repeats(docs).select("doc_id", F.when(F.col("first_key") < 0, None).otherwise(F.col("first_key")).alias("first_doc_id"), F.col("start").cast("long"), F.col("n_words").cast("long"))
+    """doc_id, first_doc_id (null if that document has no id), start (word), n_words of each repeated passage."""
+    return repeats(docs).select("doc_id", "first_doc_id", F.col("start").cast("long"), F.col("n_words").cast("long"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the repeated passages taken out of their texts, from the first to the last character of their words."""
-    spans = repeats(docs, min_words).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "n_words"))).alias("spans"))
-    row = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    joined = row.join(spans, "key", "left")
+    spans = repeats(docs, min_words).groupBy("doc_id", "tie").agg(F.array_sort(F.collect_list(F.struct("start", "n_words"))).alias("spans"))
+    spans = spans.select(F.col("doc_id").alias("of_id"), F.col("tie").alias("of_tie"), "spans")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("tie") == F.col("of_tie")), "left")
 
     @F.pandas_udf("string")
     def cut(texts, spans):

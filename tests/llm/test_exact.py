@@ -273,8 +273,35 @@ def test_ball_links_reach_all_pairs(spark):
     assert got == {v: group[v] for v in linked}
 
 
-def test_substrings(docs):
+def brute_repeats(rows):
+    """(doc_id, first_doc_id, start, n_words) from the chunks of each distinct (id, text), by dictionaries."""
+    tie = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    docs = sorted({(i is None, i or 0, signed(tie(t)), t) for i, t in rows if t is not None})
+    first, out = {}, collections.Counter()
+    cut = {d: substrings.text_chunks(d[3]) for d in docs}
+    for d in docs:
+        for _, _, *digest in cut[d]:
+            first.setdefault(tuple(digest), d)
+    for d in docs:
+        run = None
+        for start, n, *digest in [*cut[d], (None, 0)]:
+            owner = first.get(tuple(digest))
+            if owner and owner != d:
+                run = run or [None if owner[0] else owner[1], start, 0]
+                run[2] += n
+            elif run:
+                if run[2] >= substrings.MIN_WORDS:
+                    out[(None if d[0] else d[1], *run)] += 1
+                run = None
+    return out
+
+
+@pytest.mark.parametrize("which", ["docs", "clashing"])
+def test_substrings(request, rows, which):
+    docs = request.getfixturevalue(which)
     out = substrings.repeat_report(docs).collect()
+    assert bag(out) == brute_repeats([(i, t) for i, t, *_ in rows])
     assert {(r.doc_id, r.first_doc_id) for r in out} == {(9, 8)} and sum(r.n_words for r in out) >= 60
     clean = substrings.without_repeats(docs)
     assert clean.columns == docs.columns and clean.count() == docs.count()
@@ -282,6 +309,24 @@ def test_substrings(docs):
     assert "passage20" not in texts[9] and "head nine first" in texts[9] and "passage20" in texts[8]
 
 
+def test_substrings_with_null_negative_and_repeated_ids(spark):
+    import random
+
+    r = random.Random(11)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    passage, other = words(80), words(80)
+    rows = [(1, passage), (5, words(100) + " " + passage), (5, words(10)), (5, words(3) + " " + passage + " " + words(7)), (-4, other), (7, words(5) + " " + other)]
+    rows += [(None, words(6) + " " + passage), (None, words(9) + " " + passage), (None, third := words(90)), (None, third + " " + words(40)), (7, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = substrings.repeat_report(docs).collect()
+    assert bag(out) == brute_repeats(rows)
+    assert {(x.doc_id, x.first_doc_id) for x in out} == {(5, 1), (7, -4), (None, 1), (None, None)}
+    clean = substrings.without_repeats(docs)
+    assert clean.count() == len(rows) and {len(x.text.split()) for x in clean.where("doc_id = 5").collect()} >= {10}
+    # what is left of the passage are its few words at the edges, whose chunks reach beyond it
+    assert all(len(set(x.text.split()) & set(passage.split())) < 60 for x in clean.where("doc_id = 5").collect())
+
+
 def test_a_passage_is_found_wherever_it_stands(spark):
     import random
 
