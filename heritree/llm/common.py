@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, shared_dir, stored  # noqa: F401  for the operators
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Bytes of words: digits, letters (upper case lowered) and everything beyond ASCII; the rest parts words.
@@ -17,21 +17,9 @@ WORD_TABLE = bytes(
 )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="heritree-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it is computed once, later reads agree, and no lost executor takes it away."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def spread(df: DataFrame, *keys: str, times: int = 1, rows: int = 1 << 20) -> DataFrame:
+    """df by hash of keys over as many tasks as there are `rows` when each row becomes `times`: small tables come as few files."""
+    return df.repartition(max(1, -(-df.count() * times // rows)), *keys)
 
 
 def ship(spark: SparkSession) -> None:

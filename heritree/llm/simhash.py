@@ -9,9 +9,9 @@ Words are runs of anything but ASCII white space, A-Z lowered; shingles are thre
 (fewer words: the whole sequence; none: fingerprint zero). A bit is set if it is set in over half of the XXH64 (seed 42)
 values. These are the contract's three words; other widths are a parameter.
 
-Two bits are few: texts of a similarity of 0.8 differ in about ten of 64. `near_links` therefore cuts the job to
-many short fingerprints, in one of which a similar pair is at most two bits apart, and verifies by
-all of their bits and then by the shingles themselves.
+Two bits are few: texts of a similarity of 0.8 differ in about ten of 64. `near_links` therefore takes several short
+fingerprints, in one of which a similar pair is at most two bits apart, lets them meet only where the texts share one of
+their least shingles, and verifies by 512 bits and then by the shingles themselves.
 
 Defined results: a null text is a text without words; null ids keep their row and do not name a component unless all of
 it has null ids; equal rows are separate rows of one component; an empty table gives no rows; other columns are ignored.
@@ -30,12 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import ship, spread, stored
 from .graph import components
 
 WIDTH, SEED, RADIUS = 3, 42, 2
-#: For groups by similarity: shingles of five words, 16 short fingerprints of 32 bits.
-SIMILARITY, SIMILAR_WIDTH, TABLES, MINIMA = 0.8, 5, 16, 8
+#: For groups by similarity: shingles of five words, fingerprints of 8 longs, of which 7 give 20 bits each to meet by, 3 least shingles.
+SIMILARITY, SIMILAR_WIDTH, LONGS, TABLES, PART_BITS, MINIMA = 0.8, 5, 8, 7, 20, 3
+DEVIATIONS = 3  # of a pair's differing bits, beyond which it isn't compared
 _AT_ONCE = 1 << 16  # hashes whose bits are spread out at a time
 _GROUP_CHARS = 500_000  # characters that are sketched at a time
 _BLOCK = 1000  # texts with one short fingerprint that one row of blocks stands for
@@ -92,14 +93,15 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if radius % 2:
         raise ValueError("the radius must be even")
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(radius)])
-    variants = fps.select("fp", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp")))).alias("variant"))
+    masks = ball(radius)
+    around = lambda c: F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col(c))))
+    variants = spread(fps, "fp", times=len(masks)).select("fp", around("fp").alias("variant"))
     # counted before they are ranked: nearly all values are met by one fingerprint only
-    met = variants.groupBy("variant").agg(F.min("fp").alias("b"), F.max("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    met = stored(met, "met")
-    two = met.select("a", "b")
-    more = variants.join(met.where("n > 2").select("variant", "b"), "variant").select(F.col("fp").alias("a"), "b").where("a <> b")
-    return two.unionByName(more).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
+    met = stored(variants.groupBy("variant").agg(F.min("fp").alias("b"), F.max("fp").alias("a"), F.count("*").alias("n")).where("n > 1"), "met")
+    # the members of larger groups lie in the ball of the value that they met on
+    crowded = spread(met.where("n > 2"), "variant", times=len(masks)).select("b", around("variant").alias("fp"))
+    more = crowded.where("fp <> b").join(fps.select("fp"), "fp").select(F.col("fp").alias("a"), "b")
+    return met.select("a", "b").unionByName(more).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
@@ -142,23 +144,23 @@ def bit_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.reshape(len(starts), 64)
 
 
-def sketch_all(texts: list[str | None], width: int, tables: int, minima: int) -> tuple[np.ndarray, list[list[int]]]:
-    """For each text: tables fingerprints of 32 bits over its distinct shingles, two in a long (zeros without words); its least hashes."""
+def sketch_all(texts: list[str | None], width: int, longs: int, minima: int) -> tuple[np.ndarray, list[list[int]]]:
+    """For each text: that many fingerprints of 64 bits over its distinct shingles (zeros without words); its least hashes."""
     sets = []
     for t in texts:
         w = (t or "").encode("utf-8", "surrogatepass").lower().split()
         sets.append(np.unique(shingle_hashes(w, width)) if w else np.empty(0, np.uint64))
     lens = np.array([len(x) for x in sets])
-    some, out = np.flatnonzero(lens), np.zeros((len(texts), tables // 2), np.uint64)
+    some, out = np.flatnonzero(lens), np.zeros((len(texts), longs), np.uint64)
     if len(some):
         every, ends = np.concatenate(sets), np.cumsum(lens[some])
-        for j in range(tables // 2):
+        for j in range(longs):
             sums = bit_sums(mixed_hashes(every, j), ends - lens[some])
             out[some, j] = np.packbits(2 * sums > lens[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out.view(np.int64), [x[:minima].view(np.int64).tolist() for x in sets]
 
 
-def sketches(docs: DataFrame, width: int, tables: int, minima: int) -> DataFrame:
+def sketches(docs: DataFrame, width: int, longs: int, minima: int) -> DataFrame:
     """doc_id, text_md5, sketch, minima."""
     ship(docs.sparkSession)
 
@@ -171,11 +173,11 @@ def sketches(docs: DataFrame, width: int, tables: int, minima: int) -> DataFrame
                     group.append(texts[at].as_py())
                     size += len(group[-1] or "")
                     at += 1
-                sketch, low = sketch_all(group, width, tables, minima)
+                sketch, low = sketch_all(group, width, longs, minima)
                 found += sketch.tolist()
                 least += low
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_md5"), pa.array(found, longs), pa.array(least, longs)], names=["doc_id", "text_md5", "sketch", "minima"])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_md5"), pa.array(found, kind), pa.array(least, kind)], names=["doc_id", "text_md5", "sketch", "minima"])
 
     return _narrow(docs).mapInArrow(run, "doc_id long, text_md5 string, sketch array<long>, minima array<long>")
 
@@ -186,39 +188,46 @@ def most_bits(similarity: float, bits: int, deviations: float = 2) -> int:
     return int(bits * p + deviations * sqrt(bits * p * (1 - p)))
 
 
-def near_links(nodes: DataFrame, similarity: float, tables: int) -> DataFrame:
+def near_links(nodes: DataFrame, similarity: float, tables: int = TABLES, bits: int = PART_BITS) -> DataFrame:
     """Links (leaf, centre, apart: differing bits) between nodes (node, sketch, minima) whose sketches are near.
 
-    A text with a partner of that similarity shares one of its least shingles with it (all but 0.2 ** 8 of such pairs),
-    so only texts that share one emit balls. All pairs of parts that meet on a value (at most 33 by geometry) are made,
-    and all pairs of their texts compared by all bits: in a family of texts on one template, most that meet are
-    strangers, so no one of them can stand for the others. Texts of a part are dealt to blocks, so that no task has a
-    hot part's pairs alone; a pair counts in the first table that has it only.
+    A text with a partner of that similarity shares one of its least shingles with it (all but 0.2 ** 3 of such pairs),
+    so balls are emitted for each least shingle that texts share, and parts only meet where they share it: strangers,
+    however many, don't. All pairs of parts that meet on a value (at most bits + 1 by geometry) are made, and all pairs of
+    their texts compared by all bits: in a family of texts on one template, most that meet are strangers, so no one of
+    them can stand for the others. Texts of a part are dealt to blocks, so that no task has a hot part's pairs alone. A
+    pair counts for its smallest common shingle and in the first table that has it only.
     """
+    one = lambda x: F.lit(x).cast("long")
+    low_bits = one((1 << bits) - 1)
+    masks = F.array(*map(one, [0, *(1 << k for k in range(bits))]))
+    around = lambda c: F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col(c))))
     least = nodes.select("node", F.explode("minima").alias("h"))
     shared = least.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    able = stored(nodes.join(least.join(shared, "h").select("node").distinct(), "node", "left_semi").select("node", "sketch"), "sharing")
-    one = lambda x: F.lit(x).cast("long")
-    masks = F.array(*map(one, [0, *(1 << k for k in range(32))]))
-    parts = F.flatten(F.transform("sketch", lambda s, j: F.array(*[(F.shiftrightunsigned(s, 32 * half)).bitwiseAND(one(0xFFFFFFFF)) + F.shiftleft((2 * j + half).cast("long"), 32) for half in (0, 1)])))
-    parts = able.select("node", "sketch", F.explode(parts).alias("part"))
-    blocks = stored(parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("n_blocks", F.ceil(F.col("n") / _BLOCK)), "parts")
-    variants = blocks.select("part", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("part")))).alias("variant"))
-    met = stored(variants.groupBy("variant").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("n > 1"), "met-parts")
-    many = variants.join(met.where("n > 2").select("variant"), "variant").groupBy("variant").agg(F.collect_list("part").alias("all"))
+    able = stored(least.join(shared, "h").join(nodes, "node").select("node", "h", "sketch", "minima"), "sharing")
+    # a part: the table's number and the low bits of its long
+    numbered = F.transform(F.slice("sketch", 1, tables), lambda s, j: F.shiftleft(j.cast("long"), 32) + s.bitwiseAND(low_bits))
+    parts = able.select("node", "h", "sketch", "minima", F.explode(numbered).alias("part"))
+    blocks = stored(parts.groupBy("h", "part").agg(F.count("*").alias("n")).withColumn("n_blocks", F.ceil(F.col("n") / _BLOCK)), "parts")
+    variants = spread(blocks.select("h", "part"), "h", "part", times=bits + 1).select("h", "part", around("part").alias("variant"))
+    met = stored(variants.groupBy("h", "variant").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("n > 1"), "met-parts")
+    # the members of larger groups lie in the ball of the value that they met on
+    many = spread(met.where("n > 2").select("h", "variant"), "h", "variant", times=bits + 1).select("h", "variant", around("variant").alias("part")).join(blocks.select("h", "part"), ["h", "part"])
+    many = many.groupBy("h", "variant").agg(F.collect_list("part").alias("all"))
     every = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: y > x), lambda y: F.struct(x.alias("low"), y.alias("high")))))
-    close = met.where("n = 2").select("low", "high").unionByName(many.select(F.inline(every))).distinct()
-    close = close.unionByName(blocks.where("n > 1").select(F.col("part").alias("low"), F.col("part").alias("high")))
+    close = met.where("n = 2").select("h", "low", "high").unionByName(many.select("h", F.inline(every))).distinct()
+    close = close.unionByName(blocks.where("n > 1").select("h", F.col("part").alias("low"), F.col("part").alias("high")))
     for c in ("low", "high"):
-        close = close.join(blocks.select(F.col("part").alias(c), "n_blocks"), c).select("*", F.explode(F.sequence(one(0), F.col("n_blocks") - 1)).alias(f"{c}_block")).drop("n_blocks")
-    dealt = parts.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks"))
-    side = lambda c, end: dealt.select(F.col("part").alias(c), F.col("block").alias(f"{c}_block"), F.col("node").alias(end), F.col("sketch").alias(f"of_{end}"))
-    pairs = close.join(side("low", "leaf"), ["low", "low_block"]).join(side("high", "centre"), ["high", "high_block"]).where("low <> high or leaf > centre")
-    differ = [F.col("of_leaf")[k].bitwiseXOR(F.col("of_centre")[k]) for k in range(tables // 2)]
+        close = close.join(blocks.select("h", F.col("part").alias(c), "n_blocks"), ["h", c]).select("*", F.explode(F.sequence(one(0), F.col("n_blocks") - 1)).alias(f"{c}_block")).drop("n_blocks")
+    dealt = parts.join(blocks, ["h", "part"]).withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks"))
+    side = lambda c, end: dealt.select("h", F.col("part").alias(c), F.col("block").alias(f"{c}_block"), F.col("node").alias(end), F.col("sketch").alias(f"of_{end}"), F.col("minima").alias(f"least_{end}"))
+    pairs = close.join(side("low", "leaf"), ["h", "low", "low_block"]).join(side("high", "centre"), ["h", "high", "high_block"]).where("low <> high or leaf > centre")
+    differ = [F.col("of_leaf")[k].bitwiseXOR(F.col("of_centre")[k]) for k in range(LONGS)]
     apart = reduce(Column.__add__, map(F.bit_count, differ))
     table = F.shiftright("low", 32)
-    first = [(table <= t) | (F.bit_count(F.shiftrightunsigned(differ[t // 2], 32 * (t % 2)).bitwiseAND(one(0xFFFFFFFF))) > RADIUS) for t in range(tables - 1)]
-    return pairs.withColumn("apart", apart).where(F.col("apart") <= most_bits(similarity, 32 * tables)).where(reduce(Column.__and__, first)).select("leaf", "centre", "apart")
+    first = [(table <= t) | (F.bit_count(differ[t].bitwiseAND(low_bits)) > RADIUS) for t in range(tables - 1)]
+    once = reduce(Column.__and__, first, F.col("h") == F.array_min(F.array_intersect("least_leaf", "least_centre")))
+    return pairs.withColumn("apart", apart).where(F.col("apart") <= most_bits(similarity, 64 * LONGS, DEVIATIONS)).where(once).select("leaf", "centre", "apart")
 
 
 def link_shingles(links: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -278,18 +287,17 @@ def _rank():
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.coalesce("text_md5", F.lit("")).alias("text_md5"))
 
 
-def winners_by_similarity(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, tables: int = TABLES) -> DataFrame:
+def winners_by_similarity(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH) -> DataFrame:
     """best: (none, doc_id, text_md5) of the row that stays of each group of texts linked by a Jaccard similarity of at least `similarity`.
 
-    Links have their shingles compared, unless compared ones join their ends already. At 0.8 a short fingerprint of both
-    texts differs in two bits or fewer in one table of eight, so one of 16 tables finds nearly nine of ten such pairs,
-    and 97 % at 0.85.
+    Links have their shingles compared, unless compared ones join their ends already. At 0.8 a part of 20 bits of both
+    texts differs in two bits or fewer in two tables of five, so one of 7 tables finds 97 % of such pairs.
     """
-    found = sketches(docs, width, tables, MINIMA).groupBy("sketch").agg(F.min(_rank()).alias("best"), F.min("minima").alias("minima"))
+    found = sketches(docs, width, LONGS, MINIMA).groupBy("sketch").agg(F.min(_rank()).alias("best"), F.min("minima").alias("minima"))
     nodes = stored(found.withColumn("node", F.monotonically_increasing_id()), "distinct-sketches")
-    links = stored(near_links(nodes, similarity, tables), "near-links")
+    links = stored(near_links(nodes, similarity), "near-links")
     each = stored(link_shingles(links, nodes, docs, width), "link-shingles")
-    member = similar_groups(links, each, similarity, 32 * tables).withColumnRenamed("node", "member")
+    member = similar_groups(links, each, similarity, 64 * LONGS).withColumnRenamed("node", "member")
     named = nodes.join(member, F.col("node") == F.col("member"), "left").select("best", F.coalesce("component", "node").alias("component"))
     return named.groupBy("component").agg(F.min("best").alias("best"))
 
