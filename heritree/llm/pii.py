@@ -1,28 +1,31 @@
 """Personal data: strict base patterns, and a semi-Markov conditional random field that adds spans.
 
 The field labels segments, not tokens: a candidate is a run of one to MAX_TOKENS tokens (an entity is bounded), its
-features look at the whole span (its shape, digits, Luhn sum, alphabet, the word before it), and Viterbi over segments
-chooses boundaries and kinds together. Tokens without a digit, @, = or + can't begin or end a candidate, so only
-stretches near such characters need the program; everywhere else the best path is known to be outside.
-
-Weights are trained by an averaged structured perceptron on at most TRAIN_STRETCHES stretches of all texts: those of the
-lowest hashes, kind by kind, and as many without a label. Tasks keep their lowest ones, so the sample depends on neither
-row order nor partitions, copies count once, and only bounded pieces reach the driver. The labels are the base spans and, for secrets, a few strict forms; whole-span features let it go beyond
-them, to other spellings of numbers, keys and passwords. Base spans always stay; the field's spans are added where they
-don't touch one.
+features look at the whole span (its shape, digits, Luhn sum, alphabet, the word before it), a weight links each label
+to the one before, and dynamic programming over segments chooses boundaries and kinds together. Tokens without a digit,
+@, = or + can't begin or end a candidate (but for words that announce a secret), so only stretches near such characters
+need the program; everywhere else the best path is known to be outside. These bounds are rules of the model.
+
+Weights maximise the conditional likelihood: the forward and backward recursions over segments give the partition
+function and the expected counts of features and transitions, whose difference from those of the labels is the gradient.
+Training takes at most TRAIN_STRETCHES stretches of all texts: those of the lowest hashes, kind by kind, and as many
+without a label. Tasks keep their lowest ones, so the sample depends on neither row order nor partitions, copies count
+once, and only bounded pieces reach the driver. The labels are the base spans and, for secrets, a few strict forms; no
+feature says whether a base pattern matches, so the field learns shapes and finds other spellings of numbers, keys and
+passwords. Base spans always stay; the field's spans are added where they don't touch one.
 
 Defined results: a null or empty text has no spans; null ids are ids like others; equal rows get equal spans; an empty
-table gives no rows (the field is then untrained and adds nothing); other columns are ignored. Offsets are code points,
-ends exclusive.
+table gives no rows (the field is then untrained and adds nothing); other columns, whatever their names, are ignored.
+Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -33,7 +36,7 @@ from .common import ship
 KINDS, EXTRA = ("email", "ip", "card", "phone"), ("secret",)
 LABELS = KINDS + EXTRA
 MAX_TOKENS, NEAR = 6, 3
-TRAIN_STRETCHES, EPOCHS, MAX_PIECE, SEED = 800, 4, 2000, 42
+TRAIN_STRETCHES, STEPS, PENALTY, MAX_PIECE, SEED = 800, 80, 0.02, 2000, 42
 
 Span = tuple[str, int, int]  # kind, start, end
 
@@ -98,6 +101,7 @@ _TRIM_LEFT, _TRIM_RIGHT = "\"'([{<,;:", "\"')]}>,;:.!?"
 #: Words that announce secrets and numbers.
 _SECRET_WORDS = {"password", "passwd", "pwd", "token", "secret", "key", "apikey", "api_key", "auth", "bearer", "credential", "passphrase"}
 _PHONE_WORDS = {"phone", "tel", "telephone", "call", "mobile", "cell", "fax"}
+_SHAPE = re.compile(r"[0-9]+|[^\W\d_]+|(.)\1*", re.DOTALL)
 _STRICT_SECRET = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16,}|(?:password|passwd|token|secret|api_key)\s?=\s?\"?[A-Za-z0-9]{12,}\"?")
 
 
@@ -154,8 +158,9 @@ def span_features(text: str, start: int, end: int, n_tokens: int) -> list[str]:
     n = len(digits)
     out = ["bias", f"tokens{n_tokens}", f"digits{0 if not n else min(20, n // 2 * 2)}"]
     out.append("letters" if letters else "noletters")
-    if base := next((k for k, a, b in base_spans(s) if (a, b) == (0, len(s))), None):
-        out.append(f"base-{base}")
+    out.append("shape-" + _SHAPE.sub(lambda m: "9" if m[0][0].isdigit() else "a" if m[0][0].isalpha() else m[0][0], s)[:12])
+    if (parts := s.split("."))[3:] and all(p.isdecimal() and len(p) <= 3 and int(p) <= 255 for p in parts):
+        out.append(f"dotted{len(parts)}")
     if n >= 12 and luhn(digits):
         out.append("luhn")
     if not letters and set(rest) <= set(" ().+-"):
@@ -185,56 +190,76 @@ def span_features(text: str, start: int, end: int, n_tokens: int) -> list[str]:
     return out
 
 
-class SemiMarkov:
-    """Segment scores from whole-span features; weights by (kind, feature)."""
+OUT = len(LABELS)  # the number of the label of a token outside
+Candidate = tuple[int, int, int, list[str]]  # first token, start, end, features
 
-    def __init__(self, weights: dict[tuple[str, str], float] | None = None) -> None:
-        self.weights = weights or {}
 
-    def candidates(self, text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, int, int, list[str]]]]:
-        """For each token, those that end with it: first token, start, end, features."""
-        out = []
-        for j in range(len(tokens)):
-            here = []
-            for i in range(max(0, j - MAX_TOKENS + 1), j + 1):
-                if "\n" in text[tokens[i][0] : tokens[j][1]]:
-                    continue
+def candidates(text: str, tokens: list[tuple[int, int]]) -> list[list[Candidate]]:
+    """For each token, those that end with it."""
+    out = []
+    starts = [_TRIGGER.search(text, s, e) is not None for s, e in tokens]
+    begins = [t or text[s:e].lower() in _SECRET_WORDS for t, (s, e) in zip(starts, tokens)]
+    for j in range(len(tokens)):
+        here = []
+        for i in range(j, max(-1, j - MAX_TOKENS), -1) if starts[j] else ():
+            if "\n" in text[tokens[i][0] : tokens[j][1]]:
+                break
+            if begins[i]:
                 start, end = _trim(text, tokens[i][0], tokens[j][1])
-                if end - start >= 6 and (_TRIGGER.search(text, *tokens[i]) or text[tokens[i][0] : tokens[i][1]].lower() in _SECRET_WORDS) and _TRIGGER.search(text, *tokens[j]):
+                if end - start >= 6:
                     here.append((i, start, end, span_features(text, start, end, j - i + 1)))
-            out.append(here)
-        return out
+        out.append(here)
+    return out
+
 
-    def best(self, found: list[list[tuple[int, int, int, list[str]]]], bonus=None) -> list[tuple[str, int, int, list[str]]]:
-        """Viterbi over segments; a token outside scores 0."""
-        w = self.weights
-        score: list[float] = [0.0]
-        back: list[tuple | None] = [None]
+class SemiMarkov:
+    """Weights of (feature, kind), and of a label after another: first the label before."""
+
+    def __init__(self, weights: dict[str, np.ndarray] | None = None, links: np.ndarray | None = None) -> None:
+        self.weights = weights or {}
+        self.links = np.zeros((OUT + 1, OUT + 1)) if links is None else links
+        self._after = self.links.tolist()
+        self._known = {f: w.tolist() for f, w in self.weights.items()}
+
+    def best(self, found: list[list[Candidate]]) -> list[tuple[str, int, int, list[str]]]:
+        """Viterbi over segments."""
+        low, after = float("-inf"), self._after
+        score, back = [[low] * OUT + [0.0]], [[None] * (OUT + 1)]  # by the last segment's label; outside comes first
         for j, here in enumerate(found):
-            top, how = score[j], None
-            for i, start, end, features in here:
-                for kind in LABELS:
-                    now = score[i] + sum(w.get((kind, f), 0.0) for f in features)
-                    if now > top:
-                        top, how = now, (kind, i, start, end, features)
-            score.append(top)
+            before = score[j]
+            prev = max(range(OUT + 1), key=lambda y: before[y] + after[y][OUT])
+            now, how = [low] * OUT + [before[prev] + after[prev][OUT]], [None] * OUT + [(prev, j, None)]
+            for c in here:
+                before = score[c[0]]
+                known = [w for f in c[3] if (w := self._known.get(f))]
+                for y in range(OUT):
+                    prev = max(range(OUT + 1), key=lambda z: before[z] + after[z][y])
+                    s = before[prev] + after[prev][y] + sum(w[y] for w in known)
+                    if s > now[y]:
+                        now[y], how[y] = s, (prev, c[0], c)
+            score.append(now)
             back.append(how)
         out, j = [], len(found)
+        y = max(range(OUT + 1), key=lambda z: score[j][z])
         while j:
-            if how := back[j]:
-                out.append((how[0], *how[2:]))
-                j = how[1]
-            else:
-                j -= 1
+            prev, i, c = back[j][y]
+            if c:
+                out.append((LABELS[y], *c[1:]))
+            y, j = prev, i
         return out[::-1]
 
     def spans(self, text: str) -> list[Span]:
         if not self.weights:
             return []
-        return [s[:3] for tokens in stretches(text) for s in self.best(self.candidates(text, tokens))]
+        out = []
+        for tokens in stretches(text):
+            found = candidates(text, tokens)
+            if any(found):
+                out += [s[:3] for s in self.best(found)]
+        return out
 
 
-def _gold(text: str, found: list[list[tuple[int, int, int, list[str]]]]) -> list[tuple[str, int, int, list[str]]]:
+def _gold(text: str, found: list[list[Candidate]]) -> list[tuple[str, int, int, list[str]]]:
     """The candidates that are base spans or strict secrets; secrets take what they overlap."""
     secret = [("secret", *_trim(text, *m.span())) for m in _STRICT_SECRET.finditer(text)]
     base = [b for b in base_spans(text) if not any(b[1] < e and s < b[2] for _, s, e in secret)]
@@ -265,7 +290,7 @@ class Lowest:
     def add(self, kinds: list[str], piece: Piece) -> None:
         for kind in kinds:
             held = self.kinds.setdefault(kind, {})
-            if piece[0] < self.limits.get(kind, 1 << 63) and piece[0] not in held and any(SemiMarkov().candidates(piece[1], _tokens(piece))):
+            if piece[0] < self.limits.get(kind, 1 << 63) and piece[0] not in held and any(candidates(piece[1], _tokens(piece))):
                 held[piece[0]] = piece
                 if len(held) >= 2 * TRAIN_STRETCHES:
                     self._cut(kind)
@@ -311,26 +336,105 @@ def train(texts: list[str]) -> SemiMarkov:
     return fit(lowest.sample())
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials over the next-to-last axis; -inf stands for none."""
+    top = np.max(x, axis=-2, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.sum(np.exp(x - top), axis=-2)) + np.squeeze(top, -2)
+
+
+class Likelihood:
+    """Of the labels of a sample, for all its stretches at once. Candidates are rows of `x`; stretches are padded with nothing."""
+
+    def __init__(self, sample: list[Piece]) -> None:
+        index: dict[str, int] = {}
+        rows, golds, self.lengths = [], [], []
+        self.place = []  # stretch, last token, width less one
+        gold_links = np.zeros((OUT + 1, OUT + 1))
+        for n, piece in enumerate(sample):
+            found = candidates(piece[1], _tokens(piece))
+            gold = {(s, e): LABELS.index(k) for k, s, e, _ in _gold(piece[1], found)}
+            taken: dict[int, tuple[int, int]] = {}  # last token of a labelled segment: first token, label
+            for j, here in enumerate(found):
+                for i, s, e, features in here:
+                    y = gold.pop((s, e), None)  # a span that two runs of tokens give counts for the first
+                    if y is not None and all(i > t for t in taken):
+                        taken[j] = (i, y)
+                        golds.append((len(rows), y))
+                    self.place.append((n, j, j - i))
+                    rows.append([index.setdefault(f, len(index)) for f in features])
+            j, after = len(found), []
+            while j:
+                i, y = taken.get(j - 1, (j - 1, OUT))
+                after.append(y)
+                j = i
+            for before, y in zip([OUT, *after[::-1]], after[::-1]):
+                gold_links[before, y] += 1
+            self.lengths.append(len(found))
+        self.features = list(index)
+        self.x = np.zeros((len(rows), len(index)))
+        for r, columns in enumerate(rows):
+            np.add.at(self.x[r], columns, 1.0)
+        self.place = np.array(self.place, np.int64).reshape(-1, 3)
+        self.lengths = np.array(self.lengths, np.int64)
+        gold = np.zeros((len(rows), OUT))
+        for r, y in golds:
+            gold[r, y] = 1
+        self.gold_x, self.gold_links = self.x.T @ gold, gold_links
+
+    def gradient(self, w: np.ndarray, links: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood and its gradients by w (features, kinds) and links, by the forward and backward recursions."""
+        n, longest, none = len(self.lengths), int(self.lengths.max()), -np.inf
+        s = np.full((n, longest, MAX_TOKENS, OUT), none)
+        scores = self.x @ w
+        at = tuple(self.place.T)
+        s[at] = scores
+        alpha = np.full((longest + 1, n, OUT + 1), none)  # by the label of the segment that ends here
+        alpha[0, :, OUT] = 0.0
+        entry = np.empty((longest + 1, n, OUT + 1))  # of a segment of that label that starts here
+        for j in range(longest):
+            entry[j] = _sums(alpha[j][:, :, None] + links)
+            ways = [entry[j - d][:, :OUT] + s[:, j, d] for d in range(min(MAX_TOKENS, j + 1))]
+            alpha[j + 1, :, :OUT] = _sums(np.stack(ways, 1))
+            alpha[j + 1, :, OUT] = entry[j][:, OUT]
+        ends = alpha[self.lengths, np.arange(n)]
+        z = _sums(ends[:, :, None])[:, 0]
+        beta = np.full((longest + 1, n, OUT + 1), none)
+        begin = np.full((longest, n, OUT + 1), none)  # what follows from a segment of that label that starts here
+        expected = np.zeros((OUT + 1, OUT + 1))
+        for j in range(longest, -1, -1):
+            last = self.lengths == j
+            if j < longest:
+                begin[j, :, OUT] = beta[j + 1, :, OUT]
+                ways = [s[:, j + d, d] + beta[j + d + 1, :, :OUT] for d in range(min(MAX_TOKENS, longest - j))]
+                begin[j, :, :OUT] = _sums(np.stack(ways, 1))
+                beta[j] = _sums(np.swapaxes(links + begin[j][:, None, :], 1, 2))
+                p = alpha[j][:, :, None] + links + begin[j][:, None, :] - z[:, None, None]
+                expected += np.exp(p[self.lengths > j]).sum(0)
+            beta[j][last] = 0.0
+        stretch, end, less = at
+        p = np.exp(entry[end - less, stretch][:, :OUT] + scores + beta[end + 1, stretch][:, :OUT] - z[stretch][:, None])
+        value = float((self.gold_x * w).sum() + (self.gold_links * links).sum() - z.sum())
+        return value, self.gold_x - self.x.T @ p, self.gold_links - expected
+
+
 def fit(sample: list[Piece]) -> SemiMarkov:
-    """Averaged structured perceptron."""
-    model = SemiMarkov()
-    data = []
-    for piece in sample:
-        found = model.candidates(piece[1], _tokens(piece))
-        data.append((found, _gold(piece[1], found)))
-    total: Counter = Counter()
-    step = 1
-    for _ in range(EPOCHS):
-        for found, gold in data:
-            guess = model.best(found)
-            if [g[:3] for g in guess] != [g[:3] for g in gold]:
-                for spans, sign in ((gold, 1.0), (guess, -1.0)):
-                    for kind, _, _, features in spans:
-                        for f in features:
-                            model.weights[kind, f] = model.weights.get((kind, f), 0.0) + sign
-                            total[kind, f] += sign * step
-            step += 1
-    return SemiMarkov({k: v - total[k] / step for k, v in model.weights.items()})
+    """Maximum likelihood with a penalty on squares, by STEPS steps of all stretches with moments (Adam)."""
+    if not sample:
+        return SemiMarkov()
+    data = Likelihood(sample)
+    point = [np.zeros((len(data.features), OUT)), np.zeros((OUT + 1, OUT + 1))]
+    mean, square = [np.zeros_like(v) for v in point], [np.zeros_like(v) for v in point]
+    for step in range(1, STEPS + 1):
+        _, *gradients = data.gradient(*point)
+        for k, (v, g) in enumerate(zip(point, gradients)):
+            g = g - PENALTY * v
+            mean[k] = 0.9 * mean[k] + 0.1 * g
+            square[k] = 0.99 * square[k] + 0.01 * g * g
+            rate = 0.3 * (1 - step / (STEPS + 1))
+            point[k] = v + rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
+    return SemiMarkov(dict(zip(data.features, point[0])), point[1])
 
 
 def all_spans(text: str | None, model: SemiMarkov) -> tuple[list[Span], list[Span]]:
@@ -395,7 +499,8 @@ def personal_data(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame
 def personal_data_report(docs: DataFrame) -> DataFrame:
     line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return personal_data(docs).select("doc_id", *[count(k) for k in KINDS], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+    more = [F.size(F.filter("spans", lambda x: x["kind"] == "secret")).cast("long").alias("n_secret"), F.size("spans").cast("long").alias("n_spans")]
+    return personal_data(docs).select("doc_id", *[count(k) for k in KINDS], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"), *more)
 
 
 def redacted(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame:

@@ -16,14 +16,15 @@ def texts():
 
 def test_a_kind_that_occurs_late_is_learned():
     model = pii.train(texts())
-    assert any(k == "secret" and w > 0 for (k, _), w in model.weights.items())
+    assert any(w[pii.LABELS.index("secret")] > 0 for w in model.weights.values())
     assert [k for k, *_ in model.spans("so password=0a1b2c3d4e5f6a7b8c and more")] == ["secret"]
 
 
 def test_row_order_and_copies_change_nothing(spark):
     t = texts()
-    expected = pii.train(t).weights
-    assert expected == pii.train(t[::-1]).weights == pii.train(t + t).weights
+    weights = lambda model: {f: w.tolist() for f, w in model.weights.items()}
+    expected = weights(pii.train(t))
+    assert expected == weights(pii.train(t[::-1])) == weights(pii.train(t + t))
     frame = lambda x, n: spark.createDataFrame([(k, v) for k, v in enumerate(x)], "doc_id long, text string").repartition(n)
     for x, n in ((t, 1), (t[::-1] + t, 5)):
-        assert pii.fitted(frame(x, n)).weights == expected
+        assert weights(pii.fitted(frame(x, n))) == expected
