@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
-A few hundred regexes over a text's words, made from families of licenses and from phrasings. Texts without a keyword
-are let through at once; in the others, each rule is tried only where its own keyword stands. Detections are intervals
+A few hundred regexes over a text's words, written by hand (module `signatures`: sentences of license texts, addresses,
+notices, identifiers), and the names under which licenses are mentioned. Texts without a keyword of the gate are let
+through at once; in the others, each rule is tried only where its own keyword, which all its texts hold, stands. Detections are intervals
 of words. Where intervals overlap, priority and containment decide: a detection within another of at least its priority
 is suppressed, and so is one that a higher priority overlaps. DataFrame functions only.
 
@@ -16,11 +17,13 @@ text or identifier, 0.9 for a base phrase or a named license, 0.5 for a loose me
 from __future__ import annotations
 
 import json
-from functools import reduce
+import re
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import signatures
 from .common import let
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -71,36 +74,55 @@ FAMILIES = [
 ]
 #: Names that mean a license without the word license.
 ACRONYMS = ["gpl", "gnu gpl", "lgpl", "gnu lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "ofl", "odbl", "sspl", "wtfpl", "cc0", "cc by", "cc by sa", "cc by nd", "cc by nc", "cc by nc sa", "cc by nc nd"]
-#: Phrasings with {name} and {version}; priority; score. The last is for acronyms only.
+#: Phrasings with {name} and {version} by which texts mention a license; priority; score. The last is for acronyms only.
 PHRASINGS = [
-    ("spdx license identifier {name}{version}", 4, 1.0),
     ("licensed under (?:the |a |an )?(?:terms of the )?{name}(?: licen[cs]e)?{version}", 3, 0.9),
     ("{name} licen[cs]e{version}", 2, 0.9),
     ("{name} licensed{version}", 1, 0.5),
     ("{name}{version}", 1, 0.9),
 ]
-#: Label, sentence as words that license texts hold, priority, score.
-SENTENCES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 5, 1.0),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", 5, 1.0),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 5, 1.0),
-    ("gpl", "this program is free software you can redistribute it and or modify", 5, 1.0),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license", 5, 1.0),
-    ("unlicense", "this is free and unencumbered software released into the public domain", 5, 1.0),
-    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy", 6, 1.0),
-    ("zlib", "this software is provided as is without any express or implied warranty", 4, 1.0),
-    ("public-domain", "(?:placed|released|dedicated) (?:in|into|to) the public domain", 3, 0.9),
-    ("proprietary", "all rights reserved", 1, 0.5),
-    ("proprietary", "proprietary and confidential", 2, 0.9),
-    ("proprietary", "this software is the (?:proprietary|confidential) (?:information|property) of", 3, 1.0),
-]
+#: How identifiers go on.
+SUFFIX = "(?: only| or later)?(?: with (?:classpath exception 2 0|llvm exception|gcc exception (?:2 0|3 1)|linux syscall note|openssl exception|bison exception 2 2|font exception 2 0|autoconf exception (?:2|3) 0))?"
 _SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Every rule's text holds one of these (a test tries each rule); parts of words in the first list, starts of words in the second.
-GATE = ["licen", "permission", "redistribut", "unencumbered", "proprietary", "confidential", "warranty", "public domain", "rights reserved", "gpl", "cc0"]
+#: Parts of words, and starts of words, one of which every text of a rule holds; `rules` fails for a rule whose texts don't.
+GATE = [
+    "licen", "software", "permission", "distribut", "copyright", "warrant", "proprietary", "confidential", "gpl", "cc0", "public domain", "rights reserved", "droits réservés", "rechte vorbehalten", "derechos reservados",
+    "trademark", "prohibited", "commercial", "evaluation purposes", "use only", "reproduced", "fuck you", "advertising", "trade secrets", "restriction", "and not evil", "dedication", "misrepresented",
+    "perl", "bsl11", "beer in return", "derivative work", "combined work", "prominently offer", "package may be copied", "ports to new operating systems", "gemma", "copyleft", "eupl",
+    "latex project", "creativecommons", "contributors may", "openssl", "available to third parties",
+]
 GATE_WORDS = ["mpl", "epl", "cddl", "eupl", "ofl", "odbl", "sspl", "wtfpl", "cc by"]
 MAX_PRIORITY = 8
 
 
+def variants(regex: str) -> list[str]:
+    """The texts that a rule's regex matches, with an ellipsis for each gap: all choices of its groups, classes and optional letters."""
+    done, left = [], [re.sub(r"\.\{\d+,\d+\}\?", "…", regex)]
+    group, letter = re.compile(r"\(\?:([^()]*)\)(\?)?"), re.compile(r"(?:\[([^\]]+)\]|([^\]?]))(\?)?")
+    while left:
+        r = left.pop()
+        if m := group.search(r):
+            left += [r[: m.start()] + x + r[m.end() :] for x in [*m[1].split("|"), *[""] * bool(m[2])]]
+            continue
+        m = next((m for m in letter.finditer(r) if m[1] or m[3]), None)
+        if m:
+            left += [r[: m.start()] + x + r[m.end() :] for x in [*(m[1] or m[2]), *[""] * bool(m[3])]]
+        else:
+            done.append(r)
+    return done
+
+
+def _opens(text: str) -> bool:
+    return any(w in text for w in GATE) or any(" " + w in " " + text for w in GATE_WORDS)
+
+
+def _keyword(texts: list[str]) -> str:
+    """The longest word that all of a rule's texts hold; the empty one if they have none in common."""
+    common = set.intersection(*({w for w in t.split() if "…" not in w} for t in texts))
+    return max(common, key=lambda w: (len(w), w), default="")
+
+
+@cache
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword that the text must hold, regex over space-joined words, priority, score), in order."""
     out = []
@@ -112,7 +134,14 @@ def rules() -> list[tuple[str, str, str, int, float]]:
                     if versions:
                         out.append((label, name, phrase.replace("{name}", name).replace("{version}", any_version), priority + 2, score))
                     out.append((label, name, phrase.replace("{name}", name).replace("{version}", ""), priority, score))
-    return out + [(label, max((w for w in s.split() if w.isalpha()), key=len), s, priority, score) for label, s, priority, score in SENTENCES]
+    for label, priority, score, regex in signatures.TEXTS + signatures.ADDRESSES + signatures.NOTICES:
+        texts = variants(regex)
+        if shut := [t for t in texts if not _opens(t)]:
+            raise ValueError(f"no part of {shut[0]!r} is in the gate")
+        out.append((label, _keyword(texts), regex, priority, score))
+    # longer identifiers come first where one starts with another, by containment
+    out += [(i.replace(" ", "-"), "spdx", f"spdx license identifier {i}{SUFFIX}", 6, 1.0) for i in signatures.IDENTIFIERS]
+    return out
 
 
 def _places(line: Column, regex: str | Column) -> Column:
