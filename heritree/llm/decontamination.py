@@ -7,8 +7,8 @@ shingles by that rarity and keep the first with its place; join the texts' shing
 position or the text's length rules out, and compare the words of the window exactly. Near-copies would need more
 prefix tokens; windows are exact.
 
-What goes to all executors is a bitmap of 2 MB at most, whatever the benchmark's size. It only thins out the shingles
-that are joined; the join and the comparison are exact.
+What goes to all executors is a bitmap whose size follows the benchmark's up to MAX_BITS (32 MB). It only thins out the
+shingles that are joined; the join and the comparison are exact.
 
 Defined results: a null text or one without words has no hits; a null item id hits words but has no name to list;
 repeated items and rows count once and each; empty tables give no rows or no hits; other columns are ignored.
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import WORD_TABLE, ship, stored
 
 WINDOW, SHINGLE = 10, 5
-BITMAP_BITS, _CELL = 1 << 24, 32768
+_CELL = 32768  # bits of a piece of the bitmap
+MIN_BITS, MAX_BITS, BITS_EACH = 1 << 20, 1 << 28, 64  # of the bitmap: by the number of shingles, 32 MB at most
+SALTS = 64  # parts that the rows of one text may fall into
 
 
 def words(text: str | None) -> list[bytes]:
@@ -76,20 +78,26 @@ def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
 
 
 def _bitmap(hashes: DataFrame) -> bytes:
-    """Bit h mod BITMAP_BITS is set for each h."""
-    slot = F.pmod("h", F.lit(BITMAP_BITS))
+    """Bit h mod its length is set for each h. The length, a power of two, follows the number of hashes up to MAX_BITS."""
+    n_bits = min(MAX_BITS, max(MIN_BITS, 1 << (hashes.count() * BITS_EACH - 1).bit_length()))
+    slot = F.pmod("h", F.lit(n_bits))
     cells = hashes.select((slot / _CELL).cast("int").alias("cell"), (slot % _CELL).alias("at")).groupBy("cell").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
-    out = bytearray(BITMAP_BITS // 8)
-    for r in cells:  # at most BITMAP_BITS / _CELL of 4 KB
+    out = bytearray(n_bits // 8)
+    for r in cells:  # at most n_bits / _CELL of 4 KB
         out[r["cell"] * _CELL // 8 : (r["cell"] + 1) * _CELL // 8] = r["bits"]
     return bytes(out)
 
 
 def _hits(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    at = h & np.uint64(BITMAP_BITS - 1)
+    at = h & np.uint64(8 * len(bitmap) - 1)
     return np.flatnonzero((bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
 
 
+def _salted(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by digest, so that the rows of one text, which may be a third of all, are many tasks' work."""
+    return rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), texts.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
 def _document_frequency(docs: DataFrame, bitmap: bytes, widths: list[int]) -> DataFrame:
     """h, texts: in how many texts a shingle of the bitmap occurs."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -175,7 +183,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows, texts = contamination(docs, benchmark)
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return rows.join(texts, "md5", "left").select(
+    rows, texts = _salted(rows, texts)
+    return rows.join(texts, ["md5", "__salt"], "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
 
@@ -183,5 +192,5 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text contains a window."""
     _, texts = contamination(docs, benchmark)
-    row = docs.withColumn("__md5", F.md5(F.col("text").cast("binary")))
-    return row.join(texts.select(F.col("md5").alias("__md5")), "__md5", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, texts = _salted(docs.withColumn("__md5", F.md5(F.col("text").cast("binary"))), stored(texts.select(F.col("md5").alias("__md5")), "contaminated"))
+    return row.join(texts, ["__md5", "__salt"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
