@@ -3,7 +3,8 @@
 A uniform shuffle of all rows into shards of exact sizes, in three steps that need no global sort: draw how many rows
 each input partition sends to each shard (a random matrix whose rows add up to the partitions' counts and whose columns
 to the shards' sizes), permute every partition locally and cut it by its row of the matrix, exchange, and permute each
-shard again. The rows see DataFrame functions only; the driver handles one count for each partition and shard.
+shard again. The rows see DataFrame functions only. The driver draws one count for each partition and shard; input
+partitions are merged, without a shuffle, to so few that these are MATRIX_CELLS at most, whatever the table's size.
 
 Defined results: a null text has size 16 and the checksum of no bytes; a null id is an id like any other; equal rows are
 placed one by one; an empty table gives no rows; other columns pass through `carry` and never clash, as they travel in
@@ -23,20 +24,54 @@ from .common import stored
 
 #: Extra bytes that each row counts for besides its text.
 ROW_BYTES = 16
+MATRIX_CELLS = 1 << 18
 LOCAL_BITS = 33  # of monotonically_increasing_id: the place within the partition
 
 
+def _tail(n: float) -> float:
+    """log n! less Stirling's formula, to full precision however large n is."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x without cancellation near the mean."""
+    if abs(x - mean) < 0.1 * (x + mean):
+        v = (x - mean) / (x + mean)
+        s, term, k = (x - mean) * v, 2 * x * v, 1
+        while True:
+            term *= v * v
+            more = s + term / (2 * k + 1)
+            if more == s:
+                return s
+            s, k = more, k + 1
+    return x * math.log(x / mean) + mean - x
+
+
+def _log_binomial(x: int, n: int, p: float, q: float) -> float:
+    """Log of the probability of x of n by the saddle point, exact to rounding for all sizes."""
+    if x == 0:
+        return n * math.log(q) if p > 0.1 else n * math.log1p(-p)
+    if x == n:
+        return n * math.log(p)
+    tails = _tail(n) - _tail(x) - _tail(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+    return tails + 0.5 * (math.log(n) - math.log(2 * math.pi) - math.log(x) - math.log(n - x))
+
+
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
     """How many of `draws` items taken from good + bad are good; exact inversion outwards from the mode."""
     low, high = max(0, draws - bad), min(draws, good)
     if low == high:
         return low
     x = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    log_choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    p = math.exp(log_choose(good, x) + log_choose(bad, draws - x) - log_choose(good + bad, draws))
+    if draws == good + bad:
+        return good
+    p, q = draws / (good + bad), (good + bad - draws) / (good + bad)
+    chance = math.exp(_log_binomial(x, good, p, q) + _log_binomial(draws - x, bad, p, q) - _log_binomial(draws, good + bad, p, q))
     left = right = x
-    p_left = p_right = p
-    u = rng.random() - p
+    p_left = p_right = chance
+    u = rng.random() - chance
     while u > 0 and (left > low or right < high):
         if right < high:
             p_right *= (good - right) * (draws - right) / ((right + 1) * (bad - draws + right + 1))
@@ -85,6 +120,7 @@ def shard_rows(docs: DataFrame, n_shards: int, seed: int = 42, carry: list[str]
     """carried columns (all by default) as struct `row`, with doc_id, size, text_crc32, shard and the slot within it, without gaps."""
     spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
+    docs = docs.coalesce(max(8, MATRIX_CELLS // n_shards))
     key = F.xxhash64(F.lit(seed), F.col(doc_id), F.crc32(F.encode(F.col(text), "utf-8")))
     kept = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias("__none")).alias("row"),
