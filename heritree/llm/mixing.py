@@ -31,7 +31,10 @@ BLOCK_WORDS, N_SHARDS, PER_SOURCE = 1024, 8, 100
 def _sized(docs: DataFrame, seed: int, carry: list[str]) -> DataFrame:
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
     row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
-    return docs.select(*row, "doc_id", F.col("source").cast("string").alias("source"), n_space_words(F.col("text")).alias("size"), order.alias("order"))
+    # rows that differ in other columns only stand in the order of these, so that reruns cut the same one
+    rest = [F.col(f"`{c}`") for c in carry if c != "text"]
+    tie = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long")
+    return docs.select(*row, tie.alias("tie"), "doc_id", F.col("source").cast("string").alias("source"), n_space_words(F.col("text")).alias("size"), order.alias("order"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -100,7 +103,7 @@ def mix(docs: DataFrame, seed: int = 42, block_words: int | None = None, n_shard
         .select("pos", "piece", F.coalesce(F.sum("words").over(Window.partitionBy("pos").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     )
     rows = pieced(_sized(docs, seed, carry) if carry else narrow)
-    within = Window.partitionBy("pos", "piece").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("pos", "piece").orderBy("order", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(before, ["pos", "piece"]).withColumn("at", F.col("at") + F.col("before"))
     end = F.col("first") + F.col("rest")
     pieces = F.filter(F.array(_overlap(F.col("first"), F.least(end, length)), _overlap(F.lit(0), end - length)), lambda p: p["to"] > p["from"])

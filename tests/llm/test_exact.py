@@ -84,6 +84,14 @@ def test_mixing(request, rows, which):
     assert all(got[s] == taken[s] for s in taken if s != "c")  # c's text holds white space beyond ASCII's
 
 
+def test_rows_that_differ_in_other_columns_only_are_cut_alike(spark):
+    text = " ".join(f"w{k}" for k in range(400))
+    rows = [(1, text, "a", f"row {k}", {"k": k}) for k in range(12)] + [(2, text, "b", "x", {})]
+    schema = "doc_id long, text string, source string, note string, more map<string,int>"
+    mixes = [bag((r.note, r.text) for r in mixing.mixed_rows(spark.createDataFrame(x, schema).repartition(n), block_words=7).collect()) for x, n in ((rows, 1), (rows[::-1], 4))]
+    assert mixes[0] == mixes[1]
+
+
 def test_quotas_are_highest_quotients(spark):
     import heapq
 
@@ -149,6 +157,15 @@ def test_verdict_does_not_depend_on_the_order(docs):
         assert docs.where(quality.verdict(F.col("text"), rules).isNull()).count() == 2
 
 
+def test_rules_are_ordered_by_rejections_per_cost(docs, tmp_path):
+    names = {r.name for r in quality.RULES}
+    assert {r.name for r in quality.ordered(docs)} == names and quality.ordered(docs)[0].name in ("few words", "many words")
+    docs.repartition(40).write.parquet(f"{tmp_path}/many")
+    many = docs.sparkSession.read.parquet(f"{tmp_path}/many")
+    assert len(many.inputFiles()) < 17 or len(quality._some_files(many, 1).inputFiles()) == quality.SAMPLE_FILES
+    assert {r.name for r in quality.ordered(many)} == names
+
+
 @pytest.mark.parametrize("which", ["docs", "clashing"])
 def test_token_files(request, rows, which):
     docs = request.getfixturevalue(which)
@@ -193,6 +210,30 @@ def test_communication_matrix_is_hypergeometric():
     assert abs(np.mean(draws) - 1.5) < 0.06 and abs(np.var(draws) - 0.829) < 0.08
 
 
+def test_hypergeometric_probabilities_of_large_tables():
+    from fractions import Fraction
+    from math import comb, log
+
+    for good, bad, draws in ((30, 50, 20), (5, 400, 300), (1000, 3000, 777)):
+        p = draws / (good + bad)
+        for x in range(max(0, draws - bad), min(good, draws) + 1, 7):
+            exact = Fraction(comb(good, x) * comb(bad, draws - x), comb(good + bad, draws))
+            found = sharding._log_binomial(x, good, p, 1 - p) + sharding._log_binomial(draws - x, bad, p, 1 - p) - sharding._log_binomial(draws, good + bad, p, 1 - p)
+            assert found == pytest.approx(log(exact.numerator) - log(exact.denominator), rel=1e-9, abs=1e-9)
+    # 1e11 rows: the chances near the mode still add up
+    good, bad, draws = 10**10, 9 * 10**10, 10**5
+    p = draws / (good + bad)
+    of = lambda x: sharding._log_binomial(x, good, p, 1 - p) + sharding._log_binomial(draws - x, bad, p, 1 - p) - sharding._log_binomial(draws, good + bad, p, 1 - p)
+    assert sum(np.exp(of(x)) for x in range(10_000 - 900, 10_000 + 901)) == pytest.approx(1, abs=1e-9)
+
+
+def test_input_partitions_are_merged_for_the_matrix(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MATRIX_CELLS", 40)
+    docs = spark.range(500).selectExpr("id as doc_id", "cast(id as string) as text").repartition(30)
+    out = sharding.sharded_documents(docs, 4).collect()
+    assert sorted(r.doc_id for r in out) == list(range(500)) and sorted((r.shard, r.slot) for r in out) == [(s, k) for s in range(4) for k in range(125)]
+
+
 @pytest.mark.parametrize("which", ["docs", "clashing"])
 def test_licenses(request, rows, which):
     docs = request.getfixturevalue(which)
