@@ -12,8 +12,8 @@ def extract_ids(json: Column) -> Column:
     items = F.try_variant_get(v, "$", "array<variant>")
     names = F.filter(F.transform(items, lambda x: F.try_variant_get(x, "$.Name", "string")), F.isnotnull)
     keys = F.json_object_keys(json)
-    numbers = F.filter(keys, lambda k: k.rlike(r"^(0|[1-9][0-9]{0,9})$"))
-    ordered = F.concat(F.transform(F.array_sort(F.transform(numbers, lambda k: k.cast("long"))), lambda k: k.cast("string")), F.filter(keys, lambda k: ~k.rlike(r"^(0|[1-9][0-9]{0,9})$")))
+    number = lambda k: k.rlike(r"^(0|[1-9][0-9]{0,9})$") & (k.try_cast("long") < (1 << 32) - 1)  # noqa: E731  an array's index
+    ordered = F.concat(F.transform(F.array_sort(F.transform(F.filter(keys, number), lambda k: k.cast("long"))), lambda k: k.cast("string")), F.filter(keys, lambda k: ~number(k)))
     return F.when(F.schema_of_variant(v).startswith("ARRAY"), names).when(F.schema_of_variant(v).startswith("OBJECT"), ordered).otherwise(F.array().cast("array<string>"))
 
 

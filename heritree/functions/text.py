@@ -46,8 +46,9 @@ def profile_date(c: Column) -> Column:
     return F.when(~c.startswith("0000") & (c != ""), c)
 
 
-def display_name(name: Column, first: Column, last: Column, wiki_id: Column) -> Column:
-    return F.coalesce(blank_to_null(name), blank_to_null(F.trim(F.concat_ws(" ", blank_to_null(first), blank_to_null(last)))), wiki_id)
+def display_name(name: Column, first: Column, middle: Column, last: Column, wiki_id: Column) -> Column:
+    joined = F.concat_ws(" ", *map(blank_to_null, (first, middle, last)))
+    return F.coalesce(blank_to_null(name), blank_to_null(joined), wiki_id)
 
 
 def map_name(name: Column, first: Column, last: Column) -> Column:
@@ -91,9 +92,12 @@ def marker_label(n: Column, radius: Column) -> Column:
     return F.when(n > 3, F.greatest(F.lit(8.0), radius * 0.8))
 
 
-def tooltip(label: Column, n: Column, first_year: Column, last_year: Column, names: Column) -> Column:
-    years = F.when(first_year == last_year, first_year.cast("string")).otherwise(F.concat_ws("-", first_year, last_year))
-    return F.concat_ws("; ", label, F.concat(n.cast("string"), F.lit(" persons")), years, F.when(n <= 5, F.array_join(names, ", ")))
+def tooltip(label: Column, n: Column, first_year: Column, last_year: Column, persons: Column) -> Column:
+    """Lines: place, number of persons, years of birth unless unknown (9999), and up to five persons (name, birth_year) each."""
+    people = F.concat(n.cast("string"), F.when(n == 1, " person").otherwise(" people"))
+    years = F.when(first_year == last_year, F.concat(F.lit("Born "), first_year)).otherwise(F.concat(F.lit("Born "), first_year, F.lit(" - "), last_year))
+    line = lambda p: F.concat(first_filled(p["name"], F.lit("Unknown")), F.when(F.coalesce(p["birth_year"], F.lit(0)) != 0, F.concat(F.lit(" ("), p["birth_year"], F.lit(")"))).otherwise(""))
+    return F.concat_ws("\n", label, people, F.when(first_year != 9999, years), F.when(F.size(persons) <= 5, blank_to_null(F.array_join(F.transform(persons, line), "\n"))))
 
 
 def cluster_label(normalized: Column, city: Column, state: Column) -> Column:

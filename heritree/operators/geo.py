@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cluster_id, cluster_label, first_filled, gender_code, map_name, parse_year
+from ..functions.text import cluster_id, cluster_label, gender_code, map_name, parse_year
 
 NO_YEARS, UNKNOWN = (1700, 1900), (9999, 0)
 
@@ -33,23 +33,34 @@ def in_years(rows: DataFrame, min_year: int | None = None, max_year: int | None
     return rows
 
 
-def clusters(rows: DataFrame, with_persons: bool = True, label: str | None = None) -> DataFrame:
+def clusters(rows: DataFrame, with_persons: bool = True, label: str | None = None, coded: bool = False) -> DataFrame:
     """A row for each pair of coordinates: count, first and last year (9999 and 0 if none is known), names of the first person's place.
 
-    Persons are a list of structs, as the map asks for; without them the aggregate is of constant size for each group.
+    Persons are a list of structs, as the map asks for; without them the aggregate is of constant size for each group, and
+    `cluster_persons` gives them as rows. coded: genders as M, F and U.
     """
     of_first = lambda c: F.min_by(c, "person_id")
     labels = F.col(label) if label else cluster_label(F.col("location_name"), F.col("city"), F.col("state"))
-    person = F.struct(F.col("person_id"), F.col("wiki_id"), map_name(F.col("name"), F.col("first_name"), F.col("last_name")).alias("name"), "birth_year", gender_code(F.col("gender")).alias("gender"))
+    person = _person(coded)
     more = [F.array_sort(F.collect_list(person)).alias("persons")] if with_persons else []
     return (
         rows.groupBy("latitude", "longitude")
-        .agg(F.count("*").alias("person_count"), of_first(labels).alias("location_name"), of_first(first_filled(F.col("state"))).alias("state"), of_first("city").alias("city"),
+        .agg(F.count("*").alias("person_count"), of_first(labels).alias("location_name"), of_first("state").alias("state"), of_first("city").alias("city"),
              F.coalesce(F.min("birth_year"), F.lit(UNKNOWN[0])).alias("min_year"), F.coalesce(F.max("birth_year"), F.lit(UNKNOWN[1])).alias("max_year"), *more)
         .withColumn("id", cluster_id(F.col("latitude"), F.col("longitude")))
     )
 
 
+def _person(coded: bool) -> Column:
+    gender = gender_code(F.col("gender")) if coded else F.col("gender")
+    return F.struct(F.col("person_id"), F.col("wiki_id"), map_name(F.col("name"), F.col("first_name"), F.col("last_name")).alias("name"), "birth_year", gender.alias("gender"))
+
+
+def cluster_persons(rows: DataFrame, coded: bool = False) -> DataFrame:
+    """id of the cluster and the persons' columns, a row for each person, whatever a place's size."""
+    return rows.select(cluster_id(F.col("latitude"), F.col("longitude")).alias("id"), _person(coded).alias("p")).select("id", "p.*")
+
+
 def year_range(rows: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.min("birth_year"), F.lit(NO_YEARS[0])).alias("min_year"), F.coalesce(F.max("birth_year"), F.lit(NO_YEARS[1])).alias("max_year"))
 

@@ -6,10 +6,12 @@ go over an edge table (child, parent, role), one row for each filled parent colu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import stored, stored_rows
 
 ROW = ["id", "wiki_id", "wiki_numeric_id", "name", "first_name", "middle_name", "last_name_birth", "last_name_current", "suffix", "gender", "birth_date", "death_date", "birth_location", "death_location", "is_living", "father_wiki_id", "mother_wiki_id"]
 MAX_DEPTH, MAX_LIMIT = 10, 500
@@ -18,6 +20,26 @@ MAX_DEPTH, MAX_LIMIT = 10, 500
 class NotFound(LookupError):
     """No person has that id."""
 
+    code = "NOT_FOUND"
+
+    def __init__(self, identifier: str, resource: str = "Person") -> None:
+        super().__init__(f"{resource} '{identifier}' not found")
+
+
+class BadRequest(ValueError):
+    """An argument out of its bounds."""
+
+    code = "BAD_REQUEST"
+
+
+class DatabaseError(RuntimeError):
+    """A failed operation, named without its cause; the cause is chained."""
+
+    code = "INTERNAL_SERVER_ERROR"
+
+    def __init__(self, operation: str) -> None:
+        super().__init__(f"Database operation failed: {operation}")
+
 
 def edges(persons: DataFrame) -> DataFrame:
     """child, parent, role (0 father, 1 mother). A person whose father and mother are the same has one edge for the traversals' OR."""
@@ -25,9 +47,11 @@ def edges(persons: DataFrame) -> DataFrame:
     return persons.select(F.col("wiki_id").alias("child"), F.explode(both).alias("e")).select("child", "e.parent", "e.role").where("parent is not null")
 
 
-def _check(depth: int, limit: int = 1, offset: int = 0) -> None:
+def _check(depth: int, limit: int = 1, offset: int = 0, seed: str = "-") -> None:
+    if not seed:
+        raise BadRequest("an id must not be empty")
     if not 1 <= depth <= MAX_DEPTH or not 1 <= limit <= MAX_LIMIT or offset < 0:
-        raise ValueError(f"depth must be 1 to {MAX_DEPTH}, limit 1 to {MAX_LIMIT}, offset 0 or more")
+        raise BadRequest(f"depth must be 1 to {MAX_DEPTH}, limit 1 to {MAX_LIMIT}, offset 0 or more")
 
 
 def walk(persons: DataFrame, seed: str, depth: int, up: bool = False) -> DataFrame:
@@ -35,33 +59,32 @@ def walk(persons: DataFrame, seed: str, depth: int, up: bool = False) -> DataFra
 
     Counting paths keeps a level as small as the number of its persons, where the bag doubles with every pedigree collapse.
     """
-    _check(depth)
-    e = edges(persons).select("child", "parent").distinct()
+    _check(depth, seed=seed)
+    # one narrow row for each person; a step joins the level with all edges once, and levels are small beside them
+    narrow = persons.select("wiki_id", "father_wiki_id", "mother_wiki_id")
+    e = edges(narrow).select("child", "parent").distinct()
     step, to = ("child", "parent") if up else ("parent", "child")
-    e = e.select(F.col(step).alias("wiki_id"), F.col(to).alias("next"))
-    level = persons.where(F.col("wiki_id") == seed).select("wiki_id", F.lit(1).cast("long").alias("paths"))
+    if up:  # parents that aren't persons of the table lead nowhere
+        e = e.join(narrow.select(F.col("wiki_id").alias("parent")), "parent", "left_semi")
+    e = stored(e.select(F.col(step).alias("from_id"), F.col(to).alias("to_id")), "walk-edges")
+    level = narrow.where(F.col("wiki_id") == seed).select("wiki_id", F.lit(1).cast("long").alias("paths"), F.lit(0).alias("tree_depth"))
     # father and mother in the frontier give a child two rows only where they are different persons' rows: a sum over edges
-    levels = [level.withColumn("tree_depth", F.lit(0))]
-    known = persons.select(F.col("wiki_id").alias("next"))
+    levels = [level := stored(level, "walk-level")]
     for d in range(1, depth + 1):
-        level = level.join(e, "wiki_id").groupBy("next").agg(F.sum("paths").alias("paths"))
-        if up:
-            level = level.join(known, "next", "left_semi")
-        level = level.withColumnRenamed("next", "wiki_id")
-        levels.append(level.withColumn("tree_depth", F.lit(d)))
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out
+        step = level.join(e, F.col("wiki_id") == F.col("from_id")).groupBy(F.col("to_id").alias("wiki_id")).agg(F.sum("paths").alias("paths"))
+        level, n = stored_rows(step.withColumn("tree_depth", F.lit(d)), "walk-level")
+        if not n:
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
 
 
-def _recursive(persons: DataFrame, seed: str, depth: int, up: bool) -> DataFrame:
-    """The bag itself, by one recursive query over narrow rows, joined with the persons at the end."""
-    _check(depth)
+def recursive_walk(persons: DataFrame, seed: str, depth: int, up: bool = False) -> DataFrame:
+    """The bag itself, by one recursive query over narrow rows; Spark bounds it at 100 levels and a million rows."""
+    _check(depth, seed=seed)
     e = edges(persons).select("child", "parent").distinct()
     step, to = ("child", "parent") if up else ("parent", "child")
-    spark = persons.sparkSession
-    bag = spark.sql(
+    return persons.sparkSession.sql(
         f"""WITH RECURSIVE walk(wiki_id, tree_depth) AS (
               SELECT wiki_id, 0 FROM {{persons}} WHERE wiki_id = :seed
               UNION ALL
@@ -69,22 +92,21 @@ def _recursive(persons: DataFrame, seed: str, depth: int, up: bool) -> DataFrame
             SELECT * FROM walk""",
         args={"seed": seed, "depth": depth}, persons=persons.select("wiki_id"), edges=e,
     )
-    return bag
 
 
-def lineage(persons: DataFrame, seed: str, depth: int = 3, up: bool = False, distinct: bool = False, by_paths: bool = False) -> DataFrame:
+def lineage(persons: DataFrame, seed: str, depth: int = 3, up: bool = False, distinct: bool = False, recursive: bool = False) -> DataFrame:
     """Person columns and tree_depth, a row for each path; distinct: one for each person, at its smallest depth.
 
-    by_paths: level by level with path counts instead of Spark's recursion, which is bounded at 100 levels and a million rows.
+    Level by level with path counts; recursive: by Spark's own recursion, which stops at a million rows.
     """
-    if by_paths or distinct:
+    if recursive and not distinct:
+        w = recursive_walk(persons, seed, depth, up)
+    else:
         w = walk(persons, seed, depth, up)
         if distinct:
             w = w.groupBy("wiki_id").agg(F.min("tree_depth").alias("tree_depth"))
         else:
             w = w.select("wiki_id", "tree_depth", F.explode(F.sequence(F.lit(1), F.col("paths")))).drop("col")
-    else:
-        w = _recursive(persons, seed, depth, up)
     return persons.select(*ROW).join(w, "wiki_id").select(*ROW, F.col("tree_depth").cast("int").alias("tree_depth"))
 
 
@@ -203,10 +225,11 @@ def generations(persons: DataFrame, seed: str, position: str = "id") -> DataFram
     while True:
         best = F.min(F.struct("rank", "kind", "at", (F.col("gen") + F.col("step")).alias("gen")))
         found = level.join(links, level["wiki_id"] == links["a"]).join(seen.select(F.col("wiki_id").alias("b")), "b", "left_anti").groupBy("b").agg(best.alias("o"))
-        # the queue's order within the level, for the ties of the next one
-        found = found.select(F.col("b").alias("wiki_id"), F.col("o.gen").alias("gen"), (F.row_number().over(Window.orderBy("o.rank", "o.kind", "o.at", "b")) - 1).cast("long").alias("rank"))
-        level = stored(found, "level")
-        if level.isEmpty():
+        # the queue's order within the level, for the ties of the next one: numbers that ascend over ranges, with gaps
+        order = ["o.rank", "o.kind", "o.at", "b"]
+        ranged = found.repartitionByRange(*order).sortWithinPartitions(*order)
+        level, n = stored_rows(ranged.select(F.col("b").alias("wiki_id"), F.col("o.gen").alias("gen"), F.monotonically_increasing_id().alias("rank")), "level")
+        if not n:
             break
         seen = seen.unionByName(level)
     out = persons.select("wiki_id", "generation").join(seen.select("wiki_id", "gen"), "wiki_id", "left").select("wiki_id", F.coalesce("gen", "generation", F.lit(0)).cast("int").alias("gen"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import extract_ids, parent_id
-from ..functions.text import full_name, location_key
+from ..functions.text import SPACE, full_name, location_key
 from .queue import first_wins
 
 #: Columns that an upsert never sets.
@@ -22,21 +22,44 @@ FIELDS = {
 }
 
 
+def _is_one(v: Column) -> Column:
+    """Whether a variant is the number 1, not a text or a truth value."""
+    kind = F.schema_of_variant(v)
+    return F.coalesce(~kind.isin("STRING", "BOOLEAN", "VOID") & (F.try_variant_get(v, "$", "double") == 1), F.lit(False))
+
+
 def profiles(raw: DataFrame, json: str = "json") -> DataFrame:
-    """raw with `profile` columns of its JSON documents; documents without a Name are dropped. Fields may be missing, null or of several types."""
+    """raw with `profile` columns of its JSON documents; documents without a Name, or with an empty one, are dropped.
+
+    Fields may be missing, null or of several types.
+    """
     v = F.try_parse_json(json)
     text = lambda f: F.try_variant_get(v, f"$.{f}", "string")
     cols: dict[str, Column] = {c: text(f) for f, c in FIELDS.items()}
     named = {"first": cols["first_name"], "middle": cols["middle_name"], "birth_last": cols["last_name_birth"], "current_last": cols["last_name_current"], "suffix": cols["suffix"]}
-    inner = lambda f: F.try_variant_get(v, f"$.{f}", "variant").cast("string")
     as_json = lambda f: F.to_json(F.try_variant_get(v, f"$.{f}", "variant"))
-    del inner
     return raw.select(
         *raw.columns, text("Name").alias("wiki_id"), F.try_variant_get(v, "$.Id", "int").alias("wiki_numeric_id"), full_name(**named, name=text("Name")).alias("name"),
         *[c.alias(n) for n, c in cols.items()], location_key(cols["birth_location"]).alias("birth_location_key"), location_key(cols["death_location"]).alias("death_location_key"),
-        F.coalesce(F.try_variant_get(v, "$.IsLiving", "int") == 1, F.lit(False)).alias("is_living"), parent_id(F.col(json), "$.Father").alias("father_wiki_id"), parent_id(F.col(json), "$.Mother").alias("mother_wiki_id"),
+        _is_one(F.try_variant_get(v, "$.IsLiving", "variant")).alias("is_living"), parent_id(F.col(json), "$.Father").alias("father_wiki_id"), parent_id(F.col(json), "$.Mother").alias("mother_wiki_id"),
         extract_ids(as_json("Spouses")).alias("spouse_ids"), extract_ids(as_json("Children")).alias("child_ids"),
-    ).where("wiki_id is not null")
+    ).where("wiki_id <> ''")
+
+
+def legacy_persons(imported: DataFrame) -> DataFrame:
+    """Person columns from a progress document's persons (wiki_id, json), with their generation.
+
+    Parents are taken by truth: null, "", 0 and false are none, but the text "0" is kept. Other empty texts stay.
+    """
+    v = F.try_parse_json("json")
+    get = lambda f, kind="string": F.try_variant_get(v, f"$.{f}", kind)
+    parent = lambda f: F.when(~(get(f).isin("", "false") | ((get(f) == "0") & (F.schema_of_variant(get(f, "variant")) != "STRING"))), get(f))
+    same = ("name", *FIELDS.values())
+    return imported.select(
+        "wiki_id", get("id", "int").alias("wiki_numeric_id"), *[get(c).alias(c) for c in same],
+        location_key(get("birth_location")).alias("birth_location_key"), location_key(get("death_location")).alias("death_location_key"),
+        _is_one(get("is_living", "variant")).alias("is_living"), get("generation", "int").alias("generation"), parent("father_id").alias("father_wiki_id"), parent("mother_id").alias("mother_wiki_id"),
+    )
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str = "wiki_id", seq: str = "seq", carried: tuple[str, ...] = CARRIED, merge: str = "overwrite") -> DataFrame:
@@ -78,9 +101,22 @@ def to_geocode(persons: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def geocode(todo: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """The lookup as a join with a table of answers (raw_location, latitude, longitude, context array<struct<id,text>>)."""
+    """The lookup as a join with a table of answers (raw_location, latitude, longitude, place_name, context array<struct<id,text>>)."""
     part = lambda *kinds: F.element_at(F.filter("context", lambda x: F.lit(False) | _starts(x["id"], kinds)), -1)["text"]
-    return todo.join(gazetteer, "raw_location").select("raw_location", "location_key", "latitude", "longitude", part("country").alias("country"), part("region").alias("state"), part("place").alias("city"))
+    return todo.join(gazetteer, "raw_location").select(
+        "raw_location", "location_key", "latitude", "longitude", F.col("place_name").alias("normalized_name"), part("country").alias("country"), part("region").alias("state"), part("place").alias("city")
+    )
+
+
+def geocode_if_needed(locations: DataFrame, raw: DataFrame, gazetteer: DataFrame | None) -> DataFrame:
+    """New rows for locations from raw (raw_location): not blank, its spelling not there yet, and found. Without a gazetteer (unavailable) there are none."""
+    raw = raw.where(F.length(F.regexp_replace("raw_location", SPACE, "")) > 0).select("raw_location").distinct()
+    todo = raw.join(locations.select("raw_location"), "raw_location", "left_anti").withColumn("location_key", location_key(F.col("raw_location")))
+    if gazetteer is None:
+        columns = ["raw_location", "location_key", *[F.lit(None).cast(k).alias(c) for c, k in (("latitude", "float"), ("longitude", "float"), ("normalized_name", "string"), ("country", "string"), ("state", "string"), ("city", "string"))]]
+        return todo.where("false").select(*columns)
+    found = geocode(todo, gazetteer).withColumn("seq", F.col("raw_location"))
+    return insert_ignore_locations(locations, found).drop("seq")
 
 
 def _starts(c: Column, kinds: tuple[str, ...]) -> Column:

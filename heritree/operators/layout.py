@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import edge_key, pair_key
-from ..storage import stored
+from ..functions.text import blank_to_null, display_name, edge_key, pair_key
+from ..storage import stored, stored_rows
 from .graph import child_counts, generations, present_edges, spouses
 
 
@@ -26,51 +27,75 @@ DEFAULT = Config()
 
 
 def ordered_families(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """gen, wiki_id, pos, unit: by number of children (most first), name and id; each is followed by its spouses of the generation not yet placed.
+    """gen, wiki_id, pos (ascending, with gaps), unit (its head): by number of children (most first), name in the language's order and id.
 
-    Only this greedy walk runs in Python, a generation at a time: a layout is drawn as a whole, and one generation of it
-    is what the drawing's width allows. nodes: wiki_id, gen, name, n_children; pairs: a, b.
+    Going down that order, each person not yet placed heads a unit and is followed by its spouses of the generation not yet
+    placed. So a person is a head unless an earlier spouse is one, which rounds of joins settle: most in the first, and a
+    round more for each link of a chain of remarriages. nodes: wiki_id, gen, name, n_children; pairs: a, b.
     """
-    gen = nodes.select("wiki_id", "gen")
-    same = (
-        pairs.join(gen.select(F.col("wiki_id").alias("a"), F.col("gen").alias("ga")), "a").join(gen.select(F.col("wiki_id").alias("b"), F.col("gen").alias("gb")), "b").where("ga = gb")
-        .groupBy(F.col("a").alias("wiki_id")).agg(F.array_sort(F.collect_list("b")).alias("mates"))
-    )
+    key = F.struct((-F.col("n_children")).alias("n"), F.collate(F.coalesce(blank_to_null(F.col("name")), F.col("wiki_id")), "UNICODE").alias("name"), F.col("wiki_id").alias("id"))
+    keyed = stored(nodes.select("wiki_id", "gen", key.alias("key")), "layout-nodes")
+    side = lambda c: keyed.select(F.col("wiki_id").alias(c), F.col("gen").alias(f"{c}_gen"), F.col("key").alias(f"{c}_key"))
+    earlier = stored(pairs.join(side("a"), "a").join(side("b"), "b").where("a_gen = b_gen and b_key < a_key").select("a", "b", "b_key"), "earlier-mates")
+    decided = keyed.join(earlier.select(F.col("a").alias("wiki_id")), "wiki_id", "left_anti").select("wiki_id", F.lit(True).alias("head"))
+    waiting = earlier.select("a", "b")
+    while True:
+        known = waiting.join(decided, F.col("b") == F.col("wiki_id"), "left").groupBy("a").agg(F.coalesce(F.bool_or("head"), F.lit(False)).alias("below"), F.bool_and(F.col("head").isNotNull()).alias("all"))
+        new, n = stored_rows(known.where("below or all").select(F.col("a").alias("wiki_id"), (~F.col("below")).alias("head")), "heads")
+        if not n:
+            break
+        decided = decided.unionByName(new)
+        waiting = stored(waiting.join(new.select(F.col("wiki_id").alias("a")), "a", "left_anti"), "waiting")
+    heads = decided.where("head").select(F.col("wiki_id").alias("b"))
+    members = earlier.join(decided.where("not head").select(F.col("wiki_id").alias("a")), "a", "left_semi").join(heads, "b", "left_semi")
+    units = members.groupBy(F.col("a").alias("wiki_id")).agg(F.min("b_key").alias("head_key"))
+    placed = keyed.join(units, "wiki_id", "left").select("gen", "wiki_id", F.coalesce("head_key", "key").alias("head_key"), F.col("head_key").isNotNull().alias("later"))
+    order = ["gen", "head_key", "later", "wiki_id"]
+    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.select("gen", "wiki_id", F.monotonically_increasing_id().alias("pos"), F.col("head_key.id").alias("unit"))
+
+
+def _gaps(rows: DataFrame, pairs: DataFrame, order: list[str], config: Config) -> DataFrame:
+    """rows with piece and step: width and gap to the next node of the generation, which is small between spouses.
+
+    A generation is cut into pieces by range, as one may hold a good part of all persons; a piece's last node looks at the
+    next piece's first.
+    """
+    cut = rows.repartitionByRange("gen", *order).withColumn("piece", F.spark_partition_id())
+    cut = stored(cut, "pieces")
+    first = cut.groupBy("gen", "piece").agg(F.min_by("wiki_id", F.struct(*order)).alias("first"))
+    ahead = first.select("gen", "piece", F.lead("first").over(Window.partitionBy("gen").orderBy("piece")).alias("ahead"))
+    nexts = cut.withColumn("next", F.lead("wiki_id").over(Window.partitionBy("gen", "piece").orderBy(*order))).join(ahead, ["gen", "piece"]).withColumn("next", F.coalesce("next", "ahead"))
+    mates = pairs.select(F.col("a").alias("wiki_id"), F.col("b").alias("next"), F.lit(True).alias("mate"))
+    return nexts.join(mates, ["wiki_id", "next"], "left").withColumn("step", F.lit(config.node_width) + F.when(F.col("mate"), config.spouse_gap).otherwise(config.gap)).drop("mate", "next", "ahead")
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_children", "name", "wiki_id"], ascending=[False, True, True], na_position="last")
-        mates, placed, out = dict(zip(rows.wiki_id, rows.mates)), set(), []
-        for unit, w in enumerate(rows.wiki_id):
-            family = [] if w in placed else [w, *(m for m in (mates[w] if mates[w] is not None else []) if m not in placed and m in mates)]
-            placed.update(family)
-            out += [(m, unit) for m in family]
-        return pd.DataFrame({"gen": rows.gen.iloc[0], "wiki_id": [m for m, _ in out], "pos": range(len(out)), "unit": [u for _, u in out]})
 
-    return nodes.join(same, "wiki_id", "left").groupBy("gen").applyInPandas(place, "gen int, wiki_id string, pos int, unit int")
+def _running(rows: DataFrame, value: Column, order: list[str], total, with_own: bool, both) -> DataFrame:
+    """rows with `run`: total of value over the rows before (with_own: and the row) of the generation, piece by piece; both joins two totals."""
+    rows = rows.withColumn("value", value)
+    within = Window.partitionBy("gen", "piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if with_own else -1)
+    pieces = rows.groupBy("gen", "piece").agg(total("value").alias("whole"))
+    before = pieces.select("gen", "piece", total("whole").over(Window.partitionBy("gen").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    return rows.withColumn("run", total("value").over(within)).join(before, ["gen", "piece"]).withColumn("run", both("run", "before")).drop("before", "value")
 
 
-def _gaps(rows: DataFrame, pairs: DataFrame, order: list, config: Config) -> DataFrame:
-    """rows with step: width and gap to the next node of the generation, which is small between spouses."""
-    w = Window.partitionBy("gen").orderBy(*order)
-    nexts = rows.withColumn("next", F.lead("wiki_id").over(w))
-    mates = pairs.select(F.col("a").alias("wiki_id"), F.col("b").alias("next"), F.lit(True).alias("mate"))
-    return nexts.join(mates, ["wiki_id", "next"], "left").withColumn("step", F.lit(config.node_width) + F.when(F.col("mate"), config.spouse_gap).otherwise(config.gap)).drop("mate", "next")
+def _sums(rows: DataFrame, order: list[str]) -> DataFrame:
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return _running(rows, F.col("step"), order, F.sum, False, lambda a, b: zero(a) + zero(b))
 
 
 def linear_x(rows: DataFrame, pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """x: running sum of the steps before; y by generation. rows: gen, wiki_id, pos."""
-    w = Window.partitionBy("gen").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    out = _gaps(rows, pairs, ["pos"], config).withColumn("x", F.coalesce(F.sum("step").over(w), F.lit(0.0)))
-    return out.withColumn("y", F.col("gen") * (config.node_height + config.generation_gap)).drop("step")
+    out = _sums(_gaps(rows, pairs, ["pos"], config), ["pos"]).withColumnRenamed("run", "x")
+    return out.withColumn("y", F.col("gen") * (config.node_height + config.generation_gap)).drop("step", "piece")
 
 
 def resolve_overlaps(rows: DataFrame, pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """x_i = max(x_i, x_{i-1} + step), in closed form: with S the sum of the steps before, x_i = S_i + the running maximum of x - S."""
     order = ["x", "pos"]
-    w = Window.partitionBy("gen").orderBy(*order)
-    before = F.coalesce(F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    out = _gaps(rows, pairs, order, config).withColumn("before", before)
-    return out.withColumn("x", F.col("before") + F.max(F.col("x") - F.col("before")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("before", "step")
+    out = _sums(_gaps(rows, pairs, order, config), order).withColumnRenamed("run", "s")
+    out = _running(out, F.col("x") - F.col("s"), order, F.max, True, lambda a, b: F.greatest(a, b))
+    return out.withColumn("x", F.col("s") + F.col("run")).drop("s", "run", "step", "piece")
 
 
 def centre_parents(rows: DataFrame, links: DataFrame, pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -97,13 +122,43 @@ def centre_parents(rows: DataFrame, links: DataFrame, pairs: DataFrame, config:
 
 def layout(persons: DataFrame, seed: str, config: Config = DEFAULT) -> DataFrame:
     """gen, wiki_id, pos, unit, x, y of every person; an empty table gives an empty layout."""
-    persons = stored(persons.select("id", "wiki_id", "name", "generation", "father_wiki_id", "mother_wiki_id"), "layout-persons")
+    shown = display_name(*map(F.col, ("name", "first_name", "middle_name", "last_name_birth", "wiki_id")))
+    persons = stored(persons.select("id", "wiki_id", shown.alias("name"), "generation", "father_wiki_id", "mother_wiki_id"), "layout-persons")
     pairs = stored(spouses(persons), "pairs")
     nodes = generations(persons, seed).join(persons.select("wiki_id", "name"), "wiki_id").join(child_counts(persons), "wiki_id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     placed = stored(linear_x(ordered_families(nodes, pairs), pairs, config), "placed")
     return centre_parents(placed, stored(present_edges(persons).select("child", "parent"), "parent-links"), pairs, config)
 
 
+def timed_layout(persons: DataFrame, seed: str, seconds: float = 30.0, config: Config = DEFAULT) -> DataFrame:
+    """The layout as a stored table, or TimeoutError after `seconds`, with its Spark jobs cancelled; `abort` does so from elsewhere.
+
+    The jobs run under the job group "layout-<seed>" in a thread of their own.
+    """
+    context, group = persons.sparkSession.sparkContext, f"layout-{seed}"
+
+    def run() -> DataFrame:
+        context.setJobGroup(group, f"layout of {seed}", interruptOnCancel=True)
+        return stored(layout(persons, seed, config), "layout-result")
+
+    pool = ThreadPoolExecutor(1)
+    job = pool.submit(inheritable_thread_target(persons.sparkSession)(run))
+    try:
+        return job.result(timeout=seconds)
+    except TimeoutError:
+        while not job.done():  # between two jobs there is nothing to cancel yet
+            abort(persons.sparkSession, seed)
+            wait([job], timeout=0.2)
+        raise
+    finally:
+        pool.shutdown()
+
+
+def abort(spark: SparkSession, seed: str) -> None:
+    """Cancels the running job of a seed's layout, whose call then fails."""
+    spark.sparkContext.cancelJobGroup(f"layout-{seed}")
+
+
 def parent_child_edges(placed: DataFrame, edges: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """id, source, target, points: four of an elbow from the parent's lower edge to the child's upper one."""
     w, h = config.node_width, config.node_height

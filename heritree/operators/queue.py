@@ -27,6 +27,20 @@ def dequeue(queue: DataFrame, n: int = 1) -> DataFrame:
     return queue.where(F.col("status") == "pending").orderBy(F.col("priority").desc_nulls_first(), F.col("created_at").asc_nulls_last(), "id").limit(n)
 
 
+def enqueue_batch(queue: DataFrame, batch: DataFrame, in_flight: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What `enqueue` adds, and one row with `attempted`: all of the batch that isn't in flight, whether it was there or not."""
+    tried = batch if in_flight is None else batch.join(in_flight.select("wiki_id"), "wiki_id", "left_anti")
+    return enqueue(queue, tried), tried.agg(F.count("*").alias("attempted"))
+
+
+def take(queue: DataFrame, n: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The next n rows, and the queue with these marked processing."""
+    taken = dequeue(queue, n)
+    ids = taken.select(F.col("id").alias("__id"))
+    marked = queue.join(F.broadcast(ids), F.col("id") == F.col("__id"), "left")  # n rows
+    return taken, marked.withColumn("status", F.when(F.col("__id").isNotNull(), "processing").otherwise(F.col("status"))).drop("__id")
+
+
 def stats(queue: DataFrame) -> DataFrame:
     """One pass for all counts."""
     return queue.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_pattern, parse_year
+from .graph import BadRequest
 
 NAME_COLUMNS = ["name", "first_name", "middle_name", "last_name_birth", "last_name_current"]
 LOCATION_COLUMNS = ["birth_location", "death_location"]
@@ -34,7 +35,7 @@ def matching(persons: DataFrame, query: str | None = None, location: str | None
 def search_persons(persons: DataFrame, query: str | None = None, location: str | None = None, year_from: int | None = None, year_to: int | None = None, limit: int = 50, offset: int = 0, use_years: bool = False) -> DataFrame:
     """The page by name (nulls last, wiki_id as a tiebreak) with the total on each row."""
     if not 1 <= limit <= MAX_LIMIT or offset < 0:
-        raise ValueError(f"limit must be 1 to {MAX_LIMIT}, offset 0 or more")
+        raise BadRequest(f"limit must be 1 to {MAX_LIMIT}, offset 0 or more")
     found = matching(persons, query, location, year_from, year_to, use_years)
     total = found.agg(F.count("*").alias("total"))
     return found.orderBy(F.col("name").asc_nulls_last(), "wiki_id").offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row

@@ -78,10 +78,23 @@ def fit(bounds: DataFrame, width: float, height: float, pad: float = PAD) -> Dat
     return b.select((middle("min_x", "max_x") - width / F.col("scale") / 2).alias("x"), (middle("min_y", "max_y") - height / F.col("scale") / 2).alias("y"), "scale")
 
 
-def dashes(edges: DataFrame, dash: float = 8.0, gap: float = 4.0) -> DataFrame:
-    """id, nth, x1, y1, x2, y2: the dashes of each edge's straight line from x1, y1 to x2, y2."""
-    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
-    out = edges.withColumn("len", length).where("len > 0").withColumn("nth", F.explode(F.sequence(F.lit(0), F.floor(F.col("len") / (dash + gap)).cast("int"))))
-    a, b = F.col("nth") * (dash + gap) / F.col("len"), F.least(F.col("len"), F.col("nth") * (dash + gap) + dash) / F.col("len")
-    at = lambda t, lo, hi: F.col(lo) + (F.col(hi) - F.col(lo)) * t
-    return out.select("id", "nth", at(a, "x1", "x2").alias("x1"), at(a, "y1", "y2").alias("y1"), at(b, "x1", "x2").alias("x2"), at(b, "y1", "y2").alias("y2"))
+def dashes(edges: DataFrame, dash: float = 6.0, gap: float = 4.0) -> DataFrame:
+    """id, segment, nth, x1, y1, x2, y2: the dashes of each straight piece of the edges' points (array of x, y); pieces without length have none."""
+    ends = F.transform(F.slice("points", 2, F.size("points")), lambda p, k: F.struct(F.get("points", k).alias("a"), p.alias("b")))
+    piece = edges.select("id", F.posexplode(F.when(F.size("points") > 1, ends)).alias("segment", "e")).select("id", "segment", *[F.col(f"e.{end}.{c}").alias(f"{c}{n}") for end, n in (("a", 0), ("b", 9)) for c in "xy"])
+    length = F.sqrt(F.pow(F.col("x9") - F.col("x0"), 2) + F.pow(F.col("y9") - F.col("y0"), 2))
+    # whole periods, and one more where something is left
+    each = piece.withColumn("len", length).where("len > 0").withColumn("nth", F.explode(F.sequence(F.lit(0), F.floor(F.col("len") / (dash + gap)).cast("int")))).withColumn("from", F.col("nth") * (dash + gap)).where("from < len")
+    at = lambda d, c: F.col(f"{c}0") + (F.col(f"{c}9") - F.col(f"{c}0")) * (d / F.col("len"))
+    to = F.least("len", F.col("from") + dash)
+    return each.select("id", "segment", "nth", at(F.col("from"), "x").alias("x1"), at(F.col("from"), "y").alias("y1"), at(to, "x").alias("x2"), at(to, "y").alias("y2"))
+
+
+def curves(edges: DataFrame) -> DataFrame:
+    """id, nth, kind, points: what draws an edge's points: a line through two, a cubic curve through four, else quadratic curves and a line to the last."""
+    n, p = F.size("points"), lambda k: F.get("points", k)
+    step = lambda kind, *points: F.struct(F.lit(kind).alias("kind"), F.array(*points).alias("points"))
+    middle = lambda a, b: F.struct(((a["x"] + b["x"]) / 2).alias("x"), ((a["y"] + b["y"]) / 2).alias("y"))
+    rest = F.transform(F.sequence(F.lit(1), n - 2), lambda k: step("quadratic", p(k), middle(p(k), p(k + 1))))
+    drawn = F.when(n == 2, F.array(step("line", p(F.lit(1))))).when(n == 4, F.array(step("cubic", *[p(F.lit(k)) for k in (1, 2, 3)]))).when(n > 2, F.array_append(rest, step("line", p(n - 1))))
+    return edges.select("id", F.posexplode(drawn).alias("nth", "d")).select("id", "nth", "d.kind", "d.points")

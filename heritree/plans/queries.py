@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 from ..operators import geo, graph, ingest, layout, queue, search, spatial
 from ..sources import fixtures as fx
+from ..sources import profiles
 from ..sources.fixtures import ROOT, key_sql, table, with_fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +98,32 @@ def person_spouses(spark: SparkSession, d: str) -> DataFrame:
     return graph.spouses_of(fx.persons(spark, d), fx.relationships(spark, d), "P-0").select("id", "wiki_id", "name")
 
 
+@published(with_fixtures("persons", "SELECT id, wiki_id, name, CAST(tree_depth AS INTEGER) AS tree_depth, total FROM (" + _PAGE.replace("LIMIT 100", "LIMIT 10 OFFSET 2") + ")", True, _walk_sql(6, up=True)))
+def ancestors_page(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.persons(spark, d)
+    youngest = p.where("id % 2 = 1").agg(F.max("wiki_id")).first()[0]
+    return graph.page(graph.ancestors(p, youngest, 6), 10, 2).select("id", "wiki_id", "name", "tree_depth", "total")
+
+
+@published(with_fixtures("persons", "SELECT count(*) AS total FROM walk", True, _walk_sql(10, up=True)))
+def ancestors_count(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.persons(spark, d)
+    return graph.lineage_count(p, p.where("id % 2 = 1").agg(F.max("wiki_id")).first()[0], 10, up=True)
+
+
+@published(with_fixtures("persons", "SELECT p.* EXCLUDE (birth_location_key, generation), 0 AS tree_depth FROM persons p WHERE wiki_id = 'P-0' UNION ALL SELECT p.* EXCLUDE (birth_location_key, generation), 1 FROM persons p WHERE father_wiki_id = 'P-0' OR mother_wiki_id = 'P-0'"))
+def descendants_columns(spark: SparkSession, d: str) -> DataFrame:
+    return graph.descendants(fx.persons(spark, d), ROOT, 1)
+
+
+@published(with_fixtures("persons relationships", """SELECT p.wiki_id, p.name, f.wiki_id AS father, m.wiki_id AS mother, (SELECT string_agg(c.wiki_id, ',' ORDER BY c.wiki_id) FROM persons c WHERE c.father_wiki_id = 'P-40' OR c.mother_wiki_id = 'P-40') AS children,
+    (SELECT string_agg(s.wiki_id, ',' ORDER BY s.wiki_id) FROM persons s WHERE s.id IN (SELECT related_person_id FROM relationships WHERE relationship_type = 'spouse' AND person_id = 41)) AS spouses
+    FROM persons p LEFT JOIN persons f ON p.father_wiki_id = f.wiki_id LEFT JOIN persons m ON p.mother_wiki_id = m.wiki_id WHERE p.wiki_id = 'P-40'"""))
+def get_person(spark: SparkSession, d: str) -> DataFrame:
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x["wiki_id"]), ",").alias(c)
+    return graph.get_person(fx.persons(spark, d), fx.relationships(spark, d), "P-40").select("person.wiki_id", "person.name", F.col("father.wiki_id").alias("father"), F.col("mother.wiki_id").alias("mother"), listed("children"), listed("spouses"))
+
+
 # --- search, counts --------------------------------------------------------------------------------------------------
 
 _NAMES = " OR ".join(f"{c} ILIKE '%{{0}}%' ESCAPE '\\'" for c in search.NAME_COLUMNS)
@@ -131,6 +158,11 @@ def search_no_filter(spark: SparkSession, d: str) -> DataFrame:
     return _found(search.search_persons(fx.persons(spark, d), year_from=1700, year_to=1701))
 
 
+@published(_search_sql("WHERE " + _NAMES.format("l_ne%1")))
+def search_wildcards(spark: SparkSession, d: str) -> DataFrame:
+    return _found(search.search_persons(fx.persons(spark, d), query="l_ne%1"))
+
+
 @published(with_fixtures("persons relationships", "SELECT (SELECT count(*) FROM persons) AS persons, (SELECT count(*) FROM relationships) AS relationships"))
 def stats(spark: SparkSession, d: str) -> DataFrame:
     return search.stats(fx.persons(spark, d), fx.relationships(spark, d))
@@ -196,6 +228,30 @@ def map_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _points(spark, d)
 
 
+_PERSON_NAME = "coalesce(nullif(name, ''), nullif(trim(coalesce(first_name, '') || ' ' || coalesce(last_name, '')), ''))"
+
+
+@published(with_fixtures("persons locations", f"SELECT {_NUMBER.format('latitude')} || ',' || {_NUMBER.format('longitude')} AS id, person_id, wiki_id, {_PERSON_NAME} AS name, birth_year, gender FROM located", more=_BY_KEY))
+def map_persons(spark: SparkSession, d: str) -> DataFrame:
+    return geo.cluster_persons(geo.located(fx.persons(spark, d), fx.locations(spark, d)))
+
+
+@published(with_fixtures("persons locations", f"SELECT {_NUMBER.format('latitude')} || ',' || {_NUMBER.format('longitude')} AS id, string_agg(person_id || ':' || wiki_id || ':' || {_PERSON_NAME} || ':' || coalesce(CAST(birth_year AS VARCHAR), '') || ':' || CASE gender WHEN 'Male' THEN 'M' WHEN 'Female' THEN 'F' ELSE 'U' END, ',' ORDER BY person_id) AS persons FROM located GROUP BY latitude, longitude", more=_BY_KEY))
+def map_nested_coded(spark: SparkSession, d: str) -> DataFrame:
+    c = geo.clusters(geo.located(fx.persons(spark, d), fx.locations(spark, d)), coded=True)
+    line = lambda p: F.concat(p["person_id"], F.lit(":"), p["wiki_id"], F.lit(":"), p["name"], F.lit(":"), F.coalesce(p["birth_year"].cast("string"), F.lit("")), F.lit(":"), p["gender"])
+    return c.select("id", F.array_join(F.transform("persons", line), ",").alias("persons"))
+
+
+@published(with_fixtures("persons locations", f"""SELECT latitude, label || chr(10) || n || CASE n WHEN 1 THEN ' person' ELSE ' people' END || CASE WHEN low IS NULL THEN '' WHEN low = high THEN chr(10) || 'Born ' || low ELSE chr(10) || 'Born ' || low || ' - ' || high END || CASE WHEN n <= 5 THEN chr(10) || people ELSE '' END AS tooltip FROM (
+    SELECT CAST(person_id // 3 % 997 AS FLOAT) AS latitude, arg_min(coalesce(nullif(location_name, ''), nullif(city, ''), nullif(state, ''), 'Unknown'), person_id) AS label, count(*) AS n, min(birth_year) AS low, max(birth_year) AS high,
+    string_agg(coalesce({_PERSON_NAME}, 'Unknown') || CASE WHEN birth_year IS NULL THEN '' ELSE ' (' || birth_year || ')' END, chr(10) ORDER BY person_id) AS people FROM located GROUP BY 1)""", more=_BY_KEY))
+def map_tooltips(spark: SparkSession, d: str) -> DataFrame:
+    rows = geo.located(fx.persons(spark, d), fx.locations(spark, d)).withColumns({"latitude": F.floor(F.col("person_id") / 3 % 997).cast("float"), "longitude": F.lit(0.0)})
+    c = geo.clusters(rows)
+    return c.select("latitude", text.tooltip(*map(F.col, ("location_name", "person_count", "min_year", "max_year", "persons"))).alias("tooltip"))
+
+
 @published(_points_sql("WHERE birth_year IS NULL OR birth_year >= 1996"))
 def map_clusters_min_year(spark: SparkSession, d: str) -> DataFrame:
     return _points(spark, d, 1996)
@@ -254,9 +310,11 @@ def full_name(spark: SparkSession, d: str) -> DataFrame:
     return fx.persons(spark, d).select("id", text.full_name(*map(F.col, ("first_name", "middle_name", "last_name_birth", "last_name_current", "suffix", "wiki_id"))).alias("full_name"))
 
 
-@published(with_fixtures("persons", "SELECT id, coalesce(nullif(trim(concat_ws(' ', nullif(middle_name, ''), nullif(last_name_birth, ''))), ''), wiki_id) AS display_name FROM persons"))
+@published(with_fixtures("persons", "SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN name WHEN id % 3 = 1 THEN NULL ELSE NULL END, nullif(concat_ws(' ', nullif(CASE WHEN id % 4 > 0 THEN first_name END, ''), nullif(middle_name, ''), nullif(last_name_birth, '')), ''), wiki_id) AS display_name FROM persons"))
 def display_name(spark: SparkSession, d: str) -> DataFrame:
-    return fx.persons(spark, d).select("id", text.display_name(F.lit(None).cast("string"), F.col("middle_name"), F.col("last_name_birth"), F.col("wiki_id")).alias("display_name"))
+    name = F.when(F.col("id") % 3 == 0, F.col("name")).when(F.col("id") % 3 == 1, "")
+    first = F.when(F.col("id") % 4 > 0, F.col("first_name"))
+    return fx.persons(spark, d).select("id", text.display_name(name, first, F.col("middle_name"), F.col("last_name_birth"), F.col("wiki_id")).alias("display_name"))
 
 
 @published(with_fixtures("persons", "SELECT id, concat_ws(' - ', nullif(birth_date, ''), nullif(death_date, '')) AS lifespan FROM persons"))
@@ -296,12 +354,12 @@ def start_id_format(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").where(text.start_id_format(F.replace(F.col("c_name"), F.lit("#"), F.lit("-")))).agg(F.count("*").alias("n"))
 
 
-@published("SELECT c_custkey, 'a,' || CAST(c_custkey AS VARCHAR) || ',b' AS ids FROM customer WHERE c_custkey < 100")
+@published("SELECT c_custkey, concat_ws(',', '0', CASE WHEN c_custkey > 0 THEN CAST(c_custkey AS VARCHAR) END, CAST(c_custkey + 10000 AS VARCHAR), '4294967294', 'b', '4294967295', '007', 'a') AS ids FROM customer")
 def extract_ids_object(spark: SparkSession, d: str) -> DataFrame:
-    doc = F.concat(F.lit('{"a":{"Name":"x"},"'), F.col("c_custkey").cast("string"), F.lit('":{},"b":null}'))
-    listed = F.array_join(F.array_sort(ids.extract_ids(doc)), ",")
-    # sorted as text in both: numbers come before letters
-    return table(spark, d, "customer").where("c_custkey < 100").select("c_custkey", F.concat_ws(",", F.lit("a"), F.element_at(F.split(listed, ","), 1), F.lit("b")).alias("ids"))
+    k = F.col("c_custkey")
+    key = lambda x: F.concat(F.lit('"'), x.cast("string"), F.lit('":{"Id":1},'))
+    doc = F.concat(F.lit('{"b":null,'), key(k + 10000), F.lit('"4294967295":1,"4294967294":{},'), F.when(k > 0, key(k)).otherwise(""), F.lit('"007":[],"a":{"Name":"x"},"0":0}'))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(ids.extract_ids(doc), ",").alias("ids"))
 
 
 @published("SELECT c_custkey, c_name || ',tail' AS ids FROM customer")
@@ -353,10 +411,9 @@ def bfs_generation(spark: SparkSession, d: str) -> DataFrame:
     return graph.generations(fx.persons(spark, d), ROOT)
 
 
-@published(with_fixtures("persons", "SELECT generation AS gen, count(*) AS n, string_agg(wiki_id, ',' ORDER BY wiki_id) AS members FROM persons WHERE id <= 200 GROUP BY 1"))
+@published(with_fixtures("persons", "SELECT generation AS gen, count(*) AS n, min(wiki_id) AS first, max(wiki_id) AS last FROM persons GROUP BY 1"))
 def generation_sizes(spark: SparkSession, d: str) -> DataFrame:
-    g = fx.persons(spark, d).where("id <= 200").groupBy(F.col("generation").alias("gen"))
-    return g.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("wiki_id")), ",").alias("members"))
+    return fx.persons(spark, d).groupBy(F.col("generation").alias("gen")).agg(F.count("*").alias("n"), F.min("wiki_id").alias("first"), F.max("wiki_id").alias("last"))
 
 
 @published(with_fixtures("persons", "SELECT gen, wiki_id, pos, x, y FROM placed", more=f"{_SPOUSES}, {_PLACED}"))
@@ -434,8 +491,15 @@ def viewport_math(spark: SparkSession, d: str) -> DataFrame:
 
 @published()
 def tree_layout(spark: SparkSession, d: str) -> DataFrame:
-    near = graph.descendants(fx.persons(spark, d), ROOT, 4, distinct=True).drop("tree_depth")
-    return layout.layout(fx.persons(spark, d).join(near.select("wiki_id"), "wiki_id", "left_semi"), ROOT)
+    return layout.layout(fx.persons(spark, d), ROOT).select("gen", "wiki_id", "unit", "x", "y")
+
+
+@published("SELECT c_custkey AS id, CAST(0 AS INTEGER) AS segment, CAST(n AS INTEGER) AS nth, n * 10.0::DOUBLE AS x1, least(w, n * 10 + 6)::DOUBLE AS x2, 0.0::DOUBLE AS y1, 0.0::DOUBLE AS y2 FROM (SELECT c_custkey, c_custkey % 40 AS w, unnest(range(5)) AS n FROM customer) WHERE n * 10 < w UNION ALL SELECT c_custkey, 1, CAST(n AS INTEGER), w, w, n * 10.0::DOUBLE, least(20, n * 10 + 6)::DOUBLE FROM (SELECT c_custkey, c_custkey % 40 AS w, unnest(range(2)) AS n FROM customer)")
+def edge_dashes(spark: SparkSession, d: str) -> DataFrame:
+    w = (F.col("c_custkey") % 40).cast("double")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    edges = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array(point(F.lit(0.0), F.lit(0.0)), point(w, F.lit(0.0)), point(w, F.lit(20.0))).alias("points"))
+    return spatial.dashes(edges)
 
 
 # --- queue and ingest ------------------------------------------------------------------------------------------------
@@ -457,6 +521,41 @@ def queue_enqueue_ignore(spark: SparkSession, d: str) -> DataFrame:
     return queue.enqueue(fx.crawl_queue(spark, d), batch).select("wiki_id", "priority", "status")
 
 
+_BATCH = "SELECT 'P-' || o_custkey AS wiki_id, CAST(o_orderkey % 7 AS INTEGER) AS priority, o_orderkey AS seq FROM orders"
+
+
+def _batch(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.concat(F.lit("P-"), F.col("o_custkey").cast("string")).alias("wiki_id"), (F.col("o_orderkey") % 7).cast("int").alias("priority"), F.col("o_orderkey").alias("seq"))
+
+
+@published(with_fixtures("crawl_queue", f"SELECT wiki_id, arg_min(priority, seq) AS priority FROM ({_BATCH}) WHERE wiki_id NOT IN (SELECT wiki_id FROM crawl_queue WHERE status <> 'processing') AND wiki_id NOT IN (SELECT wiki_id FROM crawl_queue WHERE status = 'processing') GROUP BY wiki_id"))
+def queue_enqueue_in_flight(spark: SparkSession, d: str) -> DataFrame:
+    q = fx.crawl_queue(spark, d)
+    return queue.enqueue(q.where("status <> 'processing'"), _batch(spark, d), q.where("status = 'processing'")).select("wiki_id", "priority")
+
+
+@published(with_fixtures("crawl_queue", f"SELECT count(*) AS attempted FROM ({_BATCH}) WHERE wiki_id NOT IN (SELECT wiki_id FROM crawl_queue WHERE status = 'processing')"))
+def queue_enqueue_attempted(spark: SparkSession, d: str) -> DataFrame:
+    q = fx.crawl_queue(spark, d)
+    return queue.enqueue_batch(q, _batch(spark, d), q.where("status = 'processing'"))[1]
+
+
+@published(with_fixtures("crawl_queue", "SELECT id, CASE WHEN id IN (SELECT id FROM crawl_queue WHERE status = 'pending' ORDER BY priority DESC NULLS FIRST, created_at NULLS LAST, id LIMIT 5) THEN 'processing' ELSE status END AS status FROM crawl_queue"))
+def queue_take(spark: SparkSession, d: str) -> DataFrame:
+    return queue.take(fx.crawl_queue(spark, d), 5)[1].select("id", "status")
+
+
+@published(with_fixtures("crawl_queue", "SELECT count(*) AS reset FROM crawl_queue WHERE status = 'processing'"))
+def reset_count(spark: SparkSession, d: str) -> DataFrame:
+    return queue.reset_processing(fx.crawl_queue(spark, d))[1]
+
+
+@published("""SELECT 'P-' || user_id AS wiki_id, max(ts) FILTER (event_type IN ('error', 'completed')) AS processed_at FROM events GROUP BY user_id""")
+def queue_processed_at(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.concat(F.lit("P-"), F.col("user_id").cast("string")).alias("wiki_id"), F.struct("ts", "event_id").alias("seq"), F.col("event_type").alias("event"), F.col("props").alias("message"), F.col("ts").alias("at"))
+    return queue.fold_events(e).select("wiki_id", "processed_at")
+
+
 @published("""SELECT 'P-' || user_id AS wiki_id, arg_max(event_type, event_id) AS status, CAST(count(*) FILTER (event_type = 'error') AS INTEGER) AS retry_count, arg_max(props, event_id) FILTER (event_type = 'error') AS error_message FROM events GROUP BY user_id""")
 def queue_event_fold(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.concat(F.lit("P-"), F.col("user_id").cast("string")).alias("wiki_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("event"), F.col("props").alias("message"), F.col("ts").alias("at"))
@@ -474,21 +573,21 @@ def import_queue_unvisited(spark: SparkSession, d: str) -> DataFrame:
     return queue.import_queue(q.select("wiki_id", F.col("id").alias("seq")), q.where("status = 'completed'"))
 
 
-_SOURCE_SQL = "source AS (SELECT 'P-' || o_custkey AS wiki_id, o_orderkey AS seq, o_orderpriority AS name, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS suffix FROM orders WHERE o_custkey % 2 = 0)"
+_SOURCE_SQL = "source AS (SELECT 'P-' || o_custkey AS wiki_id, o_orderkey AS seq, o_orderpriority AS name, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS suffix FROM orders)"
 
 
 def _source(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where("o_custkey % 2 = 0").select(
+    return table(spark, d, "orders").select(
         F.concat(F.lit("P-"), F.col("o_custkey").cast("string")).alias("wiki_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("suffix")
     )
 
 
-@published(with_fixtures("persons", "SELECT p.id, p.wiki_id, CASE WHEN n.wiki_id IS NULL THEN p.name ELSE n.name END AS name, CASE WHEN n.wiki_id IS NULL THEN p.suffix ELSE n.suffix END AS suffix, p.generation FROM persons p LEFT JOIN (SELECT * FROM source QUALIFY row_number() OVER (PARTITION BY wiki_id ORDER BY seq DESC) = 1) n USING (wiki_id)", more=_SOURCE_SQL))
+@published(with_fixtures("persons", "SELECT p.id, wiki_id, CASE WHEN n.wiki_id IS NULL THEN p.name ELSE n.name END AS name, CASE WHEN n.wiki_id IS NULL THEN p.suffix ELSE n.suffix END AS suffix, p.generation FROM persons p FULL JOIN (SELECT * FROM source QUALIFY row_number() OVER (PARTITION BY wiki_id ORDER BY seq DESC) = 1) n USING (wiki_id)", more=_SOURCE_SQL))
 def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return ingest.upsert(fx.persons(spark, d), _source(spark, d)).select("id", "wiki_id", "name", "suffix", "generation")
 
 
-@published(with_fixtures("persons", "SELECT p.id, p.wiki_id, coalesce(n.name, p.name) AS name, coalesce(n.suffix, p.suffix) AS suffix FROM persons p LEFT JOIN (SELECT wiki_id, arg_max(name, seq) AS name, arg_max(suffix, seq) FILTER (suffix IS NOT NULL) AS suffix FROM source GROUP BY wiki_id) n USING (wiki_id)", more=_SOURCE_SQL))
+@published(with_fixtures("persons", "SELECT p.id, wiki_id, coalesce(n.name, p.name) AS name, coalesce(n.suffix, p.suffix) AS suffix FROM persons p FULL JOIN (SELECT wiki_id, arg_max(name, seq) AS name, arg_max(suffix, seq) FILTER (suffix IS NOT NULL) AS suffix FROM source GROUP BY wiki_id) n USING (wiki_id)", more=_SOURCE_SQL))
 def upsert_sparse(spark: SparkSession, d: str) -> DataFrame:
     return ingest.upsert(fx.persons(spark, d), _source(spark, d), merge="coalesce").select("id", "wiki_id", "name", "suffix")
 
@@ -545,3 +644,55 @@ def crawl_closure(spark: SparkSession, d: str) -> DataFrame:
     p = fx.persons(spark, d)
     links = graph.edges(p).select(F.col("parent").alias("source"), F.col("child").alias("target"))
     return queue.closure(links, spark.range(1).select(F.lit(ROOT).alias("wiki_id")))
+
+
+# profile documents: fields missing, null, empty and of several types
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    k, q = F.col("c_custkey"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    living = F.element_at(F.array(*[F.lit(x) for x in ("1", '"1"', "true", "0", "null", "1.0")]), (k % 6 + 1).cast("int"))
+    father = F.when(k % 5 == 0, k.cast("string")).when(k % 5 == 1, q(k.cast("string"))).when(k % 5 == 2, '"0"').when(k % 5 == 3, "null").otherwise('""')
+    doc = F.concat(
+        F.lit('[{"profile":{"Id":'), k.cast("string"), F.when(k % 11 == 0, "").otherwise(F.concat(F.lit(',"Name":'), F.when(k % 11 == 1, '""').otherwise(q(F.concat(F.lit("Name-"), k.cast("string")))))),
+        F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(',"FirstName":'), F.when(k % 3 == 1, '""').otherwise(q(F.col("c_mktsegment"))))),
+        F.lit(',"LastNameCurrent":'), q(F.col("c_mktsegment")), F.lit(',"BirthLocation":"Berks ,PA.","IsLiving":'), living, F.lit(',"Father":'), father, F.lit(',"Spouses":'), F.when(k % 2 == 0, F.concat(F.lit('{"9":{},"'), k.cast("string"), F.lit('":{}}'))).otherwise("[]"), F.lit("}}]"),
+    )
+    return profiles.unpack(table(spark, d, "customer").select(k.alias("k"), doc.alias("json")), "profile").drop("nth")
+
+
+@published("""SELECT c_custkey AS k, 'Name-' || c_custkey AS wiki_id, CAST(c_custkey AS INTEGER) AS wiki_numeric_id, CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment || ' ' ELSE '' END || c_mktsegment AS name, CASE c_custkey % 3 WHEN 1 THEN '' WHEN 2 THEN c_mktsegment END AS first_name,
+    'berks, pa' AS birth_location_key, c_custkey % 6 IN (0, 5) AS is_living, CASE WHEN c_custkey % 5 < 2 AND c_custkey > 0 THEN CAST(c_custkey AS VARCHAR) END AS father_wiki_id,
+    CASE WHEN c_custkey % 2 = 1 THEN '' WHEN c_custkey = 0 THEN '0,9' WHEN c_custkey < 9 THEN c_custkey || ',9' ELSE '9,' || c_custkey END AS spouses FROM customer WHERE c_custkey % 11 > 1""")
+def ingest_profiles(spark: SparkSession, d: str) -> DataFrame:
+    p = ingest.profiles(_documents(spark, d))
+    return p.select("k", "wiki_id", "wiki_numeric_id", "name", "first_name", "birth_location_key", "is_living", "father_wiki_id", F.array_join("spouse_ids", ",").alias("spouses"))
+
+
+@published("""SELECT 'P-' || c_custkey AS wiki_id, CAST(c_custkey % 9 AS INTEGER) AS generation, CASE c_custkey % 4 WHEN 0 THEN '0' WHEN 1 THEN CAST(c_custkey AS VARCHAR) END AS father_wiki_id, CASE WHEN c_custkey % 3 = 0 THEN '' END AS suffix FROM customer""")
+def import_legacy_persons(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    father = F.when(k % 4 == 0, '"0"').when(k % 4 == 1, k.cast("string")).when(k % 4 == 2, '""').otherwise("0")
+    doc = F.concat(F.lit('{"generation":'), (k % 9).cast("string"), F.lit(',"father_id":'), father, F.when(k % 3 == 0, ',"suffix":""').otherwise(""), F.lit("}"))
+    imported = table(spark, d, "customer").select(F.concat(F.lit("P-"), k.cast("string")).alias("wiki_id"), doc.alias("json"))
+    return ingest.legacy_persons(imported).select("wiki_id", "generation", "father_wiki_id", "suffix")
+
+
+def _gazetteer(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    part = lambda i, t: F.struct(F.lit(i).alias("id"), t.alias("text"))
+    context = F.array(part("country.1", F.lit("X")), part("region.1", F.lit("first")), part("region.2", F.col("n_name")), part("place.3", F.lower("n_name")))
+    return table(spark, d, "nation").select(F.concat(F.lit("Place "), n.cast("string")).alias("raw_location"), (n * 2.5).alias("latitude"), (n * -1.0).alias("longitude"), F.concat(F.col("n_name"), F.lit(", X")).alias("place_name"), F.when(n % 5 > 0, context).alias("context"))
+
+
+@published("SELECT 'Place ' || n_nationkey AS raw_location, 'place ' || n_nationkey AS location_key, n_name || ', X' AS normalized_name, CASE WHEN n_nationkey % 5 > 0 THEN 'X' END AS country, CASE WHEN n_nationkey % 5 > 0 THEN n_name END AS state, CASE WHEN n_nationkey % 5 > 0 THEN lower(n_name) END AS city FROM nation WHERE n_nationkey NOT IN (3, 4)")
+def geocode_lookup(spark: SparkSession, d: str) -> DataFrame:
+    there = spark.createDataFrame([("Place 3", None), ("other", "place 4")], "raw_location string, location_key string")
+    raw = table(spark, d, "customer").select(F.concat(F.lit("Place "), (F.col("c_custkey") % 30).cast("string")).alias("raw_location")).unionByName(table(spark, d, "nation").select(F.lit("  ").alias("raw_location")))
+    return ingest.geocode_if_needed(there, raw, _gazetteer(spark, d)).select("raw_location", "location_key", "normalized_name", "country", "state", "city")
+
+
+@published("SELECT c_custkey, c_acctbal - 600 / s AS x, CAST(floor((c_custkey + c_custkey // 2) / 2.0 + 0.5) AS BIGINT) AS slider FROM (SELECT c_custkey, c_acctbal, (c_custkey % 40 + 1) / 20.0::DOUBLE AS s FROM customer)")
+def centre_and_slider(spark: SparkSession, d: str) -> DataFrame:
+    k, scale = F.col("c_custkey"), (F.col("c_custkey") % 40 + 1) / F.lit(20.0)
+    return table(spark, d, "customer").select("c_custkey", spatial.centre_on(F.col("c_acctbal"), F.lit(0.0), scale, 1200, 800)["x"].alias("x"), text.half_up((k + F.floor(k / 2)) / 2).alias("slider"))

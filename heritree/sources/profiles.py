@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 KINDS = ("profile", "ancestors", "descendants")
 #: The fields that each kind of request asks for.
 PROJECTIONS = {
-    "profile": ["Id", "Name", "FirstName", "MiddleName", "LastNameAtBirth", "LastNameCurrent", "Suffix", "Gender", "BirthDate", "DeathDate", "BirthLocation", "DeathLocation", "BirthDateDecade", "DeathDateDecade", "IsLiving", "Father", "Mother", "Spouses", "Children", "Parents"],
-    "ancestors": ["Id", "Name", "FirstName", "LastNameAtBirth", "LastNameCurrent", "Gender", "BirthDate", "DeathDate", "Father", "Mother"],
-    "descendants": ["Id", "Name", "FirstName", "LastNameAtBirth", "LastNameCurrent", "Gender", "BirthDate", "DeathDate", "BirthLocation", "Father", "Mother"],
+    "profile": ["Id", "Name", "FirstName", "MiddleName", "LastNameAtBirth", "LastNameCurrent", "Suffix", "BirthDate", "DeathDate", "BirthLocation", "DeathLocation", "Gender", "Father", "Mother", "Spouses", "Children", "Parents", "BirthDateDecade", "DeathDateDecade", "IsLiving"],
+    "ancestors": ["Id", "Name", "FirstName", "LastNameAtBirth", "BirthDate", "DeathDate", "BirthLocation", "Gender", "Father", "Mother"],
+    "descendants": ["Id", "Name", "FirstName", "LastNameAtBirth", "BirthDate", "DeathDate", "BirthLocation", "Gender", "Father", "Mother", "Children"],
 }
 
 

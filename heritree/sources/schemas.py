@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,27 @@ CONSTRAINTS = {
 }
 
 
+def jdbc_tables(spark: SparkSession, url: str, properties: dict[str, str] | None = None, partitions: int = 1) -> dict[str, DataFrame]:
+    """The tables of a database by JDBC, with the columns of their schemas; more than one partition: read in ranges of id."""
+    out = {}
+    for name, schema in TABLES.items():
+        df = spark.read.jdbc(url, name, properties=properties or {})
+        if partitions > 1 and "id" in schema.names:
+            low, high = df.selectExpr("min(id)", "max(id)").first()
+            if low is not None:
+                df = spark.read.jdbc(url, name, column="id", lowerBound=low, upperBound=high + 1, numPartitions=partitions, properties=properties or {})
+        out[name] = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema])
+    return out
+
+
+def register(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
+    """Temporary views of all tables, with their columns in order and cast; those that aren't given are empty."""
+    for name, schema in TABLES.items():
+        df = tables.get(name)
+        df = spark.createDataFrame([], schema) if df is None else df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+        df.createOrReplaceTempView(name)
+
+
 def violations(df: DataFrame, table: str) -> DataFrame:
     """constraint, rows: how many rows break each NOT NULL, UNIQUE (nulls are no duplicates) or value rule; none: no row."""
     schema, rules = TABLES[table], CONSTRAINTS[table]

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_rows(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """df stored, and its number of rows, counted as they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a stored table that nothing will read again."""
     spark, path = df.sparkSession, getattr(df, "stored_at", None)

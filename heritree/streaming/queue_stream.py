@@ -13,12 +13,12 @@ OUTPUT = f"wiki_id string, {STATE}"
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Events in order of seq: enqueue is ignored for a known id; others set the status; errors count and leave a message."""
+    """Events in order of seq: enqueue is ignored for a known id (no priority: 0); others set the status; errors count and leave a message."""
     now = list(state.get) if state.exists else None
     events = pd.concat(list(batches)).sort_values("seq")
     for e in events.itertuples():
         if e.event == "enqueue":
-            now = now or ["pending", int(e.priority), 0, None]
+            now = now or ["pending", 0 if pd.isna(e.priority) else int(e.priority), 0, None]
             continue
         now = now or ["pending", 0, 0, None]
         now[0] = e.event

@@ -65,7 +65,7 @@ def test_graph(spark, family):
     assert a["F"] == ([], ["C1", "C2"], ["M"]) and a["C1"] == (["F", "M"], ["G"], []) and a["G"] == (["C1"], [], []) and a["Z"] == ([], [], [])
     assert {r.wiki_id: r.gen for r in graph.generations(family, "F").collect()} == {"F": 0, "M": 0, "C1": 1, "C2": 1, "G": 2, "Z": 7}
     assert {r.wiki_id: r.gen for r in graph.generations(family, "G").collect()} == {"F": 0, "M": 0, "C1": 1, "C2": 1, "G": 2, "Z": 9}
-    for how in ({}, {"by_paths": True}):
+    for how in ({}, {"recursive": True}):
         assert sorted((r.wiki_id, r.tree_depth) for r in graph.descendants(family, "F", 3, **how).collect()) == [("C1", 1), ("C2", 1), ("F", 0), ("G", 2)]
         assert sorted((r.wiki_id, r.tree_depth) for r in graph.ancestors(family, "G", 3, **how).collect()) == [("C1", 1), ("F", 2), ("G", 0), ("M", 2)]
     relationships = spark.createDataFrame([(1, 2, "spouse"), (2, 1, "spouse"), (1, 3, "child")], "person_id int, related_person_id int, relationship_type string")
@@ -79,7 +79,7 @@ def test_graph(spark, family):
 
 def test_a_bag_counts_paths(spark, family):
     both = family.unionByName(family.where("wiki_id = 'G'").withColumns({"wiki_id": F.lit("H"), "father_wiki_id": F.lit("C1"), "mother_wiki_id": F.lit("C2")}))
-    for how in ({}, {"by_paths": True}):
+    for how in ({}, {"recursive": True}):
         assert sorted(r.wiki_id for r in graph.descendants(both, "F", 3, **how).where("tree_depth = 2").collect()) == ["G", "H", "H"]
     assert graph.lineage_count(both, "F", 3).first().total == 6
     loop = spark.createDataFrame([("A", "B", None), ("B", "A", None)], "wiki_id string, father_wiki_id string, mother_wiki_id string")
@@ -94,6 +94,95 @@ def test_bounds_of_arguments(family, bad):
         search.search_persons(family, limit=101)
 
 
+def test_empty_ids_are_rejected(family):
+    for f in (graph.walk, graph.recursive_walk):
+        with pytest.raises(graph.BadRequest):
+            f(family, "", 3)
+    assert graph.NotFound("X-1").args == ("Person 'X-1' not found",) and graph.DatabaseError("getStats").code == "INTERNAL_SERVER_ERROR"
+
+
+def test_views_of_all_tables(spark):
+    schemas.register(spark, {"persons": spark.createDataFrame([(1, "A")], "id int, wiki_id string")})
+    assert spark.sql("select wiki_id, name from persons").first() == ("A", None) and spark.sql("select * from crawl_queue").count() == 0
+    for name in schemas.TABLES:
+        spark.catalog.dropTempView(name)
+
+
+def test_a_layout_that_takes_too_long_is_cancelled(spark, family):
+    assert layout.timed_layout(family, "F", 120).count() == 6
+    with pytest.raises(TimeoutError):
+        layout.timed_layout(family.repartition(3), "G", 0.01)
+
+
+def brute_generations(people, seed):
+    """people: (id, wiki_id, generation, father, mother) in order. Breadth first, first in, first out."""
+    ids = {p[1]: p for p in people}
+    parents = {w: [x for x in dict.fromkeys(p[3:5]) if x in ids] for w, p in ids.items()}
+    children, mates = {w: [] for w in ids}, {w: set() for w in ids}
+    for p in people:
+        for x in parents[p[1]]:
+            children[x].append(p[1])
+        if len(parents[p[1]]) == 2:
+            a, b = parents[p[1]]
+            mates[a].add(b), mates[b].add(a)
+    gen, line = {seed: 0}, [seed]
+    for w in line:
+        for other, step in [*((x, 0) for x in sorted(mates[w], key=lambda x: ids[x][0])), *((x, 1) for x in children[w]), *((x, -1) for x in parents[w])]:
+            if other not in gen:
+                gen[other] = gen[w] + step
+                line.append(other)
+    for p in people:
+        gen.setdefault(p[1], p[2] or 0)
+    least = min(gen.values())
+    return {w: g - least for w, g in gen.items()}, parents, children, mates
+
+
+def brute_layout(people, seed):
+    """people with a name as the last. The recurrences, one node after another."""
+    gen, parents, children, mates = brute_generations(people, seed)
+    names = {p[1]: p[5] for p in people}
+    rows, unit = {}, {}
+    for g in sorted(set(gen.values())):
+        line, done = [], set()
+        for w in sorted((w for w in gen if gen[w] == g), key=lambda w: (-len(children[w]), names[w].lower(), w)):
+            if w not in done:
+                for m in [w, *sorted(x for x in mates[w] if gen[x] == g and x not in done)]:
+                    line.append(m), done.add(m)
+                    unit[m] = w
+        rows[g] = line
+    step = lambda a, b: 180.0 + (20 if b in mates[a] else 40)
+    x = {}
+    for line in rows.values():
+        at = 0.0
+        for w, after in zip(line, [*line[1:], None]):
+            x[w] = at
+            at += step(w, after) if after else 0
+    for g in sorted(rows, reverse=True)[1:]:
+        for head in dict.fromkeys(unit[w] for w in rows[g]):
+            members = [w for w in rows[g] if unit[w] == head]
+            centres = [x[c] + 90 for w in members for c in children[w]]
+            if centres:
+                shift = sum(centres) / len(centres) - (min(x[w] for w in members) + max(x[w] for w in members) + 180) / 2
+                for w in members:
+                    x[w] += shift
+        line = sorted(rows[g], key=lambda w: (x[w], rows[g].index(w)))
+        for a, b in zip(line, line[1:]):
+            x[b] = max(x[b], x[a] + step(a, b))
+    return gen, x, unit
+
+
+def test_generations_and_layout_are_brute_force(spark, sf_dir):
+    from heritree.sources import fixtures as fx
+
+    persons = fx.persons(spark, sf_dir)
+    people = [tuple(r) for r in persons.orderBy("id").select("id", "wiki_id", "generation", "father_wiki_id", "mother_wiki_id", "name").collect()]
+    assert {r.wiki_id: r.gen for r in graph.generations(persons, fx.ROOT).collect()} == brute_generations(people, fx.ROOT)[0]
+    gen, x, unit = brute_layout(people, fx.ROOT)
+    placed = {r.wiki_id: r for r in layout.layout(persons, fx.ROOT).collect()}
+    assert {w: (r.gen, r.unit) for w, r in placed.items()} == {w: (gen[w], unit[w]) for w in gen}
+    assert {w: round(r.x, 6) for w, r in placed.items()} == {w: round(v, 6) for w, v in x.items()}
+
+
 def test_last_row_of_a_node_counts(spark):
     rows = spark.createDataFrame([("A", "old", 1), ("B", "b", 2), ("A", "new", 3)], "wiki_id string, name string, pos int")
     assert sorted(tuple(r) for r in graph.nodes(rows).collect()) == [("A", "new", 1), ("B", "b", 2)]
@@ -132,8 +221,12 @@ def test_boxes(spark):
         assert hits == {f"n{i:04}" for i in range(1000) if i % 50 * 120 <= 700 and i % 50 * 120 + 100 >= 100 and i // 50 * 80 <= 220 and i // 50 * 80 + 60 >= 60}
     assert spatial.point_query(spatial.boxes(nodes, 100, 60), 125, 5).first().wiki_id == "n0001"
     assert spatial.point_query(spatial.boxes(nodes, 100, 60), -5, -5).count() == 0
-    lines = spark.createDataFrame([("e", 0.0, 0.0, 30.0, 0.0)], "id string, x1 double, y1 double, x2 double, y2 double")
-    assert [(r.x1, r.x2) for r in spatial.dashes(lines).orderBy("nth").collect()] == [(0.0, 8.0), (12.0, 20.0), (24.0, 30.0)]
+    lines = spark.createDataFrame([("e", [(0.0, 0.0), (23.0, 0.0), (23.0, 10.0), (23.0, 10.0)]), ("one", [(1.0, 1.0)])], "id string, points array<struct<x:double,y:double>>")
+    dashes = [(r.segment, r.x1, r.x2, r.y1, r.y2) for r in spatial.dashes(lines).orderBy("segment", "nth").collect()]
+    assert dashes == [(0, 0.0, 6.0, 0.0, 0.0), (0, 10.0, 16.0, 0.0, 0.0), (0, 20.0, 23.0, 0.0, 0.0), (1, 23.0, 23.0, 0.0, 6.0)]
+    more = spark.createDataFrame([("2", [(0.0, 0.0), (2.0, 0.0)]), ("4", [(0.0, 0.0)] * 4), ("5", [(float(k), 0.0) for k in range(5)]), ("1", [(0.0, 0.0)])], "id string, points array<struct<x:double,y:double>>")
+    drawn = [(r.id, r.kind, [p.x for p in r.points]) for r in spatial.curves(more).orderBy("id", "nth").collect()]
+    assert drawn == [("2", "line", [2.0]), ("4", "cubic", [0.0, 0.0, 0.0]), ("5", "quadratic", [1.0, 1.5]), ("5", "quadratic", [2.0, 2.5]), ("5", "quadratic", [3.0, 3.5]), ("5", "line", [4.0])]
 
 
 def test_clusters(spark):
@@ -171,9 +264,17 @@ def test_ingest(spark):
     there = spark.createDataFrame([("Raw A", "a")], "raw_location string, location_key string")
     batch = spark.createDataFrame([("Raw A", "a", 1), ("RAW a", "a", 2), ("B", "b", 3), ("b ", "b", 4), (".", None, 5), (",", None, 6)], "raw_location string, location_key string, seq long")
     assert sorted(r.raw_location for r in ingest.insert_ignore_locations(there, batch).collect()) == [",", ".", "B"]
-    gazetteer = spark.createDataFrame([("B", 40.0, -75.0, [("country.1", "US"), ("region.1", "PA"), ("region.2", "NJ"), ("place.3", "Town")])], "raw_location string, latitude double, longitude double, context array<struct<id:string,text:string>>")
+    gazetteer = spark.createDataFrame([("B", 40.0, -75.0, [("country.1", "US"), ("region.1", "PA"), ("region.2", "NJ"), ("place.3", "Town")])], "raw_location string, latitude double, longitude double, context array<struct<id:string,text:string>>").withColumn("place_name", F.lit("B, USA"))
     got = ingest.geocode(spark.createDataFrame([("B", "b")], "raw_location string, location_key string"), gazetteer).first()
-    assert (got.country, got.state, got.city) == ("US", "NJ", "Town")
+    assert (got.country, got.state, got.city, got.normalized_name) == ("US", "NJ", "Town", "B, USA")
+    raw = spark.createDataFrame([("B",), ("  ",), (None,), ("Raw A",), ("unknown",)], "raw_location string")
+    assert [r.raw_location for r in ingest.geocode_if_needed(there, raw, gazetteer).collect()] == ["B"] and ingest.geocode_if_needed(there, raw, None).count() == 0
+    odd = [('{"Name":""}',), ('{"Name":"A-1","IsLiving":"1"}',), ('{"Name":"B-1","IsLiving":true}',), ('{"Name":"C-1","IsLiving":1,"Suffix":""}',), ('{"Name":"D-1","IsLiving":0}',)]
+    assert [(r.wiki_id, r.is_living, r.suffix) for r in ingest.profiles(spark.createDataFrame(odd, "json string")).orderBy("wiki_id").collect()] == [("A-1", False, None), ("B-1", False, None), ("C-1", True, ""), ("D-1", False, None)]
+    old = [("A-1", '{"id":5,"name":"","generation":3,"father_id":"0","mother_id":0,"is_living":1,"birth_location":"X ,Y"}'), ("B-1", '{"father_id":12,"mother_id":""}')]
+    got = {r.wiki_id: r for r in ingest.legacy_persons(spark.createDataFrame(old, "wiki_id string, json string")).collect()}
+    assert (got["A-1"].wiki_numeric_id, got["A-1"].name, got["A-1"].generation, got["A-1"].father_wiki_id, got["A-1"].mother_wiki_id, got["A-1"].is_living, got["A-1"].birth_location_key) == (5, "", 3, "0", None, True, "x, y")
+    assert (got["B-1"].father_wiki_id, got["B-1"].mother_wiki_id, got["B-1"].name) == ("12", None, None)
     keyed = ingest.backfill_location_keys(spark.createDataFrame([(1, "A,b", None), (2, "a, B", None)], "id int, raw_location string, location_key string"))
     assert {r.id: r.location_key for r in keyed.collect()} == {1: "a, b", 2: None}
 
@@ -223,9 +324,12 @@ def test_request_policy():
 
 
 def test_config():
-    assert config.from_env({"CRAWL_START_ID": "Abc-1", "CRAWL_PARENTS": "true"}).crawl_parents
-    with pytest.raises(ValueError):
-        config.from_env({"CRAWL_START_ID": "nonsense"})
+    c = config.from_env({"CRAWLER_START_ID": "Abc-1", "CRAWLER_CRAWL_PARENTS": "true", "CRAWLER_SAVE_INTERVAL": "7"})
+    assert c.crawl_parents and (c.save_interval, c.export_interval, c.request_delay_ms, c.max_retries, c.geocode_after_crawl, c.geocoder_token) == (7, 500, 1000, 3, True, None)
+    assert config.Config("A-1").save_interval == 25 and not config.from_env({"CRAWLER_GEOCODE_AFTER_CRAWL": "false"}).geocode_after_crawl
+    for bad in ({"START_ID": "nonsense"}, {"START_ID": "A-1\n"}, {"BACKUP_DIR": ""}, {"SAVE_INTERVAL": "0"}, {"MAX_RETRIES": "-1"}, {"REQUEST_DELAY_MS": "nan"}):
+        with pytest.raises(ValueError):
+            config.from_env({f"CRAWLER_{k}": v for k, v in bad.items()})
 
 
 def test_snapshots(spark, tmp_path):
@@ -255,7 +359,7 @@ def test_queue_stream(spark, tmp_path):
     from heritree.streaming import queue_stream
 
     schema = "wiki_id string, seq long, event string, priority int, message string"
-    batches = [[("A", 1, "enqueue", 2, None), ("B", 2, "enqueue", 1, None)], [("A", 3, "enqueue", 9, None), ("A", 4, "error", None, "oops")]]
+    batches = [[("A", 1, "enqueue", 2, None), ("B", 2, "enqueue", 1, None)], [("A", 3, "enqueue", 9, None), ("A", 4, "error", None, "oops"), ("C", 5, "enqueue", None, None)]]
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
     for rows in batches:
@@ -263,8 +367,8 @@ def test_queue_stream(spark, tmp_path):
         q = queue_stream.queue_state(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
     got = {r.wiki_id: (r.status, r.priority, r.retry_count, r.error_message) for r in queue_stream.latest(spark.read.parquet(str(tmp_path / "out"))).collect()}
-    assert got == {"A": ("error", 2, 1, "oops"), "B": ("pending", 1, 0, None)}
+    assert got == {"A": ("error", 2, 1, "oops"), "B": ("pending", 1, 0, None), "C": ("pending", 0, 0, None)}
     seen = []
     items = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     queue_stream.run_crawl(items, lambda df: df.withColumn("error", F.when(F.col("event") == "error", F.col("message"))), str(tmp_path / "res"), str(tmp_path / "cp2"), lambda n, c: seen.append(c)).awaitTermination()
-    assert sum(seen) == 4 and spark.read.parquet(str(tmp_path / "res")).where("error is not null").count() == 1
+    assert sum(seen) == 5 and spark.read.parquet(str(tmp_path / "res")).where("error is not null").count() == 1
