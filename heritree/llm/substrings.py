@@ -12,7 +12,7 @@ together. A passage of more than 50 words always has about 35 in whose cuts noth
 well below that.
 
 A digest's documents are never gathered: the first one is aggregated (before the shuffle, too), and the chunks are joined
-with it by a join whose large partitions Spark splits.
+with it under SALTS salts.
 
 Defined results: a null or blank text has no chunks and no row. A document is an id and a text: rows equal in both are
 one, and an id with several texts is several documents, the one whose text has the smallest digest first. Rows with a
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_TABLE, ship, stored
 
-REACH, MAX_WORDS, MIN_WORDS = 4, 64, 18
+REACH, MAX_WORDS, MIN_WORDS, SALTS = 4, 64, 18, 4
 #: Fixed by a seed: a random 32-bit number for each byte.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 _AT_ONCE = 1 << 20  # bytes whose hashes are computed at a time
@@ -115,6 +115,16 @@ def chunks(docs: DataFrame) -> DataFrame:
     return _narrow(docs).mapInArrow(run, "doc_id long, tie long, start int, words int, d1 long, d2 long")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows of a stored table with a salt, so that the chunks of one digest, however many, are several tasks' work in a join."""
+    return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+
+
+def _repeated(digests: DataFrame) -> DataFrame:
+    """The other side: a row for each salt."""
+    return digests.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, tie, start, n_words, first_doc_id: the passages that an earlier document keeps (of their first chunk).
 
@@ -124,10 +134,10 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # most digests are in one document: these go by aggregates of plain numbers, before anything is ordered
     several = [F.min(c) != F.max(c) for c in ("doc_id", "tie")] + [F.count("doc_id").between(1, F.count("*") - 1)]
     held = cut.groupBy("d1", "d2").agg(reduce(Column.__or__, [F.coalesce(c, F.lit(False)) for c in several]).alias("several")).where("several").drop("several")
-    shared = stored(cut.join(held, ["d1", "d2"]), "shared-chunks")
+    shared = stored(_dealt(cut).join(_repeated(held), ["d1", "d2", "salt"]).drop("salt"), "shared-chunks")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     first = shared.groupBy("d1", "d2").agg(F.min(name).alias("first"))
-    later = shared.join(first, ["d1", "d2"]).where(name != F.col("first"))
+    later = _dealt(shared).join(_repeated(first), ["d1", "d2", "salt"]).drop("salt").where(name != F.col("first"))
     # neighbours: a chunk starts where the one before it in the document ended
     by_doc = Window.partitionBy("doc_id", "tie").orderBy("start")
     rows = later.groupBy("doc_id", "tie", "start").agg(F.first("words").alias("words"), F.first("first.doc_id").alias("first_doc_id"))
