@@ -5,8 +5,9 @@ than twice its own words, and what it can't give is shared again by weight. The
 words. Each shard of the mix has a number of blocks; highest quotients target / (2 k + 1) give every source an integer
 quota of them. The method never takes a seat back when the house grows, so the quota of a shard is the difference of
 two apportionments, of the blocks up to its end and up to its start. Then blocks are chosen by seed: a source's
-documents stand in a seeded random order, its words in that order are cut into blocks, and the quota's blocks are the
-ones that follow, cyclically, from a seeded block on. At most two documents of a source are cut by this.
+documents stand in a seeded random order, its words in that order are cut into blocks, and the shards take their quotas
+of them one after another, cyclically, from a seeded block on. A document that stretches over the end of a shard's
+blocks is cut there, so each shard cuts at most two documents of a source.
 
 Defined results: a null or blank text has size 0 and nothing is taken of it; null ids and sources are values like
 others; equal rows are placed one by one, and which of them is taken is left open, as they can't be told apart; an
@@ -80,22 +81,31 @@ def quotas(targets: DataFrame, block_words: int | None = None, n_shards: int = N
     return seats.groupBy("source", "pos", "source_size", "target", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("house", "quota"))), lambda x: x["quota"]).alias("quota"))
 
 
-def _overlap(low: Column, high: Column) -> Column:
-    """The part [from, to) of a document at [at, at + size) that stretches from low to high takes, counted from its start."""
-    start = F.greatest(F.col("at"), low) - F.col("at")
-    return F.struct(start.alias("from"), F.greatest(start, F.least(F.col("at") + F.col("size"), high) - F.col("at")).alias("to"))
+def _pieces(n_shards: int) -> Column:
+    """What each shard takes of a document that stands `at` in its source: shard, from, to (words counted from its start).
+
+    The source's words are passed up to three times, as the first block is anywhere and none is used more than MOST times;
+    a shard takes those from the `ends` of the shard before it up to its own.
+    """
+
+    def piece(turn: Column, shard: Column) -> Column:
+        here = F.col("at") + turn * F.col("source_size")
+        start = F.greatest(here, F.col("first") + F.coalesce(F.get("ends", shard - 1), F.lit(0))) - here
+        end = F.least(here + F.col("size"), F.col("first") + F.get("ends", shard)) - here
+        return F.struct(shard.alias("shard"), start.alias("from"), end.alias("to"))
+
+    each = F.transform(F.sequence(F.lit(0), F.lit(MOST)), lambda t: F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: piece(t, s)))
+    return F.filter(F.flatten(each), lambda p: p["to"] > p["from"])
 
 
 def mix(docs: DataFrame, seed: int = 42, block_words: int | None = None, n_shards: int = N_SHARDS, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, passes (whole uses), pieces (array of from, to: further words), and `row` of the carried columns."""
+    """doc_id, source, size, source_size, target, pieces (array of shard, from, to: the words each shard of the mix takes), and `row` of the carried columns."""
     narrow = stored(_sized(docs, seed, []), "mix-sized")
     plan = stored(quotas(targets(narrow), block_words, n_shards), "mix-plan")
-    length, used = F.col("source_size"), F.least(F.aggregate("quota", F.lit(0).cast("long"), lambda a, q: a + q) * F.col("block"), F.col("source_size") * MOST)
-    first = F.col("block") * F.pmod(F.xxhash64(F.lit(seed), F.col("pos")), F.greatest(F.lit(1), F.ceil(length / F.col("block"))))
-    plan = (
-        plan.withColumn("used", used).withColumn("passes", F.when(length > 0, F.floor(F.col("used") / length)).otherwise(0).cast("long"))
-        .withColumn("rest", F.col("used") - F.col("passes") * length).withColumn("first", first).drop("quota", "block", "used")
-    )
+    upto = lambda k: F.aggregate(F.slice("quota", F.lit(1), k), F.lit(0).cast("long"), lambda a, q: a + q)
+    ends = F.transform(F.sequence(F.lit(1), F.lit(n_shards)), lambda k: F.least(upto(k) * F.col("block"), F.col("source_size") * MOST))
+    first = F.col("block") * F.pmod(F.xxhash64(F.lit(seed), F.col("pos")), F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("block"))))
+    plan = plan.withColumn("ends", ends).withColumn("first", first).drop("quota", "block")
     bits = min(24, max(8, math.ceil(math.log2(max(1, narrow.count() / 4096)))))
     pieced = lambda df: df.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).withColumn("piece", F.shiftrightunsigned("order", 64 - bits))
     before = (
@@ -105,23 +115,25 @@ def mix(docs: DataFrame, seed: int = 42, block_words: int | None = None, n_shard
     rows = pieced(_sized(docs, seed, carry) if carry else narrow)
     within = Window.partitionBy("pos", "piece").orderBy("order", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(before, ["pos", "piece"]).withColumn("at", F.col("at") + F.col("before"))
-    end = F.col("first") + F.col("rest")
-    pieces = F.filter(F.array(_overlap(F.col("first"), F.least(end, length)), _overlap(F.lit(0), end - length)), lambda p: p["to"] > p["from"])
-    return placed.select(*(["row"] if carry else []), "doc_id", "source", "size", "source_size", "target", "passes", pieces.alias("pieces"))
+    return placed.select(*(["row"] if carry else []), "doc_id", "source", "size", "source_size", "target", _pieces(n_shards).alias("pieces"))
+
 
+def mix_report(docs: DataFrame, seed: int = 42, block_words: int | None = None, n_shards: int = N_SHARDS) -> DataFrame:
+    """What the mix takes of each document, with `shards`: those of the mix that take it, comma-joined."""
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["to"] - p["from"])
+    shards = F.array_join(F.array_sort(F.array_distinct("pieces.shard")).cast("array<string>"), ",")
+    return mix(docs, seed, block_words, n_shards).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", shards.alias("shards"))
 
-def mix_report(docs: DataFrame, seed: int = 42, block_words: int | None = None) -> DataFrame:
-    taken = F.col("passes") * F.col("size") + F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["to"] - p["from"])
-    return mix(docs, seed, block_words).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
 
+def mixed_rows(docs: DataFrame, seed: int = 42, block_words: int | None = None, n_shards: int = N_SHARDS, shard: str | None = None) -> DataFrame:
+    """The mix as rows of docs: a document once for each use, cut to the words taken where the end of a shard's blocks cuts it.
 
-def mixed_rows(docs: DataFrame, seed: int = 42, block_words: int | None = None) -> DataFrame:
-    """The mix as rows of docs: a document once for each whole use, and cut to the words taken where a block cuts it."""
-    m = mix(docs, seed, block_words, carry=docs.columns)
-    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("from"), F.col("size").alias("to")), F.col("passes").cast("int"))
-    m = m.where("size > 0").select("row", "size", F.explode(F.concat(whole, "pieces")).alias("p"))
+    shard: also the mix's shard of each row, in a column of that name (one of docs gives way).
+    """
+    m = mix(docs, seed, block_words, n_shards, carry=docs.columns).select("row", "size", F.explode("pieces").alias("p"))
     words = F.split(F.regexp_replace(F.col("row.text"), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
     cut = F.array_join(F.slice(words, (F.col("p.from") + 1).cast("int"), (F.col("p.to") - F.col("p.from")).cast("int")), " ")
-    m = m.select("row", F.when((F.col("p.from") > 0) | (F.col("p.to") < F.col("size")), cut).alias("cut"))
+    m = m.select("row", "p.shard", F.when((F.col("p.from") > 0) | (F.col("p.to") < F.col("size")), cut).alias("cut"))
     new = {"text": F.coalesce("cut", "row.text"), "n_chars": F.when(F.col("cut").isNull(), F.col("row.n_chars")).otherwise(F.char_length("cut").cast("long"))} if "n_chars" in docs.columns else {"text": F.coalesce("cut", "row.text")}
-    return m.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    added = [F.col("shard").alias(shard)] if shard else []
+    return m.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns if c != shard], *added)

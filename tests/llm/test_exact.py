@@ -92,6 +92,26 @@ def test_rows_that_differ_in_other_columns_only_are_cut_alike(spark):
     assert mixes[0] == mixes[1]
 
 
+@pytest.mark.parametrize("seed", [42, 7])
+def test_each_shard_of_the_mix_takes_its_quota(spark, seed):
+    sizes = {"a": [40, 1, 7, 300, 12] * 8, "b": [5] * 100, "c": [900], "d": [0, 0]}
+    rows = [(k, " ".join(f"{s}{k}x{n}" for n in range(size)), s) for s, of in sizes.items() for k, size in enumerate(of)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    plan = mixing.quotas(mixing.targets(mixing._sized(docs, seed, [])), 16, 5).collect()
+    want = {}
+    for r in plan:
+        ends = [min(16 * sum(r.quota[: k + 1]), 2 * r.source_size) for k in range(5)]
+        want |= {(r.source, k): e - b for k, (b, e) in enumerate(zip([0, *ends], ends)) if e > b}
+    got, words = collections.Counter(), collections.Counter()
+    for r in mixing.mixed_rows(docs, seed, 16, 5, shard="in_shard").collect():
+        got[r.source, r.in_shard] += len(r.text.split())
+        words.update(r.text.split())
+    assert dict(got) == want and max(words.values()) <= 2
+    report = mixing.mix_report(docs, seed, 16, 5).collect()
+    assert {(r.source, int(s)) for r in report for s in r.shards.split(",") if s} == set(want)
+    assert sum(r.taken for r in report) == sum(want.values())
+
+
 def test_quotas_are_highest_quotients(spark):
     import heapq
 
