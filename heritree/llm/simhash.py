@@ -40,6 +40,7 @@ DEVIATIONS = 3  # of a pair's differing bits, beyond which it isn't compared
 _AT_ONCE = 1 << 16  # hashes whose bits are spread out at a time
 _GROUP_CHARS = 500_000  # characters that are sketched at a time
 _BLOCK = 1000  # texts with one short fingerprint that one row of blocks stands for
+_SALTS = 8  # tasks among which the texts of one short fingerprint are dealt where they meet their head
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -188,44 +189,80 @@ def most_bits(similarity: float, bits: int, deviations: float = 2) -> int:
     return int(bits * p + deviations * sqrt(bits * p * (1 - p)))
 
 
-def near_links(nodes: DataFrame, similarity: float, tables: int = TABLES, bits: int = PART_BITS) -> DataFrame:
-    """Links (leaf, centre, apart: differing bits) between nodes (node, sketch, minima) whose sketches are near.
+def meetings(nodes: DataFrame, tables: int = TABLES, bits: int = PART_BITS) -> tuple[DataFrame, DataFrame]:
+    """Texts by parts (node, h, sketch, minima, part) and parts that meet (h, low, high; low = high where several texts have it).
 
     A text with a partner of that similarity shares one of its least shingles with it (all but 0.2 ** 3 of such pairs),
     so balls are emitted for each least shingle that texts share, and parts only meet where they share it: strangers,
-    however many, don't. All pairs of parts that meet on a value (at most bits + 1 by geometry) are made, and all pairs of
-    their texts compared by all bits: in a family of texts on one template, most that meet are strangers, so no one of
-    them can stand for the others. Texts of a part are dealt to blocks, so that no task has a hot part's pairs alone. A
-    pair counts for its smallest common shingle and in the first table that has it only.
+    however many, don't. All pairs of parts that meet on a value (at most bits + 1 by geometry) are made.
     """
     one = lambda x: F.lit(x).cast("long")
-    low_bits = one((1 << bits) - 1)
     masks = F.array(*map(one, [0, *(1 << k for k in range(bits))]))
     around = lambda c: F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col(c))))
     least = nodes.select("node", F.explode("minima").alias("h"))
     shared = least.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     able = stored(least.join(shared, "h").join(nodes, "node").select("node", "h", "sketch", "minima"), "sharing")
     # a part: the table's number and the low bits of its long
-    numbered = F.transform(F.slice("sketch", 1, tables), lambda s, j: F.shiftleft(j.cast("long"), 32) + s.bitwiseAND(low_bits))
+    numbered = F.transform(F.slice("sketch", 1, tables), lambda s, j: F.shiftleft(j.cast("long"), 32) + s.bitwiseAND(one((1 << bits) - 1)))
     parts = able.select("node", "h", "sketch", "minima", F.explode(numbered).alias("part"))
-    blocks = stored(parts.groupBy("h", "part").agg(F.count("*").alias("n")).withColumn("n_blocks", F.ceil(F.col("n") / _BLOCK)), "parts")
-    variants = spread(blocks.select("h", "part"), "h", "part", times=bits + 1).select("h", "part", around("part").alias("variant"))
+    sizes = stored(parts.groupBy("h", "part").agg(F.count("*").alias("n")), "parts")
+    variants = spread(sizes.select("h", "part"), "h", "part", times=bits + 1).select("h", "part", around("part").alias("variant"))
     met = stored(variants.groupBy("h", "variant").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("n > 1"), "met-parts")
     # the members of larger groups lie in the ball of the value that they met on
-    many = spread(met.where("n > 2").select("h", "variant"), "h", "variant", times=bits + 1).select("h", "variant", around("variant").alias("part")).join(blocks.select("h", "part"), ["h", "part"])
+    many = spread(met.where("n > 2").select("h", "variant"), "h", "variant", times=bits + 1).select("h", "variant", around("variant").alias("part")).join(sizes.select("h", "part"), ["h", "part"])
     many = many.groupBy("h", "variant").agg(F.collect_list("part").alias("all"))
     every = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: y > x), lambda y: F.struct(x.alias("low"), y.alias("high")))))
     close = met.where("n = 2").select("h", "low", "high").unionByName(many.select("h", F.inline(every))).distinct()
-    close = close.unionByName(blocks.where("n > 1").select("h", F.col("part").alias("low"), F.col("part").alias("high")))
+    return parts, stored(close.unionByName(sizes.where("n > 1").select("h", F.col("part").alias("low"), F.col("part").alias("high"))), "close-parts")
+
+
+def _differ(leaf: str, centre: str) -> list[Column]:
+    return [F.col(leaf)[k].bitwiseXOR(F.col(centre)[k]) for k in range(LONGS)]
+
+
+def star_links(parts: DataFrame, close: DataFrame, similarity: float) -> DataFrame:
+    """Links (leaf, centre, apart) of each part's texts to one of them, its head, and between heads of parts that meet.
+
+    As many as there are texts and meetings. Heads are drawn by part, so that one odd text isn't the head of all.
+    """
+    heads = parts.groupBy("h", "part").agg(F.min(F.struct(F.xxhash64("node", "h", "part").alias("order"), "node", "sketch")).alias("head"))
+    heads = stored(heads.select("h", "part", "head.node", "head.sketch"), "heads")
+    head = lambda c, end: heads.select("h", F.col("part").alias(c), F.col("node").alias(end), F.col("sketch").alias(f"of_{end}"))
+    several = close.where("low = high").select("h", F.col("low").alias("part")).join(head("part", "centre"), ["h", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    texts = parts.select("h", "part", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int").alias("salt"), F.col("node").alias("leaf"), F.col("sketch").alias("of_leaf"))
+    found = texts.join(several, ["h", "part", "salt"]).select("leaf", "centre", "of_leaf", "of_centre")
+    found = found.unionByName(close.where("low <> high").join(head("low", "leaf"), ["h", "low"]).join(head("high", "centre"), ["h", "high"]).select("leaf", "centre", "of_leaf", "of_centre"))
+    apart = reduce(Column.__add__, map(F.bit_count, _differ("of_leaf", "of_centre")))
+    near = found.where("leaf <> centre").select(F.greatest("leaf", "centre").alias("leaf"), F.least("leaf", "centre").alias("centre"), apart.alias("apart"))
+    return near.where(F.col("apart") <= most_bits(similarity, 64 * LONGS, DEVIATIONS)).distinct()
+
+
+def near_links(nodes: DataFrame, similarity: float, tables: int = TABLES, bits: int = PART_BITS, met: tuple[DataFrame, DataFrame] | None = None, member: DataFrame | None = None) -> DataFrame:
+    """Links (leaf, centre, apart: differing bits) between nodes (node, sketch, minima) whose sketches are near.
+
+    All pairs of texts whose parts meet are compared by all bits: in a family of texts on one template, most that meet are
+    strangers, so no one of them can stand for the others. Pairs that are in one group of `member` (node, component)
+    already are never made: a part's texts meet by groups. Texts of a group are dealt to blocks, so that no task has a hot
+    part's pairs alone. A pair counts for its smallest common shingle and in the first table that has it only.
+    """
+    parts, close = met or meetings(nodes, tables, bits)
+    parts = parts.withColumn("group", F.col("node")) if member is None else parts.join(member, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    blocks = stored(parts.groupBy("h", "part", "group").agg(F.count("*").alias("n")).withColumn("n_blocks", F.ceil(F.col("n") / _BLOCK)), "part-groups")
+    side = lambda c: blocks.select("h", F.col("part").alias(c), F.col("group").alias(f"{c}_group"), F.col("n_blocks").alias(f"{c}_blocks"))
+    # parts whose texts are all of one group, the same for both, are left out before groups are paired
+    ends = blocks.groupBy("h", "part").agg(F.min("group").alias("a"), F.max("group").alias("b"))
+    for c in ("low", "high"):
+        close = close.join(ends.select("h", F.col("part").alias(c), F.col("a").alias(f"a_{c}"), F.col("b").alias(f"b_{c}")), ["h", c])
+    close = close.where("least(a_low, a_high) <> greatest(b_low, b_high)").select("h", "low", "high")
+    close = close.join(side("low"), ["h", "low"]).join(side("high"), ["h", "high"]).where("low_group <> high_group and (low <> high or low_group > high_group)")
     for c in ("low", "high"):
-        close = close.join(blocks.select("h", F.col("part").alias(c), "n_blocks"), ["h", c]).select("*", F.explode(F.sequence(one(0), F.col("n_blocks") - 1)).alias(f"{c}_block")).drop("n_blocks")
-    dealt = parts.join(blocks, ["h", "part"]).withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks"))
-    side = lambda c, end: dealt.select("h", F.col("part").alias(c), F.col("block").alias(f"{c}_block"), F.col("node").alias(end), F.col("sketch").alias(f"of_{end}"), F.col("minima").alias(f"least_{end}"))
-    pairs = close.join(side("low", "leaf"), ["h", "low", "low_block"]).join(side("high", "centre"), ["h", "high", "high_block"]).where("low <> high or leaf > centre")
-    differ = [F.col("of_leaf")[k].bitwiseXOR(F.col("of_centre")[k]) for k in range(LONGS)]
+        close = close.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{c}_blocks") - 1)).alias(f"{c}_block")).drop(f"{c}_blocks")
+    dealt = parts.join(blocks, ["h", "part", "group"]).withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks"))
+    of = lambda c, end: dealt.select("h", F.col("part").alias(c), F.col("group").alias(f"{c}_group"), F.col("block").alias(f"{c}_block"), F.col("node").alias(end), F.col("sketch").alias(f"of_{end}"), F.col("minima").alias(f"least_{end}"))
+    pairs = close.join(of("low", "leaf"), ["h", "low", "low_group", "low_block"]).join(of("high", "centre"), ["h", "high", "high_group", "high_block"])
+    differ, table = _differ("of_leaf", "of_centre"), F.shiftright("low", 32)
     apart = reduce(Column.__add__, map(F.bit_count, differ))
-    table = F.shiftright("low", 32)
-    first = [(table <= t) | (F.bit_count(differ[t].bitwiseAND(low_bits)) > RADIUS) for t in range(tables - 1)]
+    first = [(table <= t) | (F.bit_count(differ[t].bitwiseAND(F.lit((1 << bits) - 1).cast("long"))) > RADIUS) for t in range(tables - 1)]
     once = reduce(Column.__and__, first, F.col("h") == F.array_min(F.array_intersect("least_leaf", "least_centre")))
     return pairs.withColumn("apart", apart).where(F.col("apart") <= most_bits(similarity, 64 * LONGS, DEVIATIONS)).where(once).select("leaf", "centre", "apart")
 
@@ -256,13 +293,13 @@ def similar_links(links: DataFrame, each: DataFrame, similarity: float) -> DataF
     return counted.where(F.col("common") >= similarity * (F.col("n_leaf") + F.col("n_centre") - F.col("common"))).select("leaf", "centre")
 
 
-def similar_groups(links: DataFrame, each: DataFrame, similarity: float, bits: int) -> DataFrame:
-    """node, component: of the graph of all links (leaf, centre, apart) that shingles confirm.
+def similar_groups(links: DataFrame, each: DataFrame, similarity: float, bits: int, member: DataFrame | None = None) -> DataFrame:
+    """node, component: of the graph of all links (leaf, centre, apart) that shingles confirm, and of the groups in member.
 
     A link goes without comparison only if links that were compared join its ends already. While links are many, one of
     each group is compared at a time, clear ones first; once that settles too few, all that are left are.
     """
-    edges, before = None, None
+    edges, before = None if member is None else member.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")), None
     links = links.withColumn("of_leaf", F.col("leaf")).withColumn("of_centre", F.col("centre"))
     while True:
         n, n_groups = links.agg(F.count("*"), F.countDistinct("of_leaf")).first()
@@ -295,9 +332,14 @@ def winners_by_similarity(docs: DataFrame, similarity: float = SIMILARITY, width
     """
     found = sketches(docs, width, LONGS, MINIMA).groupBy("sketch").agg(F.min(_rank()).alias("best"), F.min("minima").alias("minima"))
     nodes = stored(found.withColumn("node", F.monotonically_increasing_id()), "distinct-sketches")
-    links = stored(near_links(nodes, similarity), "near-links")
-    each = stored(link_shingles(links, nodes, docs, width), "link-shingles")
-    member = similar_groups(links, each, similarity, 64 * LONGS).withColumnRenamed("node", "member")
+    met = meetings(nodes)
+    # groups by links to heads first, then by all pairs that these leave apart
+    member = None
+    for near in (lambda: star_links(*met, similarity), lambda: near_links(nodes, similarity, met=met, member=member)):
+        links = stored(near(), "near-links")
+        each = stored(link_shingles(links, nodes, docs, width), "link-shingles")
+        member = similar_groups(links, each, similarity, 64 * LONGS, member)
+    member = member.withColumnRenamed("node", "member")
     named = nodes.join(member, F.col("node") == F.col("member"), "left").select("best", F.coalesce("component", "node").alias("component"))
     return named.groupBy("component").agg(F.min("best").alias("best"))
 
