@@ -237,40 +237,91 @@ def star_links(parts: DataFrame, close: DataFrame, similarity: float) -> DataFra
     return near.where(F.col("apart") <= most_bits(similarity, 64 * LONGS, DEVIATIONS)).distinct()
 
 
-def near_links(nodes: DataFrame, similarity: float, tables: int = TABLES, bits: int = PART_BITS, met: tuple[DataFrame, DataFrame] | None = None, member: DataFrame | None = None) -> DataFrame:
+def _grouped(parts: DataFrame, close: DataFrame, member: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """parts with each text's group (of member; else itself), and the meeting parts whose texts aren't all of one group."""
+    parts = parts.withColumn("group", F.col("node")) if member is None else parts.join(member, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    ends = parts.groupBy("h", "part").agg(F.min("group").alias("a"), F.max("group").alias("b"))
+    for c in ("low", "high"):
+        close = close.join(ends.select("h", F.col("part").alias(c), F.col("a").alias(f"a_{c}"), F.col("b").alias(f"b_{c}")), ["h", c])
+    return parts, close.where("least(a_low, a_high) <> greatest(b_low, b_high)").select("h", "low", "high")
+
+
+def unsettled(parts: DataFrame, close: DataFrame, member: DataFrame | None) -> DataFrame:
+    """node: the texts that meet another one outside their group."""
+    parts, close = _grouped(parts, close, member)
+    met = close.select("h", F.explode(F.array("low", "high")).alias("part")).distinct()
+    return parts.join(met, ["h", "part"], "left_semi").select("node").distinct()
+
+
+def shared_bounds(each: DataFrame, similarity: float) -> DataFrame:
+    """node, n, n_shared, slots: how many shingles (node, h, n) a text has and shares with any other, and the slots of those.
+
+    Two texts have at most n_shared - d shingles in common if d slots of one aren't slots of the other, so what these
+    figures rule out is no link. Texts with less than that share of shared shingles have none at all and are left out.
+    """
+    lone = each.groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("k")).where("k = 1").select("node", "h")
+    slots = [F.expr(f"bit_or(if((shiftright(h, 6) & {LONGS - 1}) = {k}, shiftleft(1L, cast(h & 63 as int)), 0L))") for k in range(LONGS)]
+    found = each.join(lone, ["node", "h"], "left_anti").groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("n_shared"), F.array(*slots).alias("slots"))
+    return found.where(F.col("n_shared") >= similarity * F.col("n"))
+
+
+def _may_be_similar(one: str, other: str, similarity: float) -> Column:
+    """Whether texts of these bounds (n: least, n_shared: most, every: slots of all of them, any: slots of one of them) can have that similarity."""
+    left = lambda x, y: F.col(f"{x}.n_shared") - reduce(Column.__add__, [F.bit_count(F.col(f"{x}.every")[k].bitwiseAND(F.bitwise_not(F.col(f"{y}.any")[k]))) for k in range(LONGS)])
+    common = F.least(left(one, other), left(other, one))
+    return common >= similarity * (F.col(f"{one}.n") + F.col(f"{other}.n") - common)
+
+
+def near_links(nodes: DataFrame, similarity: float, tables: int = TABLES, bits: int = PART_BITS, met: tuple[DataFrame, DataFrame] | None = None, member: DataFrame | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """Links (leaf, centre, apart: differing bits) between nodes (node, sketch, minima) whose sketches are near.
 
     All pairs of texts whose parts meet are compared by all bits: in a family of texts on one template, most that meet are
     strangers, so no one of them can stand for the others. Pairs that are in one group of `member` (node, component)
-    already are never made: a part's texts meet by groups. Texts of a group are dealt to blocks, so that no task has a hot
-    part's pairs alone. A pair counts for its smallest common shingle and in the first table that has it only.
+    already are never made: a part's texts meet by groups. With `bounds` (of shared_bounds, for all texts that may have a
+    link still), pairs that these rule out aren't made either, first by groups, then by texts. Texts of a group are dealt
+    to blocks, so that no task has a hot part's pairs alone. A pair counts for its smallest common shingle and in the
+    first table that has it only.
     """
     parts, close = met or meetings(nodes, tables, bits)
-    parts = parts.withColumn("group", F.col("node")) if member is None else parts.join(member, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    blocks = stored(parts.groupBy("h", "part", "group").agg(F.count("*").alias("n")).withColumn("n_blocks", F.ceil(F.col("n") / _BLOCK)), "part-groups")
-    side = lambda c: blocks.select("h", F.col("part").alias(c), F.col("group").alias(f"{c}_group"), F.col("n_blocks").alias(f"{c}_blocks"))
-    # parts whose texts are all of one group, the same for both, are left out before groups are paired
-    ends = blocks.groupBy("h", "part").agg(F.min("group").alias("a"), F.max("group").alias("b"))
-    for c in ("low", "high"):
-        close = close.join(ends.select("h", F.col("part").alias(c), F.col("a").alias(f"a_{c}"), F.col("b").alias(f"b_{c}")), ["h", c])
-    close = close.where("least(a_low, a_high) <> greatest(b_low, b_high)").select("h", "low", "high")
-    close = close.join(side("low"), ["h", "low"]).join(side("high"), ["h", "high"]).where("low_group <> high_group and (low <> high or low_group > high_group)")
-    for c in ("low", "high"):
-        close = close.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{c}_blocks") - 1)).alias(f"{c}_block")).drop(f"{c}_blocks")
-    dealt = parts.join(blocks, ["h", "part", "group"]).withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks"))
-    of = lambda c, end: dealt.select("h", F.col("part").alias(c), F.col("group").alias(f"{c}_group"), F.col("block").alias(f"{c}_block"), F.col("node").alias(end), F.col("sketch").alias(f"of_{end}"), F.col("minima").alias(f"least_{end}"))
-    pairs = close.join(of("low", "leaf"), ["h", "low", "low_group", "low_block"]).join(of("high", "centre"), ["h", "high", "high_group", "high_block"])
-    differ, table = _differ("of_leaf", "of_centre"), F.shiftright("low", 32)
+    size, may = [F.count("*").alias("size")], lambda one, other: F.lit(True)
+    if bounds is None:
+        parts = parts.withColumn("bound", F.lit(0))
+        size.append(F.lit(0).alias("bound"))
+    else:
+        own = F.struct("n", "n_shared", F.col("slots").alias("every"), F.col("slots").alias("any"))
+        parts, may = parts.join(bounds.select("node", own.alias("bound")), "node"), lambda one, other: _may_be_similar(one, other, similarity)
+        over = lambda f, slots: F.array(*[f(F.col(f"bound.{slots}")[k]) for k in range(LONGS)]).alias(slots)
+        size.append(F.struct(F.min("bound.n").alias("n"), F.max("bound.n_shared").alias("n_shared"), over(F.bit_and, "every"), over(F.bit_or, "any")).alias("bound"))
+    parts, close = _grouped(parts, close, member)
+    blocks = stored(parts.groupBy("h", "part", "group").agg(*size).withColumn("n_blocks", F.ceil(F.col("size") / _BLOCK)), "part-groups")
+    side = lambda c: blocks.select("h", F.col("part").alias(c), F.struct("group", "part", "size", "n_blocks").alias(f"of_{c}"), F.col("bound").alias(f"{c}_bound"))
+    close = close.join(side("low"), ["h", "low"]).join(side("high"), ["h", "high"])
+    close = close.where("of_low.group <> of_high.group and (low <> high or of_low.group > of_high.group)").where(may("low_bound", "high_bound"))
+    # the smaller side's texts come first, so that a large one is only joined where the pair is decided
+    smaller = F.col("of_low.size") <= F.col("of_high.size")
+    close = close.select("h", F.when(smaller, F.col("of_low")).otherwise(F.col("of_high")).alias("x"), F.when(smaller, F.col("of_high")).otherwise(F.col("of_low")).alias("y"))
+    for c in ("x", "y"):
+        close = close.select("*", F.col(f"{c}.part").alias(f"{c}_part"), F.col(f"{c}.group").alias(f"{c}_group"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{c}.n_blocks") - 1)).alias(f"{c}_block")).drop(c)
+    dealt = parts.join(blocks.select("h", "part", "group", "n_blocks"), ["h", "part", "group"]).withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks"))
+    of = lambda c, end: dealt.select("h", *[F.col(k).alias(f"{c}_{k}") for k in ("part", "group", "block")], F.col("node").alias(end), F.col("sketch").alias(f"of_{end}"), F.col("minima").alias(f"least_{end}"), F.col("bound").alias(f"{end}_bound"))
+    on = lambda c: ["h", f"{c}_part", f"{c}_group", f"{c}_block"]
+    pairs = close.join(of("x", "leaf"), on("x")).join(of("y", "centre"), on("y"))
+    differ, table = _differ("of_leaf", "of_centre"), F.shiftright("x_part", 32)
     apart = reduce(Column.__add__, map(F.bit_count, differ))
     first = [(table <= t) | (F.bit_count(differ[t].bitwiseAND(F.lit((1 << bits) - 1).cast("long"))) > RADIUS) for t in range(tables - 1)]
     once = reduce(Column.__and__, first, F.col("h") == F.array_min(F.array_intersect("least_leaf", "least_centre")))
-    return pairs.withColumn("apart", apart).where(F.col("apart") <= most_bits(similarity, 64 * LONGS, DEVIATIONS)).where(once).select("leaf", "centre", "apart")
+    near = pairs.where(apart <= most_bits(similarity, 64 * LONGS, DEVIATIONS)).where(may("leaf_bound", "centre_bound")).where(once)
+    return near.select("leaf", "centre", apart.alias("apart"))
+
+
+def ends(links: DataFrame) -> DataFrame:
+    """node: the links' ends."""
+    return links.select(F.explode(F.array("leaf", "centre")).alias("node")).distinct()
 
 
-def link_shingles(links: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """node, h, n: the distinct shingles of the links' ends, one a row, with their number."""
-    ends = links.select(F.explode(F.array("leaf", "centre")).alias("node")).distinct()
-    wanted = nodes.join(ends, "node").select("node", F.col("best.doc_id").alias("__id"), F.col("best.text_md5").alias("__md5"))
+def text_shingles(some: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """node, h, n: the distinct shingles of these nodes' texts, one a row, with their number."""
+    wanted = nodes.join(some, "node").select("node", F.col("best.doc_id").alias("__id"), F.col("best.text_md5").alias("__md5"))
     rows = _narrow(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_md5") == F.col("__md5")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,12 +384,14 @@ def winners_by_similarity(docs: DataFrame, similarity: float = SIMILARITY, width
     found = sketches(docs, width, LONGS, MINIMA).groupBy("sketch").agg(F.min(_rank()).alias("best"), F.min("minima").alias("minima"))
     nodes = stored(found.withColumn("node", F.monotonically_increasing_id()), "distinct-sketches")
     met = meetings(nodes)
-    # groups by links to heads first, then by all pairs that these leave apart
-    member = None
-    for near in (lambda: star_links(*met, similarity), lambda: near_links(nodes, similarity, met=met, member=member)):
-        links = stored(near(), "near-links")
-        each = stored(link_shingles(links, nodes, docs, width), "link-shingles")
-        member = similar_groups(links, each, similarity, 64 * LONGS, member)
+    # groups by links to heads first, then by all pairs that these leave apart and that can be similar by the shingles they share
+    links = stored(star_links(*met, similarity), "near-links")
+    each = stored(text_shingles(ends(links), nodes, docs, width), "link-shingles")
+    member = similar_groups(links, each, similarity, 64 * LONGS)
+    each = stored(text_shingles(unsettled(*met, member), nodes, docs, width), "unsettled-shingles")
+    bounds = stored(shared_bounds(each, similarity), "bounds")
+    links = stored(near_links(nodes, similarity, met=met, member=member, bounds=bounds), "near-links")
+    member = similar_groups(links, each, similarity, 64 * LONGS, member)
     member = member.withColumnRenamed("node", "member")
     named = nodes.join(member, F.col("node") == F.col("member"), "left").select("best", F.coalesce("component", "node").alias("component"))
     return named.groupBy("component").agg(F.min("best").alias("best"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from heritree.llm import simhash
 
@@ -86,7 +87,7 @@ def test_groups_of_many_links_are_those_of_all(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     nodes = docs.selectExpr("doc_id as node", "struct(false as none, doc_id, md5(text) as text_md5) as best")
     links = spark.createDataFrame([(a, b, 50) for a in range(27) for b in range(a)], "leaf long, centre long, apart int")
-    each = simhash.link_shingles(links, nodes, docs, simhash.SIMILAR_WIDTH)
+    each = simhash.text_shingles(simhash.ends(links), nodes, docs, simhash.SIMILAR_WIDTH)
     found = dict(map(tuple, simhash.similar_groups(links, each, simhash.SIMILARITY, 512).collect()))
     assert [found.get(k, k) for k in range(27)] == group and len(set(group)) < 27
 
@@ -121,3 +122,27 @@ def test_pairs_at_the_similarity_are_found(spark):
     assert close > 400 and far > 200 and all(i in kept for i, _ in rows if i % 2 == 0)
     assert found >= 0.92 * close, (found, close)
     assert all(i in kept for i in ids if i // 2 % 3 == 2)
+
+
+def test_bounds_rule_out_no_similar_pair(spark):
+    """A family on one template with all shares of changed words: what the bounds leave has every link, and little else."""
+    r = random.Random(31)
+    template, texts = [f"w{k}" for k in range(140)], []
+    for k in range(160):
+        t = list(template)
+        for at in r.sample(range(140), k % 16):
+            t[at] = f"own{r.randrange(400)}"
+        texts.append(" ".join(t[: r.randrange(110, 141)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = docs.selectExpr("doc_id as node", "struct(false as none, doc_id, md5(text) as text_md5) as best")
+    bounds = simhash.shared_bounds(simhash.text_shingles(nodes.select("node"), nodes, docs, simhash.SIMILAR_WIDTH), simhash.SIMILARITY)
+    own = bounds.selectExpr("node", "struct(n, n_shared, slots as every, slots as any) as bound")
+    a, b = own.toDF("a", "a_bound"), own.toDF("b", "b_bound")
+    left = {(x.a, x.b) for x in a.join(b, a.a > b.b).where(simhash._may_be_similar("a_bound", "b_bound", simhash.SIMILARITY)).collect()}
+    similar = {(x, y) for x in range(160) for y in range(x) if jaccard(texts[x], texts[y]) >= simhash.SIMILARITY}
+    assert similar <= left and len(similar) > 300 and len(left) < 1.3 * len(similar), (len(similar), len(left))
+    # by groups: no group that has an end of a link is ruled out, and single texts are ruled out as before
+    groups = own.selectExpr("node % 40 as g", "bound").groupBy("g").agg(F.struct(F.min("bound.n").alias("n"), F.max("bound.n_shared").alias("n_shared"), *[F.array(*[f(F.col("bound.any")[k]) for k in range(simhash.LONGS)]).alias(c) for c, f in (("every", F.bit_and), ("any", F.bit_or))]).alias("bound"))
+    a, b = groups.toDF("a", "a_bound"), groups.toDF("b", "b_bound")
+    met = {(x.a, x.b) for x in a.join(b, a.a != b.b).where(simhash._may_be_similar("a_bound", "b_bound", simhash.SIMILARITY)).collect()}
+    assert {(x % 40, y % 40) for x, y in similar if x % 40 != y % 40} <= met
