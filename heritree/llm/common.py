@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, shared_dir, stored  # noqa: F401  for the operators
+from ..storage import discard, shared_dir, stored, stored_rows  # noqa: F401  for the operators
 
 ROOT = str(Path(__file__).resolve().parents[2])
 

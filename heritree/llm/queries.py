@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, mixing, pii, quality, sharding, simhash, sql, substrings, token_counts, token_files
+from . import decontamination, licenses, main_text, mixing, pii, quality, sharding, simhash, sql, substrings, token_counts, token_files, vector_codes, whitening
 from .common import read
 
 
@@ -51,10 +51,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(read(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(read(spark, sf_dir, "embeddings"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text_report(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_token_counts, op4_quality, op5_token_files, op6_sharding, op7_personal_data, op8_licenses, op9_substrings, op10_simhash)}
+    every = (
+        op1_decontamination, op2_mixing, op3_token_counts, op4_quality, op5_token_files, op6_sharding, op7_personal_data, op8_licenses, op9_substrings, op10_simhash, op11_whitening, op12_vector_codes,
+        op13_main_text,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    """For op1 and op4. The others have parts that SQL can't express (hashes, models, files, seeded draws); tests hold them against brute force."""
-    return {"op1_decontamination": sql.DECONTAMINATION, "op4_quality": sql.QUALITY}
+    """For op1, op4 and op12. The others have parts that SQL can't express (hashes, models, files, seeded draws); tests hold them against brute force."""
+    return {"op1_decontamination": sql.DECONTAMINATION, "op4_quality": sql.QUALITY, "op12_vector_codes": sql.vector_codes()}

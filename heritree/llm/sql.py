@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from . import decontamination, quality
+from . import decontamination, quality, vector_codes as codes
 
 _SPACE_WORD, _WORD = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = f"translate({{0}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -36,3 +36,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, r AS n_repeat_words,
     AND len(regexp_extract_all(t, '[A-Z]')) <= {quality.MAX_UPPER} * len(regexp_extract_all(t, '[A-Za-z]'))
     AND len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]*\\pL[^\\x20\\x09-\\x0D]*')) >= {quality.MIN_ALPHA} * n_words AS kept
 FROM judged"""
+
+
+def vector_codes(width: int = 4) -> str:
+    """For vectors of codes.PARTS * width numbers."""
+    cuts = ", ".join(f"x[{width} * p + {k + 1}] AS q{k}" for k in range(width))
+    q, v = [f"q{k}" for k in range(width)], [f"v{k}" for k in range(width)]
+    far = " + ".join(f"(q{k} - v{k}) * (q{k} - v{k})" for k in range(width))
+    steps = [
+        "kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS rid, * FROM (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(list_filter(embedding, lambda c: NOT coalesce(isfinite(c), false))) = 0))",
+        f"parts AS MATERIALIZED (SELECT rid, p, {cuts} FROM kept, (SELECT unnest(range({codes.PARTS})) AS p))",
+        f"book0 AS MATERIALIZED (SELECT p, rid AS entry, {', '.join(f'{a} AS {b}' for a, b in zip(q, v))} FROM parts WHERE rid < {codes.ENTRIES})",
+    ]
+    for k in range(codes.ROUNDS + 1):
+        steps.append(f"at{k} AS MATERIALIZED (SELECT rid, p, {', '.join(f'any_value({c}) AS {c}' for c in q)}, arg_min(entry, far * {codes.ENTRIES} + entry) AS entry, min(far) AS far FROM (SELECT *, {far} AS far FROM parts JOIN book{k} USING (p)) GROUP BY rid, p)")
+        if k < codes.ROUNDS:
+            mean = ", ".join(f"CAST(floor(CAST(sum({c}) AS DOUBLE) / count(*)) AS BIGINT) AS m{n}" for n, c in enumerate(q))
+            steps.append(f"mean{k} AS (SELECT p, entry, {mean} FROM at{k} GROUP BY p, entry)")
+            steps.append(f"book{k + 1} AS MATERIALIZED (SELECT p, entry, {', '.join(f'coalesce(m{n}, v{n}) AS v{n}' for n in range(width))} FROM book{k} LEFT JOIN mean{k} USING (p, entry))")
+    last = codes.ROUNDS
+    steps.append(f"hash AS (SELECT sha256(string_agg(concat_ws(',', {', '.join(v)}), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM book{last})")
+    steps.append(f"coded AS (SELECT rid, string_agg(format('{{:02x}}', entry), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM at{last} GROUP BY rid)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (rid), hash"
