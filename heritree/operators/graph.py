@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored, stored_rows
+from . import edge_index
 
 ROW = ["id", "wiki_id", "wiki_numeric_id", "name", "first_name", "middle_name", "last_name_birth", "last_name_current", "suffix", "gender", "birth_date", "death_date", "birth_location", "death_location", "is_living", "father_wiki_id", "mother_wiki_id"]
 MAX_DEPTH, MAX_LIMIT = 10, 500
@@ -54,12 +55,15 @@ def _check(depth: int, limit: int = 1, offset: int = 0, seed: str = "-") -> None
         raise BadRequest(f"depth must be 1 to {MAX_DEPTH}, limit 1 to {MAX_LIMIT}, offset 0 or more")
 
 
-def walk(persons: DataFrame, seed: str, depth: int, up: bool = False) -> DataFrame:
+def walk(persons: DataFrame, seed: str, depth: int, up: bool = False, index: edge_index.EdgeIndex | None = None) -> DataFrame:
     """wiki_id, tree_depth, paths: the recursion's bag, as the number of rows that each person has at each depth.
 
     Counting paths keeps a level as small as the number of its persons, where the bag doubles with every pedigree collapse.
+    With an index of the persons' edges nothing but levels is read or written; without one the edges are written first.
     """
     _check(depth, seed=seed)
+    if index:
+        return edge_index.walk(index, seed, depth, up)
     # one narrow row for each person; a step joins the level with all edges once, and levels are small beside them
     narrow = persons.select("wiki_id", "father_wiki_id", "mother_wiki_id")
     e = edges(narrow).select("child", "parent").distinct()
@@ -94,15 +98,16 @@ def recursive_walk(persons: DataFrame, seed: str, depth: int, up: bool = False)
     )
 
 
-def lineage(persons: DataFrame, seed: str, depth: int = 3, up: bool = False, distinct: bool = False, recursive: bool = False) -> DataFrame:
+def lineage(persons: DataFrame, seed: str, depth: int = 3, up: bool = False, distinct: bool = False, recursive: bool = False, index: edge_index.EdgeIndex | None = None) -> DataFrame:
     """Person columns and tree_depth, a row for each path; distinct: one for each person, at its smallest depth.
 
-    Level by level with path counts; recursive: by Spark's own recursion, which stops at a million rows.
+    Level by level with path counts, by the index of the persons' edges where there is one; recursive: by Spark's own
+    recursion, which stops at a million rows.
     """
     if recursive and not distinct:
         w = recursive_walk(persons, seed, depth, up)
     else:
-        w = walk(persons, seed, depth, up)
+        w = walk(persons, seed, depth, up, index)
         if distinct:
             w = w.groupBy("wiki_id").agg(F.min("tree_depth").alias("tree_depth"))
         else:
@@ -126,8 +131,8 @@ def page(rows: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row
 
 
-def lineage_count(persons: DataFrame, seed: str, depth: int = 3, up: bool = False) -> DataFrame:
-    return walk(persons, seed, depth, up).agg(F.coalesce(F.sum("paths"), F.lit(0)).cast("long").alias("total"))
+def lineage_count(persons: DataFrame, seed: str, depth: int = 3, up: bool = False, index: edge_index.EdgeIndex | None = None) -> DataFrame:
+    return walk(persons, seed, depth, up, index).agg(F.coalesce(F.sum("paths"), F.lit(0)).cast("long").alias("total"))
 
 
 def parents_of(persons: DataFrame, wiki_id: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import geo, graph, ingest, layout, queue, search, spatial
+from ..operators import edge_index, geo, graph, ingest, layout, queue, search, spatial, spatial_index
 from ..sources import fixtures as fx
 from ..sources import profiles
 from ..sources.fixtures import ROOT, key_sql, table, with_fixtures
@@ -46,41 +46,51 @@ _ALL = "SELECT id, wiki_id, name, gender, birth_date, father_wiki_id, mother_wik
 _PAGE = "SELECT id, wiki_id, name, tree_depth, count(*) OVER () AS total FROM walk ORDER BY tree_depth, name NULLS LAST, wiki_id LIMIT 100"
 
 
+def _index(spark: SparkSession, d: str) -> edge_index.EdgeIndex:
+    """The persons' edges, indexed once for all traversals of an application."""
+    return edge_index.kept(spark, d, lambda: fx.persons(spark, d))
+
+
+@published(with_fixtures("edges", """SELECT direction, (SELECT count(*) FROM persons) AS persons, count(*) AS edges, max(n) AS most FROM (SELECT 'down' AS direction, count(*) OVER (PARTITION BY parent) AS n FROM e UNION ALL SELECT 'up', count(*) OVER (PARTITION BY child) FROM e) GROUP BY direction""", more="e AS (SELECT DISTINCT child, parent FROM edges WHERE parent IN (SELECT wiki_id FROM persons))"))
+def edge_index_summary(spark: SparkSession, d: str) -> DataFrame:
+    return edge_index.summary(_index(spark, d))
+
+
 @published(with_fixtures("persons", _ALL, True, _walk_sql(4)))
 def descendants_d4(spark: SparkSession, d: str) -> DataFrame:
-    return graph.descendants(fx.persons(spark, d), ROOT, 4).select(*_COLUMNS)
+    return graph.descendants(fx.persons(spark, d), ROOT, 4, index=_index(spark, d)).select(*_COLUMNS)
 
 
 @published(with_fixtures("persons", _ALL, True, _walk_sql(10)))
 def descendants_d10(spark: SparkSession, d: str) -> DataFrame:
-    return graph.descendants(fx.persons(spark, d), ROOT, 10).select(*_COLUMNS)
+    return graph.descendants(fx.persons(spark, d), ROOT, 10, index=_index(spark, d)).select(*_COLUMNS)
 
 
 @published(with_fixtures("persons", "SELECT id, wiki_id, name, CAST(tree_depth AS INTEGER) AS tree_depth, total FROM (" + _PAGE + ")", True, _walk_sql(4)))
 def descendants_page(spark: SparkSession, d: str) -> DataFrame:
-    return graph.page(graph.descendants(fx.persons(spark, d), ROOT, 4), 100).select("id", "wiki_id", "name", "tree_depth", "total")
+    return graph.page(graph.descendants(fx.persons(spark, d), ROOT, 4, index=_index(spark, d)), 100).select("id", "wiki_id", "name", "tree_depth", "total")
 
 
 @published(with_fixtures("persons", "SELECT count(*) AS total FROM walk", True, _walk_sql(10)))
 def descendants_count(spark: SparkSession, d: str) -> DataFrame:
-    return graph.lineage_count(fx.persons(spark, d), ROOT, 10)
+    return graph.lineage_count(fx.persons(spark, d), ROOT, 10, index=_index(spark, d))
 
 
 @published(with_fixtures("persons", "SELECT wiki_id, CAST(min(tree_depth) AS INTEGER) AS tree_depth FROM walk GROUP BY wiki_id", True, _walk_sql(4)))
 def descendants_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return graph.descendants(fx.persons(spark, d), ROOT, 4, distinct=True).select("wiki_id", "tree_depth")
+    return graph.descendants(fx.persons(spark, d), ROOT, 4, distinct=True, index=_index(spark, d)).select("wiki_id", "tree_depth")
 
 
 @published(with_fixtures("persons", _ALL, True, _walk_sql(4, up=True)))
 def ancestors_d4(spark: SparkSession, d: str) -> DataFrame:
     p = fx.persons(spark, d)
     youngest = p.where("id % 2 = 1").agg(F.max("wiki_id")).first()[0]  # one value, the query's seed
-    return graph.ancestors(p, youngest, 4).select(*_COLUMNS)
+    return graph.ancestors(p, youngest, 4, index=_index(spark, d)).select(*_COLUMNS)
 
 
 @published(with_fixtures("persons", "SELECT count(*) AS n FROM persons WHERE wiki_id = 'nobody'"))
 def unknown_seed(spark: SparkSession, d: str) -> DataFrame:
-    return graph.descendants(fx.persons(spark, d), "nobody", 4).agg(F.count("*").alias("n"))
+    return graph.descendants(fx.persons(spark, d), "nobody", 4, index=_index(spark, d)).agg(F.count("*").alias("n"))
 
 
 @published(with_fixtures("persons", "SELECT p.wiki_id, p.name, f.wiki_id AS father, f.name AS father_name, m.wiki_id AS mother, m.name AS mother_name FROM persons p LEFT JOIN persons f ON p.father_wiki_id = f.wiki_id LEFT JOIN persons m ON p.mother_wiki_id = m.wiki_id WHERE p.wiki_id = 'P-40'"))
@@ -102,13 +112,13 @@ def person_spouses(spark: SparkSession, d: str) -> DataFrame:
 def ancestors_page(spark: SparkSession, d: str) -> DataFrame:
     p = fx.persons(spark, d)
     youngest = p.where("id % 2 = 1").agg(F.max("wiki_id")).first()[0]
-    return graph.page(graph.ancestors(p, youngest, 6), 10, 2).select("id", "wiki_id", "name", "tree_depth", "total")
+    return graph.page(graph.ancestors(p, youngest, 6, index=_index(spark, d)), 10, 2).select("id", "wiki_id", "name", "tree_depth", "total")
 
 
 @published(with_fixtures("persons", "SELECT count(*) AS total FROM walk", True, _walk_sql(10, up=True)))
 def ancestors_count(spark: SparkSession, d: str) -> DataFrame:
     p = fx.persons(spark, d)
-    return graph.lineage_count(p, p.where("id % 2 = 1").agg(F.max("wiki_id")).first()[0], 10, up=True)
+    return graph.lineage_count(p, p.where("id % 2 = 1").agg(F.max("wiki_id")).first()[0], 10, up=True, index=_index(spark, d))
 
 
 @published(with_fixtures("persons", "SELECT p.* EXCLUDE (birth_location_key, generation), 0 AS tree_depth FROM persons p WHERE wiki_id = 'P-0' UNION ALL SELECT p.* EXCLUDE (birth_location_key, generation), 1 FROM persons p WHERE father_wiki_id = 'P-0' OR mother_wiki_id = 'P-0'"))
@@ -467,6 +477,50 @@ def point_query(spark: SparkSession, d: str) -> DataFrame:
     return spatial.point_query(spatial.boxes(_placed(spark, d)[2]), 950, 200).select("wiki_id", "x", "y")
 
 
+#: Boxes of all line items: their price and their ship date.
+_BOXES = "SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_extendedprice AS DOUBLE) AS min_x, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS min_y, CAST(l_extendedprice AS DOUBLE) + 180 AS max_x, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) + 70 AS max_y FROM lineitem"
+_PRICES = (20000.0, 400.0, 21000.0, 500.0)
+_TOUCHED = "min_x <= {2} AND max_x >= {0} AND min_y <= {3} AND max_y >= {1}"
+
+
+def _packed(spark: SparkSession, d: str) -> spatial_index.SpatialIndex:
+    """The line items' boxes, packed once for all windows of an application."""
+
+    def boxed() -> DataFrame:
+        day = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
+        return spatial.boxes(table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").cast("double").alias("x"), day.cast("double").alias("y"))).drop("x", "y")
+
+    return spatial_index.kept(spark, d, boxed, rows=20_000)
+
+
+@published(f"SELECT sum(1) AS boxes, min(min_x) AS min_x, min(min_y) AS min_y, max(max_x) AS max_x, max(max_y) AS max_y FROM ({_BOXES})")
+def packed_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).tiles().agg(F.sum("n").alias("boxes"), F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"))
+
+
+@published(f"SELECT id, min_x, min_y FROM ({_BOXES}) WHERE {_TOUCHED.format(*_PRICES)}")
+def packed_rect_query(spark: SparkSession, d: str) -> DataFrame:
+    return spatial_index.window(_packed(spark, d), *_PRICES).select("id", "min_x", "min_y")
+
+
+@published(f"SELECT id, min_x, min_y FROM ({_BOXES}) WHERE {_TOUCHED.format(30000, 900, 30000, 900)} ORDER BY id LIMIT 1")
+def packed_point_query(spark: SparkSession, d: str) -> DataFrame:
+    return spatial_index.at_point(_packed(spark, d), 30000.0, 900.0, "id").select("id", "min_x", "min_y")
+
+
+@published(f"SELECT id, id = 11 AS is_selected, id % 10 = 1 AND id < 4000 AS is_highlighted FROM ({_BOXES}) WHERE {_TOUCHED.format(*_PRICES)}")
+def packed_visible_nodes(spark: SparkSession, d: str) -> DataFrame:
+    shown = spatial_index.window(_packed(spark, d), *_PRICES)
+    return spatial.flagged(shown, 11, [10 * k + 1 for k in range(400)], key="id").select("id", "is_selected", "is_highlighted")
+
+
+@published(f"SELECT w, id FROM ({_BOXES}) JOIN (SELECT n_nationkey AS w, n_nationkey * 3000.0 AS x1, n_nationkey * 90.0 AS y1 FROM nation) ON min_x <= x1 + 300 AND max_x >= x1 AND min_y <= y1 + 40 AND max_y >= y1")
+def packed_windows(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    asked = table(spark, d, "nation").select(k.alias("w"), (k * 3000.0).alias("x1"), (k * 90.0).alias("y1"), (k * 3000.0 + 300).alias("x2"), (k * 90.0 + 40).alias("y2"))
+    return spatial_index.windows(_packed(spark, d), asked).select("w", "id")
+
+
 @published(with_fixtures("persons edges", f"""SELECT DISTINCT parent || '->' || child AS id, parent AS source, child AS target FROM edges JOIN placed p ON p.wiki_id = parent JOIN placed c ON c.wiki_id = child
     WHERE parent IN (SELECT wiki_id FROM placed WHERE {_INSIDE}) OR child IN (SELECT wiki_id FROM placed WHERE {_INSIDE})""", more=f"{_SPOUSES}, {_PLACED}"))
 def visible_edges(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -20,6 +21,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def kept(spark: SparkSession, kind: str, name: str, build):
+    """What build(path) has made in this application for that kind and name, in shared storage; it is asked the first time only."""
+    key = (spark.sparkContext.applicationId, kind, name)
+    if key not in _KEPT:
+        _KEPT[key] = build(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _KEPT[key]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def write_note(spark: SparkSession, path: str, note: dict) -> None:
+    """A small JSON document, written last: a folder without it isn't whole."""
+    spark.createDataFrame([(json.dumps(note),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_note(spark: SparkSession, path: str) -> dict:
+    if not exists(spark, f"{path}/_SUCCESS"):
+        raise FileNotFoundError(path)
+    return json.loads(spark.read.text(path).first()[0])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table and read again: computed once, whatever becomes of executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
