@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import edge_index, geo, graph, ingest, layout, queue, search, spatial, spatial_index
+from ..operators import edge_index, geo, graph, ingest, layout, ordered_table, queue, search, spatial, spatial_index, substring_index
 from ..sources import fixtures as fx
 from ..sources import profiles
+from ..storage import kept
 from ..sources.fixtures import ROOT, key_sql, table, with_fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +174,53 @@ def search_wildcards(spark: SparkSession, d: str) -> DataFrame:
     return _found(search.search_persons(fx.persons(spark, d), query="l_ne%1"))
 
 
+def _trigrams(spark: SparkSession, d: str) -> substring_index.SubstringIndex:
+    """The persons in order of their names with trigrams, built once for all searches of an application."""
+    return substring_index.kept(spark, d, lambda: fx.persons(spark, d))
+
+
+@published(_search_sql("WHERE " + _NAMES.format("line1")))
+def indexed_search_name(spark: SparkSession, d: str) -> DataFrame:
+    return _found(substring_index.search_persons(_trigrams(spark, d), query="line1"))
+
+
+@published(_search_sql("WHERE " + _PLACES.format("nation_1")))
+def indexed_search_location(spark: SparkSession, d: str) -> DataFrame:
+    return _found(substring_index.search_persons(_trigrams(spark, d), location="nation_1"))
+
+
+@published(_search_sql(f"WHERE ({_NAMES.format('customer')}) AND ({_PLACES.format('region_2')})", 20, 20))
+def indexed_search_both_page2(spark: SparkSession, d: str) -> DataFrame:
+    return _found(substring_index.search_persons(_trigrams(spark, d), query="customer", location="region_2", limit=20, offset=20))
+
+
+@published(_search_sql("WHERE " + _NAMES.format("l_ne%1")))
+def indexed_search_wildcards(spark: SparkSession, d: str) -> DataFrame:
+    return _found(substring_index.search_persons(_trigrams(spark, d), query="l_ne%1"))
+
+
+@published(_search_sql("", 50, 100))
+def indexed_page(spark: SparkSession, d: str) -> DataFrame:
+    return _found(substring_index.search_persons(_trigrams(spark, d), offset=100))
+
+
+def _ordered(spark: SparkSession, d: str) -> ordered_table.OrderedTable:
+    """All orders by customer, kept in that order."""
+    built = kept(spark, "ordered-orders", d, lambda path: ordered_table.build(table(spark, d, "orders").select("o_orderkey", "o_custkey"), path, ("o_custkey", "o_orderkey"), rows=20_000))
+    return ordered_table.open_table(spark, built.path)
+
+
+@published("SELECT o_orderkey, o_custkey, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_custkey NULLS LAST, o_orderkey LIMIT 100 OFFSET 1300")
+def deep_page(spark: SparkSession, d: str) -> DataFrame:
+    return ordered_table.page(_ordered(spark, d), 100, 1300)
+
+
+@published("SELECT o_orderkey, o_custkey, (SELECT count(*) FROM orders) AS total FROM orders WHERE o_custkey > 77 OR o_custkey = 77 AND o_orderkey > 500 ORDER BY o_custkey NULLS LAST, o_orderkey LIMIT 100")
+def page_after_token(spark: SparkSession, d: str) -> DataFrame:
+    t = _ordered(spark, d)
+    return ordered_table.page_after(t, 100, ordered_table.token({"o_custkey": 77, "o_orderkey": 500}, t.keys))
+
+
 @published(with_fixtures("persons relationships", "SELECT (SELECT count(*) FROM persons) AS persons, (SELECT count(*) FROM relationships) AS relationships"))
 def stats(spark: SparkSession, d: str) -> DataFrame:
     return search.stats(fx.persons(spark, d), fx.relationships(spark, d))
