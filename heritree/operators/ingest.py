@@ -6,11 +6,12 @@ writes the result to a new version and swaps (see sources.snapshots).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import extract_ids, parent_id
 from ..functions.text import SPACE, full_name, location_key
+from ..storage import stored_rows
 from .queue import first_wins
 
 #: Columns that an upsert never sets.
@@ -49,11 +50,11 @@ def profiles(raw: DataFrame, json: str = "json") -> DataFrame:
 def legacy_persons(imported: DataFrame) -> DataFrame:
     """Person columns from a progress document's persons (wiki_id, json), with their generation.
 
-    Parents are taken by truth: null, "", 0 and false are none, but the text "0" is kept. Other empty texts stay.
+    Parents are taken by truth: null, "", 0 and false are none, but the texts "0" and "false" are kept. Other empty texts stay.
     """
     v = F.try_parse_json("json")
     get = lambda f, kind="string": F.try_variant_get(v, f"$.{f}", kind)
-    parent = lambda f: F.when(~(get(f).isin("", "false") | ((get(f) == "0") & (F.schema_of_variant(get(f, "variant")) != "STRING"))), get(f))
+    parent = lambda f: F.when(~((get(f) == "") | (get(f).isin("0", "false") & (F.schema_of_variant(get(f, "variant")) != "STRING"))), get(f))
     same = ("name", *FIELDS.values())
     return imported.select(
         "wiki_id", get("id", "int").alias("wiki_numeric_id"), *[get(c).alias(c) for c in same],
@@ -62,31 +63,57 @@ def legacy_persons(imported: DataFrame) -> DataFrame:
     )
 
 
-def upsert(target: DataFrame, source: DataFrame, key: str = "wiki_id", seq: str = "seq", carried: tuple[str, ...] = CARRIED, merge: str = "overwrite") -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, key: str = "wiki_id", seq: str = "seq", carried: tuple[str, ...] = CARRIED, merge: str = "overwrite", now: Column | None = None) -> DataFrame:
     """target after upserts of source in order of seq: the last row of a key wins, and `carried` columns keep the target's values.
 
     merge: "overwrite" takes the last row as it is, nulls too; "coalesce" takes the last non-null value of each column.
-    Columns that the source lacks keep the target's values.
+    Columns that the source lacks keep the target's values, but for updated_at, which is `now` (the current time) in all rows
+    that are set, and created_at, which is so in new ones. `numbered` gives new rows their ids.
     """
-    given = [c for c in target.columns if c in source.columns and c not in (key, *carried)]
+    now = F.current_timestamp() if now is None else now
+    given = [c for c in target.columns if c in source.columns and c not in (key, *carried, "updated_at")]
     last = (lambda c: F.max_by(c, seq)) if merge == "overwrite" else (lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))))
     new = source.groupBy(key).agg(*[last(c).alias(f"__{c}") for c in given], F.lit(True).alias("__set"))
-    joined = target.join(new, key, "full")
+    joined = target.withColumn("__there", F.lit(True)).join(new, key, "full")
+    stamps = {"updated_at": F.when(F.col("__set"), now).otherwise(F.col("updated_at")) if "updated_at" in target.columns else None, "created_at": F.when(F.col("__there").isNull(), now).otherwise(F.col("created_at")) if "created_at" in target.columns else None}
     pick = lambda c: F.when(F.col("__set").isNull(), F.col(c)).otherwise(F.col(f"__{c}") if merge == "overwrite" else F.coalesce(f"__{c}", c))
-    return joined.select(*[pick(c).alias(c) if c in given else F.col(c) for c in target.columns])
+    return joined.select(*[pick(c).alias(c) if c in given else stamps[c].alias(c) if c in stamps else F.col(c) for c in target.columns])
+
+
+def numbered(rows: DataFrame, column: str, last: int, order: list[str]) -> DataFrame:
+    """rows with numbers after `last`, without gaps, in the order of `order` where `column` is null; `order`'s helpers that begin with two underscores go.
+
+    The numbers are a part's start and the place in it, so no task sees more than its range of the new rows.
+    """
+    kept = [c for c in rows.columns if not c.startswith("__")]
+    old, new = rows.where(F.col(column).isNotNull()).select(*kept), rows.where(F.col(column).isNull())
+    placed, n = stored_rows(new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    if not n:
+        return old
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))  # a row a task
+    at = F.lit(last + 1) + F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)
+    done = placed.join(F.broadcast(starts), part == F.col("__part")).withColumn(column, at.cast(rows.schema[column].dataType))
+    return old.unionByName(done.select(*kept))
 
 
 def insert_ignore_locations(locations: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of batch (raw_location, location_key, seq, ...) that the table takes: neither the raw text nor a non-null key may be there already.
 
-    Within the batch rows come in order of seq: the first of each raw text stays, then the first of each key. That equals
-    inserting one by one as long as equal raw texts have equal keys, which holds as the key is a function of the text.
+    Rows that the table has the text or the key of go first, whatever else the batch has; of the others, in order of seq,
+    the first of each raw text stays, then the first of each key. That equals inserting one by one as long as equal raw
+    texts of a batch have equal keys, which holds as the key is a function of the text.
     """
-    new = first_wins(batch, ["raw_location"])
+    return not_there(locations, locations, batch)
+
+
+def not_there(raws: DataFrame, keys: DataFrame, batch: DataFrame) -> DataFrame:
+    """The same with the texts and keys that are there as two tables, raw_location and location_key."""
+    new = batch.join(raws.select("raw_location"), "raw_location", "left_anti").join(keys.select("location_key"), "location_key", "left_anti")
+    new = first_wins(new.select(*batch.columns), ["raw_location"])
     keyed, bare = new.where("location_key is not null"), new.where("location_key is null")
-    kept = first_wins(keyed, ["location_key"]).select(*new.columns).unionByName(bare)
-    kept = kept.join(locations.select("raw_location"), "raw_location", "left_anti")
-    return kept.join(locations.select("location_key"), "location_key", "left_anti").select(*batch.columns)
+    return first_wins(keyed, ["location_key"]).select(*batch.columns).unionByName(bare.select(*batch.columns))
 
 
 def distinct_locations(persons: DataFrame) -> DataFrame:

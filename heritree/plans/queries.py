@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import edge_index, geo, graph, ingest, layout, ordered_table, queue, search, spatial, spatial_index, substring_index
+from ..operators import edge_index, geo, graph, ingest, layout, ordered_table, queue, search, spatial, spatial_index, substring_index, versioned_table
 from ..sources import fixtures as fx
 from ..sources import profiles
 from ..storage import kept
@@ -694,6 +694,38 @@ def upsert_sparse(spark: SparkSession, d: str) -> DataFrame:
     return ingest.upsert(fx.persons(spark, d), _source(spark, d), merge="coalesce").select("id", "wiki_id", "name", "suffix")
 
 
+_NOW = "2024-05-06 07:08:09"
+
+
+@published(with_fixtures("persons", f"""SELECT coalesce(p.id, CAST((SELECT max(id) FROM persons) + row_number() OVER (PARTITION BY p.id IS NULL ORDER BY n.first) AS INTEGER)) AS id, wiki_id, CASE WHEN n.wiki_id IS NULL THEN p.name ELSE n.name END AS name, CASE WHEN n.wiki_id IS NULL THEN p.suffix ELSE n.suffix END AS suffix, p.generation, CASE WHEN n.wiki_id IS NULL THEN '' ELSE '{_NOW}' END AS updated_at
+    FROM persons p FULL JOIN (SELECT *, min(seq) OVER (PARTITION BY wiki_id) AS first FROM source QUALIFY row_number() OVER (PARTITION BY wiki_id ORDER BY seq DESC) = 1) n USING (wiki_id)""", more="source AS (SELECT 'P-' || (o_custkey + 20) AS wiki_id, o_orderkey AS seq, o_orderpriority AS name, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS suffix FROM orders)"))
+def versioned_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Persons kept as a versioned table, upserted by key: twenty persons are new."""
+    base = kept(spark, "versioned-persons", d, lambda path: versioned_table.create(fx.persons(spark, d).withColumn("updated_at", F.lit(None).cast("timestamp")), path, "wiki_id", buckets=8))
+    source = table(spark, d, "orders").select(F.concat(F.lit("P-"), (F.col("o_custkey") + 20).cast("string")).alias("wiki_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("suffix"))
+    after = versioned_table.upsert(versioned_table.open_table(spark, base.path), source, now=F.lit(_NOW).cast("timestamp"))
+    return after.rows().select("id", "wiki_id", "name", "suffix", "generation", F.coalesce(F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("updated_at"))
+
+
+@published(with_fixtures("crawl_queue", f"SELECT wiki_id, priority, status FROM crawl_queue UNION ALL SELECT wiki_id, arg_min(priority, seq), 'pending' FROM ({_BATCH}) WHERE wiki_id NOT IN (SELECT wiki_id FROM crawl_queue) GROUP BY wiki_id"))
+def versioned_enqueue(spark: SparkSession, d: str) -> DataFrame:
+    """The queue kept as a versioned table, with all orders' customers enqueued: known ids are ignored."""
+    base = kept(spark, "versioned-queue", d, lambda path: versioned_table.create(fx.crawl_queue(spark, d), path, "wiki_id", buckets=8))
+    after, _ = versioned_table.insert_ignore(versioned_table.open_table(spark, base.path), _batch(spark, d).withColumn("status", F.lit("pending")))
+    return after.rows().select("wiki_id", "priority", "status")
+
+
+@published(with_fixtures("persons", """SELECT raw AS raw_location, key AS location_key FROM (SELECT n_name AS raw, CASE WHEN n_nationkey % 3 > 0 THEN lower(n_name) END AS key, n_nationkey * 2 AS seq FROM nation UNION ALL SELECT lower(n_name), lower(n_name), n_nationkey * 2 + 1 FROM nation)
+    WHERE raw NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) QUALIFY key IS NULL OR row_number() OVER (PARTITION BY key ORDER BY seq) = 1"""))
+def insert_ignore_null_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Locations whose text is there without a key: another spelling of the key is still taken."""
+    n = F.col("n_nationkey")
+    nation = table(spark, d, "nation")
+    there = nation.where(n % 2 == 0).select(F.col("n_name").alias("raw_location"), F.lit(None).cast("string").alias("location_key"))
+    asked = nation.select(F.col("n_name").alias("raw_location"), F.when(n % 3 > 0, F.lower("n_name")).alias("location_key"), (n * 2).alias("seq")).unionByName(nation.select(F.lower("n_name").alias("raw_location"), F.lower("n_name").alias("location_key"), (n * 2 + 1).alias("seq")))
+    return ingest.insert_ignore_locations(there, asked).select("raw_location", "location_key")
+
+
 @published(with_fixtures("persons locations", """SELECT raw_location, location_key FROM (SELECT birth_location AS raw_location, birth_location_key AS location_key, min(id) AS seq FROM persons WHERE birth_location IS NOT NULL GROUP BY 1, 2)
     WHERE raw_location NOT IN (SELECT raw_location FROM half) AND location_key NOT IN (SELECT location_key FROM half) QUALIFY row_number() OVER (PARTITION BY location_key ORDER BY seq) = 1""", more="half AS (SELECT * FROM locations WHERE id % 2 = 0)"))
 def insert_ignore_location(spark: SparkSession, d: str) -> DataFrame:
