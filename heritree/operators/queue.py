@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored, stored_rows
+
 STATUSES = ("pending", "processing", "completed", "error")
 SPOUSE, CHILD, PARENT = 1, 0, 2
 
@@ -84,17 +86,43 @@ def import_queue(entries: DataFrame, visited: DataFrame) -> DataFrame:
     return todo.unionByName(visited.select("wiki_id").distinct().withColumn("status", F.lit("completed")))
 
 
-def closure(links: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """All ids that crawling reaches from the seeds over links (source, target): frontier by frontier until none is new."""
-    from ..storage import stored
+def closure(links: DataFrame, seeds: DataFrame, max_rounds: int | None = None, expected: int = 1_000_000) -> DataFrame:
+    """All ids that crawling reaches from the seeds over links (source, target), within max_rounds steps if given.
 
-    seen = frontier = stored(seeds.select("wiki_id").distinct(), "closure")
+    Semi-naive: a round follows the last one's new ids only, and adds them as a part of its own; what was found before is
+    never written again. A Bloom filter of the ids found so far (for `expected` of them; beyond that it only passes more)
+    lets new ids by at once; the others are held against all parts exactly.
+    """
+    found = frontier = stored(seeds.select("wiki_id").where("wiki_id is not null").distinct(), "closure")
     rounds = 0
     while not frontier.isEmpty() and rounds != max_rounds:
-        new = links.join(frontier, links["source"] == frontier["wiki_id"], "left_semi").select(F.col("target").alias("wiki_id")).distinct().join(seen, "wiki_id", "left_anti")
-        frontier = stored(new, "frontier")
-        seen, rounds = stored(seen.unionByName(frontier), "closure"), rounds + 1
-    return seen
+        reached = links.join(frontier, links["source"] == frontier["wiki_id"], "left_semi").select(F.col("target").alias("wiki_id")).where("wiki_id is not null").distinct()
+        new, perhaps = _sifted(reached, found, expected)
+        known = found.join(perhaps, "wiki_id", "left_semi")
+        frontier, n = stored_rows(new.unionByName(perhaps.join(known, "wiki_id", "left_anti")), "closure")
+        rounds += 1
+        if n:
+            found = found.unionByName(frontier)
+    return found
+
+
+_BITS = 1 << 15  # of a bitmap
+_BITS_AN_ID = 16
+
+
+def _sifted(reached: DataFrame, found: DataFrame, expected: int) -> tuple[DataFrame, DataFrame]:
+    """reached parted into ids that a Bloom filter of found doesn't know, which are new, and those that it may know.
+
+    The filter is a few bitmaps by ranges of the ids' hashes; found is read for it and not shuffled.
+    """
+    bitmaps = max(1, expected * _BITS_AN_ID // _BITS)
+    place = F.pmod(F.xxhash64("wiki_id"), F.lit(bitmaps * _BITS))
+    at = {"range": F.floor(place / _BITS), "bit": (place % _BITS).cast("long")}
+    held = found.select(*[c.alias(n) for n, c in at.items()]).groupBy("range").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    octet = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = F.coalesce(F.getbit(octet, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))
+    marked = reached.select("wiki_id", *[c.alias(n) for n, c in at.items()]).join(held, "range", "left").select("wiki_id", known.alias("known"))
+    return marked.where("not known").select("wiki_id"), marked.where("known").select("wiki_id")
 
 
 def ranked(queue: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "status string, priority int, retry_count int, error_message string"
@@ -36,8 +37,6 @@ def queue_state(events: DataFrame) -> DataFrame:
 
 def latest(updates: DataFrame) -> DataFrame:
     """Of updates (with batch numbers) the last for each id."""
-    from pyspark.sql import functions as F
-
     rest = [c for c in updates.columns if c != "wiki_id"]
     return updates.groupBy("wiki_id").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("wiki_id", "r.*")
 
@@ -46,14 +45,15 @@ def run_crawl(items: DataFrame, handle: Callable[[DataFrame], DataFrame], result
     """Streams items through handle in micro-batches; rows that handle marks with `error` are kept beside the others.
 
     A batch is written under its number, so a batch that is run again after a failure replaces itself. Stopping between
-    batches loses nothing: the checkpoint knows what is done.
+    batches loses nothing: the checkpoint knows what is done. on_batch gets a batch's number and rows, counted as they are
+    written; `leased_queue.Progress` counts by a listener.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        out = handle(batch)
-        out.write.mode("overwrite").parquet(f"{results}/batch={number}")
+        seen = Observation()
+        handle(batch).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{results}/batch={number}")
         if on_batch:
-            on_batch(number, batch.sparkSession.read.parquet(f"{results}/batch={number}").count())
+            on_batch(number, seen.get["n"])
 
     writer = items.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
