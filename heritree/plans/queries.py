@@ -29,6 +29,9 @@ def published(sql: str | None = None):
     return add
 
 
+_NAMES = " OR ".join(f"{c} ILIKE '%{{0}}%' ESCAPE '\\'" for c in search.NAME_COLUMNS)
+_PLACES = " OR ".join(f"{c} ILIKE '%{{0}}%' ESCAPE '\\'" for c in search.LOCATION_COLUMNS)
+
 # --- traversals ------------------------------------------------------------------------------------------------------
 
 _PERSON = "p.id, p.wiki_id, p.name, p.gender, p.birth_date, p.father_wiki_id, p.mother_wiki_id"
@@ -94,6 +97,45 @@ def unknown_seed(spark: SparkSession, d: str) -> DataFrame:
     return graph.descendants(fx.persons(spark, d), "nobody", 4, index=_index(spark, d)).agg(F.count("*").alias("n"))
 
 
+def _session(spark: SparkSession, d: str) -> None:
+    """The session's SQL functions over these tables."""
+    from .. import sql
+
+    sql.register(spark, fx.persons(spark, d), fx.relationships(spark, d), _index(spark, d))
+    sql.register_scalars(spark, "h_")
+
+
+@published(with_fixtures("persons", _ALL, True, _walk_sql(4)))
+def sql_descendants(spark: SparkSession, d: str) -> DataFrame:
+    _session(spark, d)
+    return spark.sql(f"SELECT {', '.join(_COLUMNS)} FROM descendants('{ROOT}', 4)")
+
+
+@published(with_fixtures("persons", _ALL, True, _walk_sql(4, up=True)))
+def sql_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    _session(spark, d)
+    youngest = spark.sql("SELECT max(wiki_id) FROM persons WHERE id % 2 = 1").first()[0]
+    return spark.sql(f"SELECT {', '.join(_COLUMNS)} FROM ancestors(:seed, 4)", args={"seed": youngest})
+
+
+@published(with_fixtures("persons relationships", "SELECT 'child' AS kind, id, wiki_id, name FROM persons WHERE father_wiki_id = 'P-2' OR mother_wiki_id = 'P-2' UNION ALL SELECT 'spouse', id, wiki_id, name FROM persons WHERE id IN (SELECT related_person_id FROM relationships WHERE relationship_type = 'spouse' AND person_id = 1) UNION ALL SELECT 'parent', p.id, p.wiki_id, p.name FROM persons p JOIN persons c ON p.wiki_id IN (c.father_wiki_id, c.mother_wiki_id) WHERE c.wiki_id = 'P-40'"))
+def sql_relatives(spark: SparkSession, d: str) -> DataFrame:
+    _session(spark, d)
+    return spark.sql("SELECT 'child' AS kind, id, wiki_id, name FROM children_of('P-2') UNION ALL SELECT 'spouse', id, wiki_id, name FROM spouses_of('P-0') UNION ALL SELECT 'parent', id, wiki_id, name FROM parents_of('P-40')")
+
+
+@published(with_fixtures("persons", f"SELECT id, wiki_id, name FROM persons WHERE ({_NAMES.format('line1')}) AND ({_PLACES.format('nation')})"))
+def sql_search(spark: SparkSession, d: str) -> DataFrame:
+    _session(spark, d)
+    return spark.sql("SELECT id, wiki_id, name FROM search_persons('line1', 'nation')")
+
+
+@published(with_fixtures("persons", f"SELECT wiki_id, CAST(nullif(regexp_extract(birth_date, '([0-9]{{4}})', 1), '') AS INTEGER) AS birth_year, {key_sql('birth_location')} AS location_key, CASE gender WHEN 'Male' THEN 'M' WHEN 'Female' THEN 'F' ELSE 'U' END AS gender, coalesce(nullif(name, ''), wiki_id) AS shown FROM persons"))
+def sql_scalars(spark: SparkSession, d: str) -> DataFrame:
+    _session(spark, d)
+    return spark.sql("SELECT wiki_id, h_parse_year(birth_date) AS birth_year, h_location_key(birth_location) AS location_key, h_gender_code(gender) AS gender, h_display_name(name, NULL, NULL, NULL, wiki_id) AS shown FROM persons")
+
+
 @published(with_fixtures("persons", "SELECT p.wiki_id, p.name, f.wiki_id AS father, f.name AS father_name, m.wiki_id AS mother, m.name AS mother_name FROM persons p LEFT JOIN persons f ON p.father_wiki_id = f.wiki_id LEFT JOIN persons m ON p.mother_wiki_id = m.wiki_id WHERE p.wiki_id = 'P-40'"))
 def person_parents(spark: SparkSession, d: str) -> DataFrame:
     return graph.parents_of(fx.persons(spark, d), "P-40").select("wiki_id", "name", F.col("father.wiki_id").alias("father"), F.col("father.name").alias("father_name"), F.col("mother.wiki_id").alias("mother"), F.col("mother.name").alias("mother_name"))
@@ -137,9 +179,6 @@ def get_person(spark: SparkSession, d: str) -> DataFrame:
 
 # --- search, counts --------------------------------------------------------------------------------------------------
 
-_NAMES = " OR ".join(f"{c} ILIKE '%{{0}}%' ESCAPE '\\'" for c in search.NAME_COLUMNS)
-_PLACES = " OR ".join(f"{c} ILIKE '%{{0}}%' ESCAPE '\\'" for c in search.LOCATION_COLUMNS)
-
 
 def _search_sql(where: str, limit: int = 50, offset: int = 0) -> str:
     return with_fixtures("persons", f"SELECT id, wiki_id, name, birth_location, count(*) OVER () AS total FROM persons {where} ORDER BY name NULLS LAST, wiki_id LIMIT {limit} OFFSET {offset}")
@@ -773,6 +812,12 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     return delete_persons(p, fx.relationships(spark, d), p.where("id % 10 = 3"))[1]
 
 
+@published(with_fixtures("persons edges", "SELECT DISTINCT wiki_id FROM reach", True, "reach AS (SELECT 'P-0' AS wiki_id, 0 AS d UNION SELECT child, d + 1 FROM edges JOIN reach ON parent = wiki_id WHERE d < 3)"))
+def crawl_closure_rounds(spark: SparkSession, d: str) -> DataFrame:
+    links = graph.edges(fx.persons(spark, d)).select(F.col("parent").alias("source"), F.col("child").alias("target"))
+    return queue.closure(links, spark.range(1).select(F.lit(ROOT).alias("wiki_id")), max_rounds=3)
+
+
 @published(with_fixtures("persons edges", "SELECT wiki_id FROM reach", True, "reach AS (SELECT 'P-0' AS wiki_id UNION SELECT child FROM edges JOIN reach ON parent = wiki_id)"))
 def crawl_closure(spark: SparkSession, d: str) -> DataFrame:
     p = fx.persons(spark, d)
