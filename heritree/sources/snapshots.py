@@ -1,7 +1,9 @@
 """Snapshots of tables: export, timestamped backups, listing, safe restore, a cache that follows versions.
 
 A snapshot is a folder with a Parquet table each and a manifest, written last, so that a folder without one is not a
-snapshot. All files go through Spark and its file systems.
+snapshot. The manifest has each table's rows and checksums: sums of the rows' hashes by bucket, which don't depend on their
+order or files. Restoring compares them with what it has written, so a lost, doubled or changed row is found. All files go
+through Spark and its file systems.
 """
 
 from __future__ import annotations
@@ -10,7 +12,8 @@ import json
 import re
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 PREFIX = "backup-"
 _NAME = re.compile(re.escape(PREFIX) + r"(\d{4}-\d\d-\d\dT\d\d-\d\d-\d\d)$")
@@ -27,15 +30,42 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+BUCKETS = 16
+_MODULUS = 1 << 64
+
+
+class Damaged(ValueError):
+    """A table isn't what its snapshot's manifest says."""
+
+
+def _sums(df: DataFrame) -> list[Column]:
+    """Aggregates: the rows, and for each bucket of rows the sum of their hashes."""
+    flat = [F.to_json(f"`{c}`", {"ignoreNullFields": "false"}) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
+    # a null leaves a hash as it is: what is null is hashed too
+    h = F.xxhash64(*flat, F.concat(F.lit(""), *[F.when(c.isNull(), "0").otherwise("1") for c in flat]))
+    other = F.xxhash64(F.lit(1), h, *flat)
+    return [F.count(F.lit(1)).alias("rows"), *[F.sum(F.when(F.pmod(other, F.lit(BUCKETS)) == k, h.cast("decimal(38,0)"))).alias(f"b{k}") for k in range(BUCKETS)]]
+
+
+def _summed(found: dict) -> tuple[int, list[str]]:
+    return found["rows"], [f"{int(found[f'b{k}'] or 0) % _MODULUS:016x}" for k in range(BUCKETS)]
+
+
+def checksums(df: DataFrame) -> tuple[int, list[str]]:
+    """Rows of df, and its checksums in hexadecimal, one a bucket: equal for equal bags of rows, in whatever order or files."""
+    return _summed(df.agg(*_sums(df)).first().asDict())
+
+
 def export(tables: dict[str, DataFrame], path: str) -> dict:
-    """Writes the tables and returns the manifest: rows of each and the size in bytes."""
+    """Writes the tables and returns the manifest: rows and checksums of each, as they were written, and the size in bytes."""
     spark = next(iter(tables.values())).sparkSession
-    rows = {}
+    rows, sums = {}, {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        rows[name] = spark.read.parquet(f"{path}/{name}").count()
+        seen = Observation()
+        df.observe(seen, *_sums(df)).write.mode("overwrite").parquet(f"{path}/{name}")
+        rows[name], sums[name] = _summed(seen.get)
     fs, p = _fs(spark, path)
-    manifest = {"path": path, "rows": rows, "bytes": fs.getContentSummary(p).getLength(), "version": datetime.now(UTC).isoformat()}
+    manifest = {"path": path, "rows": rows, "checksums": sums, "bytes": fs.getContentSummary(p).getLength(), "version": datetime.now(UTC).isoformat()}
     spark.range(1).selectExpr(f"'{json.dumps(manifest)}' AS value").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return manifest
 
@@ -69,6 +99,17 @@ def backups(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     return sorted(found, reverse=True)
 
 
+def verify(spark: SparkSession, found: dict, name: str, path: str) -> int:
+    """Rows of the table at path; Damaged if it isn't the manifest's. Snapshots of older versions have counts only."""
+    n, sums = checksums(spark.read.parquet(path))
+    if n != found["rows"][name]:
+        raise Damaged(f"{name}: {n} rows, the manifest has {found['rows'][name]}")
+    wanted = found.get("checksums", {}).get(name, sums)
+    if sums != wanted:
+        raise Damaged(f"{name}: rows of {sum(a != b for a, b in zip(sums, wanted))} of {BUCKETS} buckets differ from the manifest")
+    return n
+
+
 def restore(spark: SparkSession, source: str, target: str) -> dict[str, int]:
     """target becomes a copy of the snapshot: checked first, written beside it, then swapped. The old one goes last."""
     found = manifest(spark, source)
@@ -78,9 +119,7 @@ def restore(spark: SparkSession, source: str, target: str) -> dict[str, int]:
     counts = {}
     for name, rows in found["rows"].items():
         spark.read.parquet(f"{source}/{name}").write.mode("overwrite").parquet(f"{new}/{name}")
-        counts[name] = spark.read.parquet(f"{new}/{name}").count()
-        if counts[name] != rows:
-            raise ValueError(f"{name}: {counts[name]} rows, the manifest has {rows}")
+        counts[name] = verify(spark, found, name, f"{new}/{name}")
     fs, t = _fs(spark, target)
     path = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
     fs.delete(path(old), True)
