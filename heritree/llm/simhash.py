@@ -190,11 +190,11 @@ def most_bits(similarity: float, bits: int, deviations: float = 2) -> int:
 
 
 def meetings(nodes: DataFrame, tables: int = TABLES, bits: int = PART_BITS) -> tuple[DataFrame, DataFrame]:
-    """Texts by parts (node, h, sketch, minima, part) and parts that meet (h, low, high; low = high where several texts have it).
+    """Texts by parts (node, h, sketch, minima, part) and parts that meet (h, variant, all: the parts that meet on that value; a part alone, where several texts have it, under a null).
 
     A text with a partner of that similarity shares one of its least shingles with it (all but 0.2 ** 3 of such pairs),
     so balls are emitted for each least shingle that texts share, and parts only meet where they share it: strangers,
-    however many, don't. All pairs of parts that meet on a value (at most bits + 1 by geometry) are made.
+    however many, don't. At most bits + 1 parts meet on a value, by geometry.
     """
     one = lambda x: F.lit(x).cast("long")
     masks = F.array(*map(one, [0, *(1 << k for k in range(bits))]))
@@ -210,10 +210,9 @@ def meetings(nodes: DataFrame, tables: int = TABLES, bits: int = PART_BITS) -> t
     met = stored(variants.groupBy("h", "variant").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("n > 1"), "met-parts")
     # the members of larger groups lie in the ball of the value that they met on
     many = spread(met.where("n > 2").select("h", "variant"), "h", "variant", times=bits + 1).select("h", "variant", around("variant").alias("part")).join(sizes.select("h", "part"), ["h", "part"])
-    many = many.groupBy("h", "variant").agg(F.collect_list("part").alias("all"))
-    every = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: y > x), lambda y: F.struct(x.alias("low"), y.alias("high")))))
-    close = met.where("n = 2").select("h", "low", "high").unionByName(many.select("h", F.inline(every))).distinct()
-    return parts, stored(close.unionByName(sizes.where("n > 1").select("h", F.col("part").alias("low"), F.col("part").alias("high"))), "close-parts")
+    groups = met.where("n = 2").select("h", "variant", F.array("low", "high").alias("all")).unionByName(many.groupBy("h", "variant").agg(F.array_sort(F.collect_list("part")).alias("all")))
+    alone = sizes.where("n > 1").select("h", F.lit(None).cast("long").alias("variant"), F.array("part").alias("all"))
+    return parts, stored(groups.unionByName(alone), "close-parts")
 
 
 def _differ(leaf: str, centre: str) -> list[Column]:
@@ -221,38 +220,48 @@ def _differ(leaf: str, centre: str) -> list[Column]:
 
 
 def star_links(parts: DataFrame, close: DataFrame, similarity: float) -> DataFrame:
-    """Links (leaf, centre, apart) of each part's texts to one of them, its head, and between heads of parts that meet.
+    """Links (leaf, centre, apart) of each part's texts to one of them, its head, and of the heads of parts that meet on a value to the least part's.
 
     As many as there are texts and meetings. Heads are drawn by part, so that one odd text isn't the head of all.
     """
     heads = parts.groupBy("h", "part").agg(F.min(F.struct(F.xxhash64("node", "h", "part").alias("order"), "node", "sketch")).alias("head"))
     heads = stored(heads.select("h", "part", "head.node", "head.sketch"), "heads")
     head = lambda c, end: heads.select("h", F.col("part").alias(c), F.col("node").alias(end), F.col("sketch").alias(f"of_{end}"))
-    several = close.where("low = high").select("h", F.col("low").alias("part")).join(head("part", "centre"), ["h", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    several = close.where("variant is null").select("h", F.col("all")[0].alias("part")).join(head("part", "centre"), ["h", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     texts = parts.select("h", "part", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int").alias("salt"), F.col("node").alias("leaf"), F.col("sketch").alias("of_leaf"))
     found = texts.join(several, ["h", "part", "salt"]).select("leaf", "centre", "of_leaf", "of_centre")
-    found = found.unionByName(close.where("low <> high").join(head("low", "leaf"), ["h", "low"]).join(head("high", "centre"), ["h", "high"]).select("leaf", "centre", "of_leaf", "of_centre"))
+    stars = close.where("variant is not null").select("h", F.col("all")[0].alias("low"), F.explode(F.slice("all", 2, F.size("all"))).alias("high")).distinct()
+    found = found.unionByName(stars.join(head("low", "leaf"), ["h", "low"]).join(head("high", "centre"), ["h", "high"]).select("leaf", "centre", "of_leaf", "of_centre"))
     apart = reduce(Column.__add__, map(F.bit_count, _differ("of_leaf", "of_centre")))
     near = found.where("leaf <> centre").select(F.greatest("leaf", "centre").alias("leaf"), F.least("leaf", "centre").alias("centre"), apart.alias("apart"))
     return near.where(F.col("apart") <= most_bits(similarity, 64 * LONGS, DEVIATIONS)).distinct()
 
 
 def _grouped(parts: DataFrame, close: DataFrame, member: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """parts with each text's group (of member; else itself), and the meeting parts whose texts aren't all of one group."""
+    """parts with each text's group (of member; else itself), and the meetings whose texts aren't all of one group, their parts with the least and the greatest group of their texts (h, variant, all: part, a, b)."""
     parts = parts.withColumn("group", F.col("node")) if member is None else parts.join(member, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     ends = parts.groupBy("h", "part").agg(F.min("group").alias("a"), F.max("group").alias("b"))
-    for c in ("low", "high"):
-        close = close.join(ends.select("h", F.col("part").alias(c), F.col("a").alias(f"a_{c}"), F.col("b").alias(f"b_{c}")), ["h", c])
-    return parts, close.where("least(a_low, a_high) <> greatest(b_low, b_high)").select("h", "low", "high")
+    each = close.select("h", "variant", F.explode("all").alias("part")).join(ends, ["h", "part"])
+    alone = each.where("variant is null and a <> b").select("h", "variant", F.array(F.struct("part", "a", "b")).alias("all"))
+    met = each.where("variant is not null").groupBy("h", "variant").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.collect_list(F.struct("part", "a", "b")).alias("all"))
+    return parts, met.where("a <> b").select("h", "variant", "all").unionByName(alone)
 
 
 def unsettled(parts: DataFrame, close: DataFrame, member: DataFrame | None) -> DataFrame:
     """node: the texts that meet another one outside their group."""
     parts, close = _grouped(parts, close, member)
-    met = close.select("h", F.explode(F.array("low", "high")).alias("part")).distinct()
+    met = close.select("h", F.explode("all.part").alias("part")).distinct()
     return parts.join(met, ["h", "part"], "left_semi").select("node").distinct()
 
 
+def _pairs(close: DataFrame) -> DataFrame:
+    """h, low, high: each pair of parts that meet and whose texts aren't all of one group; a part alone with itself."""
+    apart = lambda x, y: F.least(x["a"], y["a"]) != F.greatest(x["b"], y["b"])
+    both = lambda x: F.transform(F.filter("all", lambda y: (y["part"] > x["part"]) & apart(x, y)), lambda y: F.struct(x["part"].alias("low"), y["part"].alias("high")))
+    found = close.where("variant is not null").select("h", F.inline(F.flatten(F.transform("all", both)))).distinct()
+    return found.unionByName(close.where("variant is null").select("h", F.col("all")[0]["part"].alias("low"), F.col("all")[0]["part"].alias("high")))
+
+
 def shared_bounds(each: DataFrame, similarity: float) -> DataFrame:
     """node, n, n_shared, slots: how many shingles (node, h, n) a text has and shares with any other, and the slots of those.
 
@@ -295,7 +304,7 @@ def near_links(nodes: DataFrame, similarity: float, tables: int = TABLES, bits:
     parts, close = _grouped(parts, close, member)
     blocks = stored(parts.groupBy("h", "part", "group").agg(*size).withColumn("n_blocks", F.ceil(F.col("size") / _BLOCK)), "part-groups")
     side = lambda c: blocks.select("h", F.col("part").alias(c), F.struct("group", "part", "size", "n_blocks").alias(f"of_{c}"), F.col("bound").alias(f"{c}_bound"))
-    close = close.join(side("low"), ["h", "low"]).join(side("high"), ["h", "high"])
+    close = _pairs(close).join(side("low"), ["h", "low"]).join(side("high"), ["h", "high"])
     close = close.where("of_low.group <> of_high.group and (low <> high or of_low.group > of_high.group)").where(may("low_bound", "high_bound"))
     # the smaller side's texts come first, so that a large one is only joined where the pair is decided
     smaller = F.col("of_low.size") <= F.col("of_high.size")
