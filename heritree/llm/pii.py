@@ -76,7 +76,7 @@ def base_spans(text: str) -> list[Span]:
         out += [("email", s, e) for s, e in _emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(n := p.lstrip("0")) <= 3 and int(n or "0") <= 255 for p in m[0].split(".")):
                 out.append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")

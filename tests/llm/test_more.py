@@ -223,3 +223,10 @@ def test_queries_are_registered():
 @pytest.mark.parametrize("text", ["", None, "a@b", "@@@@@", "1" * 100_000, "x" * 100_000 + "@", "+" * 5000, "1.2.3." * 5000])
 def test_base_spans_of_odd_texts(text):
     pii.base_spans(text or "")
+
+
+def test_addresses_with_many_zeros():
+    zeros = "0" * 5000
+    assert pii.base_spans(zeros + "1.2.3.4") == [("ip", 0, 5007)]
+    assert pii.base_spans("1.2.3." + zeros + "255") == [("ip", 0, 5009)]
+    assert pii.base_spans("1.2.3." + zeros) == [("ip", 0, 5006)] and pii.base_spans("1.2.3." + zeros + "256") == [] and pii.base_spans("9" * 5000 + ".2.3.4") == []
