@@ -186,6 +186,22 @@ def test_rules_are_ordered_by_rejections_per_cost(docs, tmp_path):
     assert {r.name for r in quality.ordered(many)} == names
 
 
+def test_rules_cost_what_they_cost_alone(spark, sf_dir):
+    """A rule's time among all others is its time alone: nothing that another rule computes is taken off it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    quality.measured(docs, quality.RULES)  # compiles
+    together = quality.measured(docs, quality.RULES)
+    for r in quality.RULES:
+        rejected, ns = min((quality.measured(docs, [r])[r.name] for _ in range(2)), key=lambda x: x[1])
+        assert together[r.name][0] == rejected
+        if ns > 5000:  # less is the clock's own
+            assert ns / 3 < together[r.name][1] < 3 * ns, (r.name, together[r.name], ns)
+    assert min(together[n][1] for n in ("repeated lines", "word length", "repeated words")) > 3 * together["few words"][1]
+    # with the report's figures there already, rules on those are nearly free
+    given = quality.measured(docs, quality.RULES, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"))
+    assert given["repeated words"][1] * 3 < together["repeated words"][1] and given["capitals"][1] > given["repeated words"][1]
+
+
 @pytest.mark.parametrize("which", ["docs", "clashing"])
 def test_token_files(request, rows, which):
     docs = request.getfixturevalue(which)
