@@ -3,8 +3,9 @@
 A uniform shuffle of all rows into shards of exact sizes, in three steps that need no global sort: draw how many rows
 each input partition sends to each shard (a random matrix whose rows add up to the partitions' counts and whose columns
 to the shards' sizes), permute every partition locally and cut it by its row of the matrix, exchange, and permute each
-shard again. The rows see DataFrame functions only. The driver draws one count for each partition and shard; input
-partitions are merged, without a shuffle, to so few that these are MATRIX_CELLS at most, whatever the table's size.
+shard again. The rows see DataFrame functions only. The driver draws one count for each partition and shard. Where these
+would be more than MATRIX_CELLS, input partitions are drawn for by groups: a group's rows are permuted as one, in pieces of
+its key's range, so that neither a group's size nor the number of shards bounds the tasks.
 
 Defined results: a null text has size 16 and the checksum of no bytes; a null id is an id like any other; equal rows are
 placed one by one; an empty table gives no rows; other columns pass through `carry` and never clash, as they travel in
@@ -16,11 +17,12 @@ from __future__ import annotations
 import json
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import let, stored
 
 #: Extra bytes that each row counts for besides its text.
 ROW_BYTES = 16
@@ -105,22 +107,56 @@ def communication_matrix(rows: list[int], n_shards: int, seed: int) -> list[list
 
 
 def _matrix_table(spark: SparkSession, pids: list[int], matrix: list[list[int]]) -> DataFrame:
-    """pid, ends: for each shard, the end of its share of the partition's locally permuted rows."""
+    """pid, blocks, lasts: for each shard, the end of its share of the partition's permuted rows, in blocks with their last ends."""
     lines = []
     for pid, line in zip(pids, matrix, strict=True):
-        ends, at = [], 0
-        for k in line:
-            ends.append(at := at + k)
-        lines.append({"pid": pid, "ends": ends})
-    table = F.from_json(F.lit(json.dumps(lines)), "array<struct<pid:int,ends:array<bigint>>>")
+        ends = list(accumulate(line))
+        blocks = [ends[k : k + _block(len(line))] for k in range(0, len(line), _block(len(line)))]
+        lines.append({"pid": pid, "blocks": blocks, "lasts": [b[-1] for b in blocks]})
+    table = F.from_json(F.lit(json.dumps(lines)), "array<struct<pid:int,blocks:array<array<bigint>>,lasts:array<bigint>>>")
     return spark.range(1).select(F.inline(table))
 
 
+def _block(n_shards: int) -> int:
+    return max(1, math.isqrt(n_shards))
+
+
+def _shard_of(place: Column, n_shards: int) -> Column:
+    """The shard whose share holds the place: first the block, then the shard in it."""
+    passed = lambda ends: F.size(F.filter(ends, lambda e: e <= place))
+    return let(passed(F.col("lasts")), lambda b: b * _block(n_shards) + passed(F.get(F.col("blocks"), b))).cast("int")
+
+
+def _by_groups(local: DataFrame, counts: list[tuple[int, int]], n_groups: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """local with groups of partitions for partitions: `pid` the group, `local` the place in the group's permutation; and the groups' counts.
+
+    A group is permuted by the rows' keys; it is ranked in pieces of the keys' range, of some thousand rows each.
+    """
+    rows: dict[int, int] = {}
+    for p, n in counts:
+        rows[p % n_groups] = rows.get(p % n_groups, 0) + n
+    bits = _piece_bits(max(rows.values(), default=1))
+    keyed = local.withColumn("group", (F.col("pid") % n_groups).cast("int")).withColumn("piece", F.shiftrightunsigned("key", 64 - bits))
+    before = _before(keyed, "group")
+    place = F.row_number().over(Window.partitionBy("group", "piece").orderBy("key", "pid", "local")) - 1
+    ranked = keyed.withColumn("place", place).join(before, ["group", "piece"]).withColumn("local", (F.col("place") + F.col("before")).cast("long")).withColumn("pid", F.col("group"))
+    return ranked.drop("group", "piece", "place", "before"), sorted(rows.items())
+
+
+def _piece_bits(rows: float) -> int:
+    return min(20, max(4, math.ceil(math.log2(max(1, rows / 4096)))))
+
+
+def _before(df: DataFrame, of: str) -> DataFrame:
+    """of, piece, before: how many rows of the pieces before it each piece has before it."""
+    sizes = df.groupBy(of, "piece").agg(F.count("*").alias("n"))
+    return sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(of).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+
+
 def shard_rows(docs: DataFrame, n_shards: int, seed: int = 42, carry: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """carried columns (all by default) as struct `row`, with doc_id, size, text_crc32, shard and the slot within it, without gaps."""
     spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
-    docs = docs.coalesce(max(8, MATRIX_CELLS // n_shards))
     key = F.xxhash64(F.lit(seed), F.col(doc_id), F.crc32(F.encode(F.col(text), "utf-8")))
     kept = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias("__none")).alias("row"),
@@ -132,19 +168,17 @@ def shard_rows(docs: DataFrame, n_shards: int, seed: int = 42, carry: list[str]
     )
     # permute locally: a sort by a seeded key within the partition, then the place in it
     local = kept.sortWithinPartitions("key").withColumn("local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)))
-    local = stored(local.drop("key"), "shard-local")  # its counts and its rows must agree, even after a loss
+    local = stored(local, "shard-local")  # its counts and its rows must agree, even after a loss
     counts = sorted((r.pid, r.n) for r in local.groupBy("pid").agg(F.count("*").alias("n")).collect())
+    if len(counts) * n_shards > MATRIX_CELLS:
+        local, counts = _by_groups(local, counts, max(1, MATRIX_CELLS // n_shards))
     ends = _matrix_table(spark, [p for p, _ in counts], communication_matrix([n for _, n in counts], n_shards, seed))
-    sent = local.join(ends, "pid").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("local"))).cast("int"))
+    sent = local.drop("key").join(ends, "pid").withColumn("shard", _shard_of(F.col("local"), n_shards))
     # permute again: by a fresh key; a shard is ranked in pieces, so that no task sorts a whole shard
-    bits = min(20, max(4, math.ceil(math.log2(max(1, sum(n for _, n in counts) / n_shards / 4096)))))
+    bits = _piece_bits(sum(n for _, n in counts) / n_shards)
     fresh = F.xxhash64(F.lit(seed + 1), F.col("pid"), F.col("local"))
-    sent = sent.withColumn("fresh", fresh).withColumn("piece", F.shiftrightunsigned("fresh", 64 - bits)).drop("ends")
-    before = (
-        sent.groupBy("shard", "piece").agg(F.count("*").alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("n")
-    )
+    sent = sent.withColumn("fresh", fresh).withColumn("piece", F.shiftrightunsigned("fresh", 64 - bits)).drop("blocks", "lasts")
+    before = _before(sent, "shard")
     slot = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("fresh", "pid", "local")) - 1
     return (
         sent.withColumn("slot", slot).join(before, ["shard", "piece"])
