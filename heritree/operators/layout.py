@@ -84,6 +84,13 @@ def _sums(rows: DataFrame, order: list[str]) -> DataFrame:
     return _running(rows, F.col("step"), order, F.sum, False, lambda a, b: zero(a) + zero(b))
 
 
+def places(nodes: DataFrame, *order: str) -> DataFrame:
+    """nodes with pos: their place in their generation, from 0 without gaps, counted piece by piece. order should be unique."""
+    cut = stored(nodes.repartitionByRange("gen", *order).withColumn("piece", F.spark_partition_id()), "pieces")
+    out = _running(cut, F.lit(1), list(order), F.sum, False, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return out.withColumn("pos", F.col("run").cast("long")).drop("run", "piece")
+
+
 def linear_x(rows: DataFrame, pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """x: running sum of the steps before; y by generation. rows: gen, wiki_id, pos."""
     out = _sums(_gaps(rows, pairs, ["pos"], config), ["pos"]).withColumnRenamed("run", "x")

@@ -478,10 +478,8 @@ _PLACED = """nodes AS (SELECT generation AS gen, wiki_id, row_number() OVER (PAR
 
 
 def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
     p = fx.persons(spark, d)
-    nodes = p.select(F.col("generation").alias("gen"), "wiki_id", (F.row_number().over(Window.partitionBy("generation").orderBy("id")) - 1).alias("pos"))
+    nodes = layout.places(p.select(F.col("generation").alias("gen"), "wiki_id", "id"), "id").drop("id")
     pairs = graph.spouses(p)
     return p, pairs, layout.linear_x(nodes, pairs)
 
@@ -643,6 +641,29 @@ def edge_dashes(spark: SparkSession, d: str) -> DataFrame:
     return spatial.dashes(edges)
 
 
+@published("""SELECT c_custkey AS id, CAST(nth AS INTEGER) AS nth, kind, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (
+    SELECT c_custkey, 0 AS nth, 'line' AS kind, c_custkey AS x, 0 AS y FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 0, 'quadratic', c_custkey, 10 FROM customer WHERE c_custkey % 3 = 1
+    UNION ALL SELECT c_custkey, 1, 'line', c_custkey, 20 FROM customer WHERE c_custkey % 3 = 1 UNION ALL SELECT c_custkey, 0, 'cubic', 0, 20 FROM customer WHERE c_custkey % 3 = 2)""")
+def edge_curves(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey").cast("double")
+    point = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
+    points = F.array(point(F.lit(0.0), 0.0), point(k, 0.0), point(k, 20.0), point(F.lit(0.0), 20.0))
+    edges = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.slice(points, 1, (F.col("c_custkey") % 3 + 2).cast("int")).alias("points"))
+    drawn = spatial.curves(edges).withColumn("last", F.element_at("points", -1))
+    return drawn.select("id", "nth", "kind", F.col("last.x").alias("x"), F.col("last.y").alias("y"))
+
+
+@published(with_fixtures("persons", "SELECT wiki_id, CASE WHEN id % 7 = 0 THEN 'selected' WHEN gender = 'Male' THEN 'male' WHEN gender = 'Female' THEN 'female' ELSE 'unknown' END AS colour FROM persons"))
+def node_colours(spark: SparkSession, d: str) -> DataFrame:
+    return fx.persons(spark, d).select("wiki_id", text.node_colour(F.col("id") % 7 == 0, text.gender_code(F.col("gender"))).alias("colour"))
+
+
+@published("SELECT 'P-' || o_custkey AS wiki_id, arg_max(o_orderstatus, o_orderkey) AS status, min(o_orderkey) AS pos FROM orders GROUP BY o_custkey")
+def latest_nodes(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "orders").select(F.concat(F.lit("P-"), F.col("o_custkey").cast("string")).alias("wiki_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("pos"))
+    return graph.nodes(raw)
+
+
 # --- queue and ingest ------------------------------------------------------------------------------------------------
 
 
@@ -892,3 +913,14 @@ def snapshot_checksums(spark: SparkSession, d: str) -> DataFrame:
         changed = again.withColumn(column, F.when(F.col(key) == 7, F.col(column) + 1).otherwise(F.col(column)))
         rows.append((name, n, sums == found["checksums"][name], snapshots.checksums(changed)[1] != sums))
     return spark.createDataFrame(rows, "name string, rows long, same boolean, differs boolean")
+
+
+@published(with_fixtures("persons", f"SELECT id, birth_location AS raw_location, CASE WHEN id = min(id) OVER (PARTITION BY key) THEN key END AS location_key FROM (SELECT *, {key_sql('birth_location')} AS key FROM persons)"))
+def location_key_backfill(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.backfill_location_keys(fx.persons(spark, d).select("id", F.col("birth_location").alias("raw_location"), F.lit("old").alias("location_key")))
+
+
+@published("SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%dT%H-%M-%S') AS stamp, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y:%m:%d %H:%M:%S') AS shown, round(o_totalprice / 1024 / 1024, 2) AS mb, 'https://h.example/wiki/P-' || o_custkey AS link FROM orders")
+def stamps_and_links(spark: SparkSession, d: str) -> DataFrame:
+    stamp = text.backup_stamp(F.col("o_orderdate").cast("timestamp"))
+    return table(spark, d, "orders").select("o_orderkey", stamp.alias("stamp"), text.parse_backup_stamp(stamp).alias("shown"), text.megabytes(F.col("o_totalprice")).alias("mb"), text.person_link("https://h.example", F.concat(F.lit("P-"), F.col("o_custkey").cast("string"))).alias("link"))
