@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..storage import read_note, write_note
+from ..storage import discard, read_note, stored, write_note
 
 BOX = ("min_x", "min_y", "max_x", "max_y")
 LEVELS = 20  # of the curve: 2**20 cells either way
@@ -23,21 +25,23 @@ _LISTED = 10_000  # files up to which a window names its files; a window of more
 
 
 def hilbert(x: Column, y: Column, levels: int = LEVELS) -> Column:
-    """The place of cell (x, y), each in 0 .. 2**levels - 1, on the Hilbert curve."""
+    """The place of cell (x, y), each in 0 .. 2**levels - 1, on the Hilbert curve. In Arrow batches: its levels are a loop, which expressions are slow at."""
 
-    def step(at: Column, k: Column) -> Column:
-        side = F.lit(1).cast("long")
-        s = F.call_function("shiftleft", side, (levels - 1 - k).cast("int"))
-        right, top = at["x"].bitwiseAND(s) > 0, at["y"].bitwiseAND(s) > 0
-        quadrant = F.when(right, F.when(top, 2).otherwise(3)).otherwise(F.when(top, 1).otherwise(0)).cast("long")
-        # the lower quadrants are turned
-        mask = s - 1
-        x, y = at["x"].bitwiseAND(mask), at["y"].bitwiseAND(mask)
-        turned = F.when(top, F.struct(x.alias("x"), y.alias("y"))).when(right, F.struct((mask - y).alias("x"), (mask - x).alias("y"))).otherwise(F.struct(y.alias("x"), x.alias("y")))
-        return F.struct(turned["x"].alias("x"), turned["y"].alias("y"), (at["d"] * 4 + quadrant).alias("d"))
+    @F.pandas_udf("long")
+    def place(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        x, y = xs.to_numpy(np.int64).copy(), ys.to_numpy(np.int64).copy()
+        out = np.zeros(len(x), np.int64)
+        for k in range(levels - 1, -1, -1):
+            right, top = x >> k & 1, y >> k & 1
+            out = out * 4 + (3 * right ^ top)
+            # the lower quadrants are turned
+            x, y = x & (1 << k) - 1, y & (1 << k) - 1
+            mirrored = (top == 0) & (right == 1)
+            x, y = np.where(mirrored, (1 << k) - 1 - x, x), np.where(mirrored, (1 << k) - 1 - y, y)
+            x, y = np.where(top == 0, y, x), np.where(top == 0, x, y)
+        return pd.Series(out)
 
-    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step)["d"]
+    return place(x, y)
 
 
 @dataclass(frozen=True)
@@ -63,9 +67,11 @@ def build(boxed: DataFrame, path: str, rows: int = ROWS) -> SpatialIndex:
     cell = lambda c, low, high: F.lit(0) if not n or high <= low else F.least(F.lit(2**LEVELS - 1), F.floor((c - low) / (high - low) * 2**LEVELS))
     place = hilbert(cell(cx, x0, x1), cell(cy, y0, y1))
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
-    ordered = there.select(row, place.alias("place"), F.xxhash64(row).alias("tie")).repartitionByRange(max(1, -(-n // rows)), "place", "tie").sortWithinPartitions("place", "tie")
+    placed = stored(there.select(row, place.alias("place"), F.xxhash64(row).alias("tie")), "placed-boxes")  # ranges are sampled first
+    ordered = placed.repartitionByRange(max(1, -(-n // rows)), "place", "tie").sortWithinPartitions("place", "tie")
     out = ordered.select(*[F.col("row").getField(c).alias(c) for c in columns])
     out.write.parquet(f"{path}/boxes")
+    discard(placed)
     index = SpatialIndex(spark, path, out._jdf.schema().toDDL())
     sides = [f(F.col(c).cast("double")).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), BOX)]
     index.boxes().groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), *sides).coalesce(1).write.parquet(f"{path}/tiles")
