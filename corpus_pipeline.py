@@ -1,4 +1,12 @@
-"""A corpus pipeline of five stages; each takes what the one before kept, written and read again."""
+"""A corpus pipeline of five stages; each takes what the one before kept, written and read again.
+
+Quality rules drop documents that a rule rejects, so null, empty and very short texts end here. Of near copies (five words,
+similarity 0.8) the row of the smallest id stays, rows without an id last; of equal ids the text of the smallest digest, and of
+rows equal in both one. Documents with a benchmark passage go. The mix repeats or leaves out documents of each source as its
+target asks. Sharding adds size, text_crc32, shard and slot; all stages before it return the documents' columns. Other
+columns pass through, whatever their names, but for these four. Ids may be null and may repeat. An empty table gives no
+rows at every stage, and a table that a stage empties none after it.
+"""
 
 from __future__ import annotations
 
