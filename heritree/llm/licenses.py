@@ -92,7 +92,6 @@ GATE = [
     "latex project", "creativecommons", "contributors may", "openssl", "available to third parties",
 ]
 GATE_WORDS = ["mpl", "epl", "cddl", "eupl", "ofl", "odbl", "sspl", "wtfpl", "cc by"]
-MAX_PRIORITY = 8
 
 
 def variants(regex: str) -> list[str]:
@@ -180,23 +179,31 @@ def _detections(line: Column) -> Column:
 
 
 def _kept(found: Column) -> Column:
-    """The detections that none of at least their priority contains and none of a higher one overlaps, by one walk each way."""
-    levels = lambda x: F.array_repeat(F.lit(x), MAX_PRIORITY + 2)  # noqa: E731  ends[p]: the greatest end so far of priority p or more
-    no = F.array().cast("array<boolean>")
-
-    def ahead(a: Column, d: Column) -> Column:
-        end, p = -d["minus_end"], -d["minus_priority"]
-        out = (F.get(a["ends"], p) >= end) | (F.get(a["ends"], p + 1) > d["start"])
-        return F.struct(F.transform(a["ends"], lambda x, k: F.when(k <= p, F.greatest(x, end)).otherwise(x)).alias("ends"), F.array_append(a["out"], out).alias("out"))
-
-    def back(a: Column, d: Column) -> Column:
-        p = -d["minus_priority"]
-        out = F.get(a["starts"], p + 1) < -d["minus_end"]
-        return F.struct(F.transform(a["starts"], lambda x, k: F.when(k <= p, F.least(x, d["start"])).otherwise(x)).alias("starts"), F.array_append(a["out"], out).alias("out"))
-
-    first = F.aggregate(found, F.struct(levels(-1).alias("ends"), no.alias("out")), ahead)["out"]
-    second = F.aggregate(F.reverse(found), F.struct(levels(2**31 - 1).alias("starts"), no.alias("out")), back)["out"]
-    return let(first, lambda f: let(F.reverse(second), lambda s: F.filter(found, lambda d, k: ~F.get(f, k) & ~F.get(s, k))))
+    """The detections by priority, highest first: of one priority those that no kept one of a higher priority overlaps, without those that another of these contains. What isn't kept suppresses nothing."""
+    end, none = (lambda d: -d["minus_end"]), F.array().cast("array<boolean>")
+
+    def walk(both: Column, least: Column, reach, beyond, start: int) -> Column:
+        """Whether each of `both` is beyond the reach of those of a higher priority that come before it."""
+        step = lambda a, d: F.struct(F.when(d["minus_priority"] < least, reach(a["at"], d)).otherwise(a["at"]).alias("at"), F.array_append(a["out"], beyond(a["at"], d)).alias("out"))
+        return F.aggregate(both, F.struct(F.lit(start).alias("at"), none.alias("out")), step)["out"]
+
+    def level(kept: Column, least: Column) -> Column:
+        """kept with the detections of a priority, of which `least` is the negative."""
+        both = F.sort_array(F.concat(kept, F.filter(found, lambda d: d["minus_priority"] == least)))
+
+        def free(both: Column) -> Column:
+            before = walk(both, least, lambda at, d: F.greatest(at, end(d)), lambda at, d: at <= d["start"], -1)
+            after = walk(F.reverse(both), least, lambda at, d: F.least(at, d["start"]), lambda at, d: at >= end(d), 2**31 - 1)
+            return let(before, lambda x: let(F.reverse(after), lambda y: F.filter(both, lambda d, k: (d["minus_priority"] == least) & F.get(x, k) & F.get(y, k))))
+
+        def outer(own: Column) -> Column:
+            step = lambda a, d: F.struct(F.greatest(a["at"], end(d)).alias("at"), F.array_append(a["out"], a["at"] < end(d)).alias("out"))
+            return let(F.aggregate(own, F.struct(F.lit(-1).alias("at"), none.alias("out")), step)["out"], lambda x: F.filter(own, lambda d, k: F.get(x, k)))
+
+        return F.concat(kept, let(let(both, free), outer))
+
+    levels = F.array_sort(F.array_distinct(F.transform(found, lambda d: d["minus_priority"])))
+    return F.sort_array(F.aggregate(levels, F.filter(found, lambda d: F.lit(False)), level))
 
 
 def _n_words(text: Column) -> Column:

@@ -36,13 +36,28 @@ def brute_detections(line):
             start = line[: m.start()].count(" ") - 1
             found.append((start, start + m[0].count(" ") + 1, priority, nth, label, score))
     found.sort(key=lambda d: (d[0], -d[1], -d[2], d[3]))
+    return suppressed(found)
+
+
+def suppressed(found):
+    """What is kept of (start, end, priority, ...), each pair compared: highest priority first, by what was kept before only."""
     kept = []
-    for k, d in enumerate(found):
-        inside = any(o[0] <= d[0] and d[1] <= o[1] and o[2] >= d[2] and (j < k or o[:2] != d[:2] or o[2] > d[2]) for j, o in enumerate(found) if j != k)
-        over = any(o[2] > d[2] and o[0] < d[1] and d[0] < o[1] for o in found)
-        if not inside and not over:
-            kept.append(d)
-    return kept
+    for p in sorted({d[2] for d in found}, reverse=True):
+        free = [d for d in found if d[2] == p and not any(o[0] < d[1] and d[0] < o[1] for o in kept)]
+        kept += [d for k, d in enumerate(free) if not any(o[0] <= d[0] and d[1] <= o[1] and (o[:2] != d[:2] or j < k) for j, o in enumerate(free) if j != k)]
+    return sorted(kept, key=lambda d: (d[0], -d[1], -d[2], d[3]))
+
+
+def test_suppression_of_made_up_intervals(spark):
+    r, rows = random.Random(8), [(0, [(0, 4, 5, 0, "B", 1.0), (2, 8, 2, 1, "A", 1.0), (6, 8, 2, 2, "C", 1.0)])]
+    for k in range(1, 400):
+        rows.append((k, sorted({(s := r.randrange(12), s + r.randrange(1, 7), r.randrange(5), n, f"l{n}", 0.5) for n in range(r.randrange(9))}, key=lambda d: (d[0], -d[1], -d[2], d[3]))))
+    kind = "array<struct<start:int,minus_end:int,minus_priority:int,nth:int,label:string,score:double>>"
+    df = spark.createDataFrame([(k, [(s, -e, -p, n, label, score) for s, e, p, n, label, score in found]) for k, found in rows], f"k int, found {kind}")
+    got = {x.k: [(d["start"], -d["minus_end"], -d["minus_priority"], d["nth"]) for d in x.out] for x in df.select("k", licenses._kept(F.col("found")).alias("out")).collect()}
+    for k, found in rows:
+        assert got[k] == [d[:4] for d in suppressed(found)], found
+    assert [n for *_, n in got[0]] == [0, 2]  # what a suppressed one touches stays
 
 
 def test_suppression_is_brute_force(spark):
