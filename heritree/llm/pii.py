@@ -11,8 +11,8 @@ function and the expected counts of features and transitions, whose difference f
 Training takes at most TRAIN_STRETCHES stretches of all texts: those of the lowest hashes, kind by kind, and as many
 without a label. Tasks keep their lowest ones, so the sample depends on neither row order nor partitions, copies count
 once, and only bounded pieces reach the driver. The labels are the base spans and, for secrets, a few strict forms; no
-feature says whether a base pattern matches, so the field learns shapes and finds other spellings of numbers, keys and
-passwords. Base spans always stay; the field's spans are added where they don't touch one.
+feature says whether a base pattern matches, so the field learns shapes; but as its labels are these patterns, it mostly
+learns them back, and adds little besides secrets. Base spans always stay; the field's are added where they don't touch one.
 
 Defined results: a null or empty text has no spans; null ids are ids like others; equal rows get equal spans; an empty
 table gives no rows (the field is then untrained and adds nothing); other columns, whatever their names, are ignored.
