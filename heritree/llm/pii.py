@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, stored
 
 KINDS, EXTRA = ("email", "ip", "card", "phone"), ("secret",)
 LABELS = KINDS + EXTRA
@@ -473,7 +473,12 @@ def fitted(docs: DataFrame) -> SemiMarkov:
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where(F.rlike("text", F.lit("[0-9@=+]")))
     found = texts.mapInArrow(run, "kind string, hash long, piece string, tokens array<int>").groupBy("kind", "hash").agg(F.first("piece").alias("piece"), F.first("tokens").alias("tokens"))
-    ranked = found.withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy("hash"))).where(F.col("nth") <= TRAIN_STRETCHES)
+    # each task has its own lowest ones: counts by ranges of hashes leave about as many as are wanted before any are ranked
+    found = stored(found.withColumn("range", F.shiftright("hash", 48)), "stretches")
+    before = F.sum("count").over(Window.partitionBy("kind").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    low = found.groupBy("kind", "range").count().withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < TRAIN_STRETCHES)
+    few = found.join(low.select("kind", "range"), ["kind", "range"], "left_semi")
+    ranked = few.withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy("hash"))).where(F.col("nth") <= TRAIN_STRETCHES)
     lowest = Lowest()
     for r in ranked.collect():
         lowest.add([r.kind], (r.hash, r.piece, list(r.tokens)))
