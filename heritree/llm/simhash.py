@@ -190,11 +190,12 @@ def most_bits(similarity: float, bits: int, deviations: float = 2) -> int:
 
 
 def meetings(nodes: DataFrame, tables: int = TABLES, bits: int = PART_BITS) -> tuple[DataFrame, DataFrame]:
-    """Texts by parts (node, h, sketch, minima, part) and parts that meet (h, variant, all: the parts that meet on that value; a part alone, where several texts have it, under a null).
+    """Texts by parts (node, h, sketch, minima, part) and parts that meet (h, variant, all: the parts that meet on that value, each with its head; a part alone, where several texts have it, under a null).
 
     A text with a partner of that similarity shares one of its least shingles with it (all but 0.2 ** 3 of such pairs),
     so balls are emitted for each least shingle that texts share, and parts only meet where they share it: strangers,
-    however many, don't. At most bits + 1 parts meet on a value, by geometry.
+    however many, don't. At most bits + 1 parts meet on a value, by geometry. A part's head is one of its texts, drawn by part,
+    so that one odd text isn't the head of all.
     """
     one = lambda x: F.lit(x).cast("long")
     masks = F.array(*map(one, [0, *(1 << k for k in range(bits))]))
@@ -205,13 +206,14 @@ def meetings(nodes: DataFrame, tables: int = TABLES, bits: int = PART_BITS) -> t
     # a part: the table's number and the low bits of its long
     numbered = F.transform(F.slice("sketch", 1, tables), lambda s, j: F.shiftleft(j.cast("long"), 32) + s.bitwiseAND(one((1 << bits) - 1)))
     parts = able.select("node", "h", "sketch", "minima", F.explode(numbered).alias("part"))
-    sizes = stored(parts.groupBy("h", "part").agg(F.count("*").alias("n")), "parts")
-    variants = spread(sizes.select("h", "part"), "h", "part", times=bits + 1).select("h", "part", around("part").alias("variant"))
-    met = stored(variants.groupBy("h", "variant").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("n > 1"), "met-parts")
+    drawn = F.min(F.struct(F.xxhash64("node", "h", "part").alias("order"), "node"))["node"]
+    sizes = stored(parts.groupBy("h", "part").agg(F.count("*").alias("n"), drawn.alias("head")), "parts")
+    variants = spread(sizes.select("h", "part", "head"), "h", "part", times=bits + 1).select("h", F.struct("part", "head").alias("own"), around("part").alias("variant"))
+    met = stored(variants.groupBy("h", "variant").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n")).where("n > 1"), "met-parts")
     # the members of larger groups lie in the ball of the value that they met on
-    many = spread(met.where("n > 2").select("h", "variant"), "h", "variant", times=bits + 1).select("h", "variant", around("variant").alias("part")).join(sizes.select("h", "part"), ["h", "part"])
-    groups = met.where("n = 2").select("h", "variant", F.array("low", "high").alias("all")).unionByName(many.groupBy("h", "variant").agg(F.array_sort(F.collect_list("part")).alias("all")))
-    alone = sizes.where("n > 1").select("h", F.lit(None).cast("long").alias("variant"), F.array("part").alias("all"))
+    many = spread(met.where("n > 2").select("h", "variant"), "h", "variant", times=bits + 1).select("h", "variant", around("variant").alias("part")).join(sizes.select("h", "part", "head"), ["h", "part"])
+    groups = met.where("n = 2").select("h", "variant", F.array("low", "high").alias("all")).unionByName(many.groupBy("h", "variant").agg(F.array_sort(F.collect_list(F.struct("part", "head"))).alias("all")))
+    alone = sizes.where("n > 1").select("h", F.lit(None).cast("long").alias("variant"), F.array(F.struct("part", "head")).alias("all"))
     return parts, stored(groups.unionByName(alone), "close-parts")
 
 
@@ -219,31 +221,30 @@ def _differ(leaf: str, centre: str) -> list[Column]:
     return [F.col(leaf)[k].bitwiseXOR(F.col(centre)[k]) for k in range(LONGS)]
 
 
-def star_links(parts: DataFrame, close: DataFrame, similarity: float) -> DataFrame:
-    """Links (leaf, centre, apart) of each part's texts to one of them, its head, and of the heads of parts that meet on a value to the least part's.
+def star_links(nodes: DataFrame, parts: DataFrame, close: DataFrame, similarity: float) -> DataFrame:
+    """Links (leaf, centre, apart) of each part's texts to its head, and of the heads of parts that meet on a value to the least part's.
 
-    As many as there are texts and meetings. Heads are drawn by part, so that one odd text isn't the head of all.
+    As many as there are texts and meetings; a pair of heads counts once, however often it meets.
     """
-    heads = parts.groupBy("h", "part").agg(F.min(F.struct(F.xxhash64("node", "h", "part").alias("order"), "node", "sketch")).alias("head"))
-    heads = stored(heads.select("h", "part", "head.node", "head.sketch"), "heads")
-    head = lambda c, end: heads.select("h", F.col("part").alias(c), F.col("node").alias(end), F.col("sketch").alias(f"of_{end}"))
-    several = close.where("variant is null").select("h", F.col("all")[0].alias("part")).join(head("part", "centre"), ["h", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    sketch = lambda end: nodes.select(F.col("node").alias(end), F.col("sketch").alias(f"of_{end}"))
+    several = close.where("variant is null").select("h", F.col("all")[0]["part"].alias("part"), F.col("all")[0]["head"].alias("centre")).join(sketch("centre"), "centre").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     texts = parts.select("h", "part", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int").alias("salt"), F.col("node").alias("leaf"), F.col("sketch").alias("of_leaf"))
     found = texts.join(several, ["h", "part", "salt"]).select("leaf", "centre", "of_leaf", "of_centre")
-    stars = close.where("variant is not null").select("h", F.col("all")[0].alias("low"), F.explode(F.slice("all", 2, F.size("all"))).alias("high")).distinct()
-    found = found.unionByName(stars.join(head("low", "leaf"), ["h", "low"]).join(head("high", "centre"), ["h", "high"]).select("leaf", "centre", "of_leaf", "of_centre"))
+    stars = close.where("variant is not null").select(F.col("all")[0]["head"].alias("centre"), F.explode(F.slice("all.head", 2, F.size("all"))).alias("leaf")).where("leaf <> centre").distinct()
+    found = found.unionByName(stars.join(sketch("leaf"), "leaf").join(sketch("centre"), "centre").select("leaf", "centre", "of_leaf", "of_centre"))
     apart = reduce(Column.__add__, map(F.bit_count, _differ("of_leaf", "of_centre")))
     near = found.where("leaf <> centre").select(F.greatest("leaf", "centre").alias("leaf"), F.least("leaf", "centre").alias("centre"), apart.alias("apart"))
     return near.where(F.col("apart") <= most_bits(similarity, 64 * LONGS, DEVIATIONS)).distinct()
 
 
-def _grouped(parts: DataFrame, close: DataFrame, member: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """parts with each text's group (of member; else itself), and the meetings whose texts aren't all of one group, their parts with the least and the greatest group of their texts (h, variant, all: part, a, b)."""
+def _grouped(parts: DataFrame, close: DataFrame, member: DataFrame | None, bound: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """parts with each text's group (of member; else itself), and the meetings whose texts aren't all of one group, their parts with the least and the greatest group of their texts, and their bound (h, variant, all: part, a, b, bound)."""
     parts = parts.withColumn("group", F.col("node")) if member is None else parts.join(member, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    ends = parts.groupBy("h", "part").agg(F.min("group").alias("a"), F.max("group").alias("b"))
-    each = close.select("h", "variant", F.explode("all").alias("part")).join(ends, ["h", "part"])
-    alone = each.where("variant is null and a <> b").select("h", "variant", F.array(F.struct("part", "a", "b")).alias("all"))
-    met = each.where("variant is not null").groupBy("h", "variant").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.collect_list(F.struct("part", "a", "b")).alias("all"))
+    ends = parts.groupBy("h", "part").agg(F.min("group").alias("a"), F.max("group").alias("b"), *(bound or [F.lit(0).alias("bound")]))
+    each = close.select("h", "variant", F.explode("all.part").alias("part")).join(ends, ["h", "part"])
+    own = F.struct("part", "a", "b", "bound")
+    alone = each.where("variant is null and a <> b").select("h", "variant", F.array(own).alias("all"))
+    met = each.where("variant is not null").groupBy("h", "variant").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.collect_list(own).alias("all"))
     return parts, met.where("a <> b").select("h", "variant", "all").unionByName(alone)
 
 
@@ -254,10 +255,10 @@ def unsettled(parts: DataFrame, close: DataFrame, member: DataFrame | None) -> D
     return parts.join(met, ["h", "part"], "left_semi").select("node").distinct()
 
 
-def _pairs(close: DataFrame) -> DataFrame:
-    """h, low, high: each pair of parts that meet and whose texts aren't all of one group; a part alone with itself."""
+def _pairs(close: DataFrame, may) -> DataFrame:
+    """h, low, high: each pair of parts that meet, whose texts aren't all of one group and whose bounds allow a link; a part alone with itself."""
     apart = lambda x, y: F.least(x["a"], y["a"]) != F.greatest(x["b"], y["b"])
-    both = lambda x: F.transform(F.filter("all", lambda y: (y["part"] > x["part"]) & apart(x, y)), lambda y: F.struct(x["part"].alias("low"), y["part"].alias("high")))
+    both = lambda x: F.transform(F.filter("all", lambda y: (y["part"] > x["part"]) & apart(x, y) & may(x["bound"], y["bound"])), lambda y: F.struct(x["part"].alias("low"), y["part"].alias("high")))
     found = close.where("variant is not null").select("h", F.inline(F.flatten(F.transform("all", both)))).distinct()
     return found.unionByName(close.where("variant is null").select("h", F.col("all")[0]["part"].alias("low"), F.col("all")[0]["part"].alias("high")))
 
@@ -274,11 +275,12 @@ def shared_bounds(each: DataFrame, similarity: float) -> DataFrame:
     return found.where(F.col("n_shared") >= similarity * F.col("n"))
 
 
-def _may_be_similar(one: str, other: str, similarity: float) -> Column:
+def _may_be_similar(one: Column | str, other: Column | str, similarity: float) -> Column:
     """Whether texts of these bounds (n: least, n_shared: most, every: slots of all of them, any: slots of one of them) can have that similarity."""
-    left = lambda x, y: F.col(f"{x}.n_shared") - reduce(Column.__add__, [F.bit_count(F.col(f"{x}.every")[k].bitwiseAND(F.bitwise_not(F.col(f"{y}.any")[k]))) for k in range(LONGS)])
+    one, other = (F.col(c) if isinstance(c, str) else c for c in (one, other))
+    left = lambda x, y: x["n_shared"] - reduce(Column.__add__, [F.bit_count(x["every"][k].bitwiseAND(F.bitwise_not(y["any"][k]))) for k in range(LONGS)])
     common = F.least(left(one, other), left(other, one))
-    return common >= similarity * (F.col(f"{one}.n") + F.col(f"{other}.n") - common)
+    return common >= similarity * (one["n"] + other["n"] - common)
 
 
 def near_links(nodes: DataFrame, similarity: float, tables: int = TABLES, bits: int = PART_BITS, met: tuple[DataFrame, DataFrame] | None = None, member: DataFrame | None = None, bounds: DataFrame | None = None) -> DataFrame:
@@ -287,7 +289,7 @@ def near_links(nodes: DataFrame, similarity: float, tables: int = TABLES, bits:
     All pairs of texts whose parts meet are compared by all bits: in a family of texts on one template, most that meet are
     strangers, so no one of them can stand for the others. Pairs that are in one group of `member` (node, component)
     already are never made: a part's texts meet by groups. With `bounds` (of shared_bounds, for all texts that may have a
-    link still), pairs that these rule out aren't made either, first by groups, then by texts. Texts of a group are dealt
+    link still), pairs that these rule out aren't made either, first by parts, then by groups, then by texts. Texts of a group are dealt
     to blocks, so that no task has a hot part's pairs alone. A pair counts for its smallest common shingle and in the
     first table that has it only.
     """
@@ -301,11 +303,11 @@ def near_links(nodes: DataFrame, similarity: float, tables: int = TABLES, bits:
         parts, may = parts.join(bounds.select("node", own.alias("bound")), "node"), lambda one, other: _may_be_similar(one, other, similarity)
         over = lambda f, slots: F.array(*[f(F.col(f"bound.{slots}")[k]) for k in range(LONGS)]).alias(slots)
         size.append(F.struct(F.min("bound.n").alias("n"), F.max("bound.n_shared").alias("n_shared"), over(F.bit_and, "every"), over(F.bit_or, "any")).alias("bound"))
-    parts, close = _grouped(parts, close, member)
+    parts, close = _grouped(parts, close, member, size[1:])
     blocks = stored(parts.groupBy("h", "part", "group").agg(*size).withColumn("n_blocks", F.ceil(F.col("size") / _BLOCK)), "part-groups")
     side = lambda c: blocks.select("h", F.col("part").alias(c), F.struct("group", "part", "size", "n_blocks").alias(f"of_{c}"), F.col("bound").alias(f"{c}_bound"))
-    close = _pairs(close).join(side("low"), ["h", "low"]).join(side("high"), ["h", "high"])
-    close = close.where("of_low.group <> of_high.group and (low <> high or of_low.group > of_high.group)").where(may("low_bound", "high_bound"))
+    close = _pairs(close, may).join(side("low"), ["h", "low"]).join(side("high"), ["h", "high"])
+    close = close.where("of_low.group <> of_high.group and (low <> high or of_low.group > of_high.group)").where(may(F.col("low_bound"), F.col("high_bound")))
     # the smaller side's texts come first, so that a large one is only joined where the pair is decided
     smaller = F.col("of_low.size") <= F.col("of_high.size")
     close = close.select("h", F.when(smaller, F.col("of_low")).otherwise(F.col("of_high")).alias("x"), F.when(smaller, F.col("of_high")).otherwise(F.col("of_low")).alias("y"))
@@ -319,7 +321,7 @@ def near_links(nodes: DataFrame, similarity: float, tables: int = TABLES, bits:
     apart = reduce(Column.__add__, map(F.bit_count, differ))
     first = [(table <= t) | (F.bit_count(differ[t].bitwiseAND(F.lit((1 << bits) - 1).cast("long"))) > RADIUS) for t in range(tables - 1)]
     once = reduce(Column.__and__, first, F.col("h") == F.array_min(F.array_intersect("least_leaf", "least_centre")))
-    near = pairs.where(apart <= most_bits(similarity, 64 * LONGS, DEVIATIONS)).where(may("leaf_bound", "centre_bound")).where(once)
+    near = pairs.where(apart <= most_bits(similarity, 64 * LONGS, DEVIATIONS)).where(may(F.col("leaf_bound"), F.col("centre_bound"))).where(once)
     return near.select("leaf", "centre", apart.alias("apart"))
 
 
@@ -394,7 +396,7 @@ def winners_by_similarity(docs: DataFrame, similarity: float = SIMILARITY, width
     nodes = stored(found.withColumn("node", F.monotonically_increasing_id()), "distinct-sketches")
     met = meetings(nodes)
     # groups by links to heads first, then by all pairs that these leave apart and that can be similar by the shingles they share
-    links = stored(star_links(*met, similarity), "near-links")
+    links = stored(star_links(nodes, *met, similarity), "near-links")
     each = stored(text_shingles(ends(links), nodes, docs, width), "link-shingles")
     member = similar_groups(links, each, similarity, 64 * LONGS)
     each = stored(text_shingles(unsettled(*met, member), nodes, docs, width), "unsettled-shingles")
