@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, spread, stored
+from .common import discard, ship, spread, stored
 from .graph import components
 
 WIDTH, SEED, RADIUS = 3, 42, 2
@@ -214,7 +214,9 @@ def meetings(nodes: DataFrame, tables: int = TABLES, bits: int = PART_BITS) -> t
     many = spread(met.where("n > 2").select("h", "variant"), "h", "variant", times=bits + 1).select("h", "variant", around("variant").alias("part")).join(sizes.select("h", "part", "head"), ["h", "part"])
     groups = met.where("n = 2").select("h", "variant", F.array("low", "high").alias("all")).unionByName(many.groupBy("h", "variant").agg(F.array_sort(F.collect_list(F.struct("part", "head"))).alias("all")))
     alone = sizes.where("n > 1").select("h", F.lit(None).cast("long").alias("variant"), F.array(F.struct("part", "head")).alias("all"))
-    return parts, stored(groups.unionByName(alone), "close-parts")
+    close = stored(groups.unionByName(alone), "close-parts")
+    discard(met)
+    return parts, close
 
 
 def _differ(leaf: str, centre: str) -> list[Column]:
@@ -399,6 +401,8 @@ def winners_by_similarity(docs: DataFrame, similarity: float = SIMILARITY, width
     links = stored(star_links(nodes, *met, similarity), "near-links")
     each = stored(text_shingles(ends(links), nodes, docs, width), "link-shingles")
     member = similar_groups(links, each, similarity, 64 * LONGS)
+    discard(each)
+    discard(links)
     each = stored(text_shingles(unsettled(*met, member), nodes, docs, width), "unsettled-shingles")
     bounds = stored(shared_bounds(each, similarity), "bounds")
     links = stored(near_links(nodes, similarity, met=met, member=member, bounds=bounds), "near-links")
