@@ -564,7 +564,7 @@ def point_query(spark: SparkSession, d: str) -> DataFrame:
 
 #: Boxes of all line items: their price and their ship date.
 _BOXES = "SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_extendedprice AS DOUBLE) AS min_x, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS min_y, CAST(l_extendedprice AS DOUBLE) + 180 AS max_x, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) + 70 AS max_y FROM lineitem"
-_PRICES = (20000.0, 400.0, 21000.0, 500.0)
+_PRICES = (20000.0, 1400.0, 21000.0, 1500.0)
 _TOUCHED = "min_x <= {2} AND max_x >= {0} AND min_y <= {3} AND max_y >= {1}"
 
 
@@ -588,9 +588,9 @@ def packed_rect_query(spark: SparkSession, d: str) -> DataFrame:
     return spatial_index.window(_packed(spark, d), *_PRICES).select("id", "min_x", "min_y")
 
 
-@published(f"SELECT id, min_x, min_y FROM ({_BOXES}) WHERE {_TOUCHED.format(30000, 900, 30000, 900)} ORDER BY id LIMIT 1")
+@published(f"SELECT id, min_x, min_y FROM ({_BOXES}) WHERE {_TOUCHED.format(30000, 1900, 30000, 1900)} ORDER BY id LIMIT 1")
 def packed_point_query(spark: SparkSession, d: str) -> DataFrame:
-    return spatial_index.at_point(_packed(spark, d), 30000.0, 900.0, "id").select("id", "min_x", "min_y")
+    return spatial_index.at_point(_packed(spark, d), 30000.0, 1900.0, "id").select("id", "min_x", "min_y")
 
 
 @published(f"SELECT id, id = 11 AS is_selected, id % 10 = 1 AND id < 4000 AS is_highlighted FROM ({_BOXES}) WHERE {_TOUCHED.format(*_PRICES)}")
