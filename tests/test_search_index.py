@@ -118,3 +118,18 @@ def test_opened_again_and_empty(spark, people, index, tmp_path):
         substring_index.open_index(spark, f"file://{tmp_path}/nothing")
     with pytest.raises(BadRequest):
         substring_index.search_persons(index, limit=0)
+
+
+def test_postings_of_a_large_part_are_listed_by_several_tasks(spark, tmp_path):
+    n = 3 * substring_index._CHUNKS << substring_index.CHUNK_BITS
+    df = spark.range(n).select(F.format_string("P-%06d", "id").alias("wiki_id"), F.concat(F.lit("n"), F.col("id") % 3).alias("name"))
+    table = ordered_table.build(df, f"file://{tmp_path}/table", ("wiki_id",))
+    assert table.parts().count() == 1
+    lists = substring_index.chunk_lists(table, {"name": ["wiki_id"]})
+    assert lists.rdd.getNumPartitions() == 3
+    assert lists.agg(F.countDistinct("chunk"), F.sum(F.size("rids"))).first()[:] == (n >> substring_index.CHUNK_BITS, 6 * n - lists_twice(n))
+
+
+def lists_twice(n):
+    """Trigrams that P-000000 .. hold more than once, less one of each."""
+    return sum(6 - len({t[k : k + 3] for k in range(6)}) for t in (f"P-{k:06d}" for k in range(n)))
