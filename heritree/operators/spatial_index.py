@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..storage import discard, read_note, stored, write_note
+from ..storage import read_note, write_note
 
 BOX = ("min_x", "min_y", "max_x", "max_y")
 LEVELS = 20  # of the curve: 2**20 cells either way
@@ -66,12 +66,13 @@ def build(boxed: DataFrame, path: str, rows: int = ROWS) -> SpatialIndex:
     n, x0, x1, y0, y1 = there.agg(F.count("*"), F.min(cx), F.max(cx), F.min(cy), F.max(cy)).first()
     cell = lambda c, low, high: F.lit(0) if not n or high <= low else F.least(F.lit(2**LEVELS - 1), F.floor((c - low) / (high - low) * 2**LEVELS))
     place = hilbert(cell(cx, x0, x1), cell(cy, y0, y1))
-    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
-    placed = stored(there.select(row, place.alias("place"), F.xxhash64(row).alias("tie")), "placed-boxes")  # ranges are sampled first
-    ordered = placed.repartitionByRange(max(1, -(-n // rows)), "place", "tie").sortWithinPartitions("place", "tie")
-    out = ordered.select(*[F.col("row").getField(c).alias(c) for c in columns])
+    named = next(c for k in range(len(columns) + 1) if (c := f"__place{k}") not in columns)
+    own = [F.col(f"`{c}`") for c in columns]
+    # the ranges' sample takes places a second time: they cost less than a stored copy of all boxes, and ties are made where they are compared
+    order = [F.col(named), F.xxhash64(*own)]
+    placed = there.select(*own, place.alias(named))
+    out = placed.repartitionByRange(max(1, -(-n // rows)), *order).sortWithinPartitions(*order).select(*own)
     out.write.parquet(f"{path}/boxes")
-    discard(placed)
     index = SpatialIndex(spark, path, out._jdf.schema().toDDL())
     sides = [f(F.col(c).cast("double")).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), BOX)]
     index.boxes().groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), *sides).coalesce(1).write.parquet(f"{path}/tiles")

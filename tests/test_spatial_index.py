@@ -63,6 +63,15 @@ def test_many_windows(spark, built):
     assert sorted((r["w"], r["id"]) for r in found) == sorted((w, i) for w, *box in asked for i in brute(rows, *box))
 
 
+def test_boxes_are_not_stored_twice_for_their_order(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "shared"
+    monkeypatch.setattr("heritree.storage.shared_dir", lambda spark: f"file://{folder}")
+    df = spark.range(5000).select("id", *[(F.col("id") % m).cast("double").alias(c) for c, m in zip(si.BOX, (70, 90, 70, 90))], F.lit("x").alias("__place0"))
+    index = si.build(df, f"file://{tmp_path}/index", rows=500)
+    assert not folder.exists()
+    assert index.boxes().columns == df.columns and sorted(index.boxes().collect()) == sorted(df.collect()) and index.tiles().count() > 5
+
+
 def test_hilbert_visits_every_cell_once_and_steps_by_one(spark):
     cells = spark.range(64).select((F.col("id") % 8).alias("x"), F.floor(F.col("id") / 8).alias("y"))
     order = [(r["x"], r["y"]) for r in cells.withColumn("d", si.hilbert(F.col("x"), F.col("y"), 3)).orderBy("d").collect()]
