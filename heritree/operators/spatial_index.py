@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..storage import read_note, write_note
+from ..storage import read_note, stored_rows, write_note
 
 BOX = ("min_x", "min_y", "max_x", "max_y")
 LEVELS = 20  # of the curve: 2**20 cells either way
@@ -112,11 +112,18 @@ def at_point(index: SpatialIndex, x: float, y: float, key: str) -> DataFrame:
 def windows(index: SpatialIndex, asked: DataFrame) -> DataFrame:
     """For many windows at once (x1, y1, x2, y2 and other columns, a small table): each with the boxes that it touches.
 
-    Windows meet tiles first, which is a join of two small tables, and then the boxes of their tiles by file.
+    Windows meet tiles first, which is a join of two small tables, and then the boxes of their tiles by file. Up to
+    _LISTED such meetings go to the tasks that read the tiles' files; for more, boxes and meetings are shuffled by file.
     """
     w = asked.withColumn("__w", F.struct(*[F.col(f"`{c}`") for c in asked.columns])).select("__w")
     side = lambda c: F.col(f"__w.{c}")
     touch = (F.col("min_x") <= side("x2")) & (F.col("max_x") >= side("x1")) & (F.col("min_y") <= side("y2")) & (F.col("max_y") >= side("y1"))
-    tiles = w.join(index.tiles(), touch).select("__w", F.col("file").alias("__tile"))
-    boxes = index.boxes().withColumn("__file", F.col("_metadata.file_path"))
-    return boxes.join(tiles, (F.col("__file") == F.col("__tile")) & touch).select("__w.*", *[f"`{c}`" for c in index.boxes().columns])
+    tiles, n = stored_rows(w.join(index.tiles(), touch).select("__w", F.col("file").alias("__tile")), "window-tiles")
+    columns = index.boxes().columns
+    boxes = index.boxes()
+    if n <= _LISTED:  # only their files are read, and no box is moved
+        files = [r["__tile"] for r in tiles.select("__tile").distinct().collect()]
+        boxes = index.spark.read.schema(index.schema).parquet(*files) if files else boxes.where("false")
+        tiles = F.broadcast(tiles)
+    boxes = boxes.withColumn("__file", F.col("_metadata.file_path"))
+    return boxes.join(tiles, (F.col("__file") == F.col("__tile")) & touch).select("__w.*", *[f"`{c}`" for c in columns])

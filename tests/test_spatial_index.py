@@ -63,6 +63,20 @@ def test_many_windows(spark, built):
     assert sorted((r["w"], r["id"]) for r in found) == sorted((w, i) for w, *box in asked for i in brute(rows, *box))
 
 
+@pytest.mark.parametrize("listed", [0, 10_000])
+def test_many_windows_move_no_box_while_their_files_are_few(spark, built, monkeypatch, listed):
+    rows, index = built
+    monkeypatch.setattr(si, "_LISTED", listed)
+    asked = [(k, float(k * 50 - 400), 100.0, float(k * 50 - 300), 300.0) for k in range(15)]
+    found = si.windows(index, spark.createDataFrame(asked, "w long, x1 double, y1 double, x2 double, y2 double"))
+    assert sorted((r["w"], r["id"]) for r in found.collect()) == sorted((w, i) for w, *box in asked for i in brute(rows, *box))
+    if listed:
+        assert "BroadcastHashJoin" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Exchange hashpartitioning" not in plan
+        assert len(found.inputFiles()) < index.tiles().count()
+    far = spark.createDataFrame([(1, 1e9, 1e9, 2e9, 2e9)], "w long, x1 double, y1 double, x2 double, y2 double")
+    assert si.windows(index, far).count() == 0
+
+
 def test_boxes_are_not_stored_twice_for_their_order(spark, tmp_path, monkeypatch):
     folder = tmp_path / "shared"
     monkeypatch.setattr("heritree.storage.shared_dir", lambda spark: f"file://{folder}")
