@@ -19,6 +19,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import string
 import unicodedata
 import zlib
@@ -47,6 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = _for_letters(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         greatest = max(end_id, *vocabulary.values())
         self.width = np.dtype("<u2" if greatest < 1 << 16 else "<u4")
@@ -67,38 +69,48 @@ class Encoder:
         """The ids of new words: letters, then punctuation, are encoded apart (as pre-tokens); other words as they are."""
         words, cores, tails = self.words, self.cores, self.tails
         new, words.new = words.new, []
-        split, asked = [], {}
+        split, letters, others = [], {}, {}
         for w in new:
-            core = w.rstrip(_PUNCTUATION)
-            if core.isascii() and core.isalpha() or not core or _letters(core):
+            core = w if w.isalpha() else w.rstrip(_PUNCTUATION)
+            if core.isascii() and core.isalpha() or not core:
                 lower = core.lower()
                 if lower not in cores:
-                    asked[lower] = True
+                    letters[lower] = True
+            elif _letters(core):
+                lower = core.lower()
+                if lower not in cores:
+                    others[lower] = True
             else:
                 lower = None
             split.append(lower)
-        asked = list(asked)
-        for k in range(0, len(asked), 200):
-            part = asked[k : k + 200]
-            raw = self._plain(" ".join(part))
-            ids = np.frombuffer(raw, self.width)
-            ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                at = [0, *(self.width.itemsize * ends).tolist()]
-                cores.update((w, raw[s:e]) for w, s, e in zip(part, at, at[1:]))
-            else:
-                cores.update((w, self._plain(w)) for w in part)
+        self._spell(list(letters), self.letters)
+        self._spell(list(others), self.tokenizer)
         for w, lower in zip(new, split):
             if lower is None:
                 ids = self._plain(w)
             else:
-                tail = w[len(lower) :]
-                if tail not in tails:
-                    tails[tail] = self._plain(tail)
-                ids = cores[lower] + tails[tail]
+                ids = cores[lower]
+                if len(lower) < len(w):
+                    tail = w[len(lower) :]
+                    if tail not in tails:
+                        tails[tail] = self._plain(tail)
+                    ids += tails[tail]
             words[w].extend(ids)  # where texts at hand have it
             words[w] = ids
 
+    def _spell(self, asked: list[str], tokenizer) -> None:
+        """The ids of words of letters, many at a time, as the tokenizer has them."""
+        size = self.width.itemsize
+        for k in range(0, len(asked), 200):
+            part = asked[k : k + 200]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.width)
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw, at = ids.tobytes(), (size * ends).tolist()
+                self.cores.update(zip(part, [raw[s:e] for s, e in zip([0, *at], at)]))
+            else:
+                self.cores.update((w, self._plain(w)) for w in part)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, with the end id after them."""
         if len(self.words) > WORDS_KEPT:
@@ -115,6 +127,25 @@ class Encoder:
         return [b"".join(p) + self.end for p in parts]
 
 
+#: Steps that leave lower-case ASCII letters with blanks between words as they are, a pre-token for each word.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+
+
+def _for_letters(path: str):
+    """The tokenizer for lower-case ASCII letters with blanks between words: without its first steps if they are those that change nothing there, else whole."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    out = Tokenizer.from_file(path)
+    spec = json.loads(out.to_str())
+    steps = (spec["normalizer"] or {}).get("normalizers"), (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    pieces, rest = steps[1][0], [s["type"] for s in steps[1][1:]]
+    known = steps[0] == _NORMALIZERS and (pieces.get("pattern"), pieces.get("behavior"), pieces.get("invert")) == (_SPLIT, "Removed", True) and rest == ["ByteLevel"] and not steps[1][1]["add_prefix_space"]
+    if known and not any(c.isalpha() for t in spec["added_tokens"] for c in t["content"] if t["content"].isalnum()):
+        out.normalizer, out.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+    return out
+
+
 def _letters(word: str) -> bool:
     """Letters only, as they are, in lower case and when composed: some come apart into a letter and a mark, which goes with punctuation."""
     lower = word.lower()
